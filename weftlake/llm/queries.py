@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftlake.llm.common import documents
 from weftlake.llm.exact_dedup import exact_duplicates
+from weftlake.llm.line_dedup import line_report
+from weftlake.llm.quality import REPORT_SQL, quality_report
 from weftlake.llm.sharding import shard_by_bytes
 
 
@@ -15,6 +17,14 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir))
 
 
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir))
+
+
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -22,12 +32,15 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
+        "op3_host_quality": op3_host_quality,
+        "op7_line_chunks": op7_line_chunks,
         "op8_bloom_dedup": op8_bloom_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_host_quality": REPORT_SQL,
         "op8_bloom_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
