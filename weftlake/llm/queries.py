@@ -11,6 +11,7 @@ from weftlake.llm.exact_dedup import exact_duplicates
 from weftlake.llm.line_dedup import line_report
 from weftlake.llm.quality import REPORT_SQL, quality_report
 from weftlake.llm.sharding import shard_by_bytes
+from weftlake.llm.simhash import simhash_report
 
 
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +30,17 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
         "op3_host_quality": op3_host_quality,
         "op7_line_chunks": op7_line_chunks,
         "op8_bloom_dedup": op8_bloom_dedup,
+        "op10_simhash_mih": op10_simhash_mih,
     }
 
 
