@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftlake.llm.bpe import bpe_report
 from weftlake.llm.common import documents
 from weftlake.llm.exact_dedup import exact_duplicates
 from weftlake.llm.line_dedup import line_report
@@ -22,6 +23,12 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op5_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
@@ -38,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
         "op3_host_quality": op3_host_quality,
+        "op5_bpe_lexicon": op5_bpe_lexicon,
         "op7_line_chunks": op7_line_chunks,
         "op8_bloom_dedup": op8_bloom_dedup,
         "op10_simhash_mih": op10_simhash_mih,
