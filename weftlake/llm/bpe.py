@@ -23,6 +23,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftlake.llm import lexicon
 from weftlake.llm.common import fresh, need
@@ -271,7 +272,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_out
     (text,) = fresh(docs, "text")
     rows = docs.withColumn(text, F.col(text_col))
     plain = [f"c{k}" for k in range(len(docs.columns))]
-    schema = docs.toDF(*plain).schema.add("ids", "array<int>")
+    schema = docs.toDF(*plain).schema.add("ids", T.ArrayType(T.IntegerType()))
     if decoded_out:
         schema = schema.add("decoded", "string")
     out = rows.toDF(*plain, text).mapInArrow(_encode(vocabulary, name, decoded_out is not None), schema)
