@@ -10,6 +10,7 @@ from weftlake.llm.bpe import bpe_report
 from weftlake.llm.common import documents
 from weftlake.llm.exact_dedup import exact_duplicates
 from weftlake.llm.line_dedup import line_report
+from weftlake.llm.mixing import mix_report
 from weftlake.llm.quality import REPORT_SQL, quality_report
 from weftlake.llm.sharding import shard_by_bytes
 from weftlake.llm.simhash import simhash_report
@@ -37,6 +38,16 @@ def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op9_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(documents(spark, sf_dir))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(documents(spark, sf_dir))
 
@@ -48,7 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe_lexicon": op5_bpe_lexicon,
         "op7_line_chunks": op7_line_chunks,
         "op8_bloom_dedup": op8_bloom_dedup,
+        "op9_raked_mix": op9_raked_mix,
         "op10_simhash_mih": op10_simhash_mih,
+        "pipeline": pipeline,
     }
 
 
