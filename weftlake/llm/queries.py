@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftlake.llm.bpe import bpe_report
 from weftlake.llm.common import documents
 from weftlake.llm.exact_dedup import exact_duplicates
+from weftlake.llm.langid import language_report
 from weftlake.llm.line_dedup import line_report
 from weftlake.llm.mixing import mix_report
 from weftlake.llm.quality import REPORT_SQL, quality_report
@@ -24,6 +25,10 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op4_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(documents(spark, sf_dir))
+
+
 def op5_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
         "op3_host_quality": op3_host_quality,
+        "op4_rank_order": op4_rank_order,
         "op5_bpe_lexicon": op5_bpe_lexicon,
         "op7_line_chunks": op7_line_chunks,
         "op8_bloom_dedup": op8_bloom_dedup,
