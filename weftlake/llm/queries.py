@@ -11,6 +11,7 @@ from weftlake.llm.common import documents
 from weftlake.llm.exact_dedup import exact_duplicates
 from weftlake.llm.langid import language_report
 from weftlake.llm.line_dedup import line_report
+from weftlake.llm.lm import score_report
 from weftlake.llm.mixing import mix_report
 from weftlake.llm.quality import REPORT_SQL, quality_report
 from weftlake.llm.sharding import shard_by_bytes
@@ -21,6 +22,10 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_report(documents(spark, sf_dir))
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
+        "op2_kneser_ney": op2_kneser_ney,
         "op3_host_quality": op3_host_quality,
         "op4_rank_order": op4_rank_order,
         "op5_bpe_lexicon": op5_bpe_lexicon,
