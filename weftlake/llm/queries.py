@@ -14,6 +14,7 @@ from weftlake.llm.line_dedup import line_report
 from weftlake.llm.lm import score_report
 from weftlake.llm.mixing import mix_report
 from weftlake.llm.quality import REPORT_SQL, quality_report
+from weftlake.llm.recompression import repeat_report
 from weftlake.llm.sharding import shard_by_bytes
 from weftlake.llm.simhash import simhash_report
 
@@ -40,6 +41,10 @@ def op5_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(documents(spark, sf_dir))
+
+
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(documents(spark, sf_dir))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_host_quality": op3_host_quality,
         "op4_rank_order": op4_rank_order,
         "op5_bpe_lexicon": op5_bpe_lexicon,
+        "op6_recompression": op6_recompression,
         "op7_line_chunks": op7_line_chunks,
         "op8_bloom_dedup": op8_bloom_dedup,
         "op9_raked_mix": op9_raked_mix,
