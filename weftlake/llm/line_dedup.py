@@ -10,7 +10,7 @@ the decisions about it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.llm.common import fresh, need
@@ -21,25 +21,23 @@ SPREAD = 4
 MIN_LINES = 2
 
 
-def chunks(df: DataFrame, text: Column, out: str) -> DataFrame:
+def let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is then computed once for a row."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def chunks(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: array of (first line, lines, two independent hashes) of the chunks of a text; empty for null."""
-    ls, h, cut = fresh(df, "ls", "h", "cut")
-    q = "`{}`".format
-    rolling = ", ".join(f"get({q(h)}, i - {WINDOW - 1 - k})" for k in range(WINDOW))
-    return (
-        df.withColumn(ls, F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1)))
-        .withColumn(h, F.expr(f"transform({q(ls)}, x -> xxhash64(x))"))
-        .withColumn(cut, F.expr(f"filter(transform({q(h)}, (x, i) -> IF(i = size({q(h)}) - 1 OR pmod(xxhash64({rolling}), {SPREAD}) = 0, i + 1, -1)), x -> x > 0)"))
-        .withColumn(
-            out,
-            F.expr(
-                f"transform(transform({q(cut)}, (e, j) -> struct(coalesce(get({q(cut)}, j - 1), 0) AS first, e AS stop)), "
-                f"c -> transform(array(array_join(slice({q(ls)}, c.first + 1, c.stop - c.first), '\\n')), "
-                f"s -> struct(c.first AS first, c.stop - c.first AS n, xxhash64(s) AS h1, xxhash64(7, s) AS h2, length(trim(s)) > 0 AS full))[0])"
-            ),
-        )
-        .drop(ls, h, cut)
+    rolling = ", ".join(f"get(h, i - {WINDOW - 1 - k})" for k in range(WINDOW))
+    stops = f"filter(transform(h, (x, i) -> IF(i = size(h) - 1 OR pmod(xxhash64({rolling}), {SPREAD}) = 0, i + 1, -1)), x -> x > 0)"
+    one = let(
+        "array_join(slice(ls, c.first + 1, c.stop - c.first), '\\n')",
+        "s",
+        "struct(c.first AS first, c.stop - c.first AS n, xxhash64(s) AS h1, xxhash64(7, s) AS h2, length(trim(s)) > 0 AS full)",
     )
+    each = f"transform(transform(cut, (e, j) -> struct(coalesce(get(cut, j - 1), 0) AS first, e AS stop)), c -> {one})"
+    lines = f"IF(`{text}` IS NULL, CAST(array() AS array<string>), split(`{text}`, '\\n', -1))"
+    return df.withColumn(out, F.expr(let(lines, "ls", let("transform(ls, x -> xxhash64(x))", "h", let(stops, "cut", each)))))
 
 
 def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_out: str = "text", counts: tuple[str, str, str] | None = None) -> DataFrame:
@@ -55,7 +53,7 @@ def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     text = F.col(text_col)
     key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.octet_length(text).alias("tl")]
-    base = chunks(docs.select(*key, text.alias("text")), F.col("text"), "chunks")
+    base = chunks(docs.select(*key, text.alias("text")), "text", "chunks")
     found = stash(base.select("id", "th", "tl", F.expr(f"filter(chunks, c -> c.n >= {MIN_LINES} AND c.full)").alias("chunks")).filter(F.size("chunks") > 0), "chunks")
     places = found.select("id", "th", "tl", F.explode("chunks").alias("c")).select("id", "th", "tl", "c.first", "c.n", "c.h1", "c.h2")
     repeated = places.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "tl", "first")).alias("keep")).filter("m > 1").drop("m")
@@ -82,21 +80,17 @@ def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         drop_stash(held)
         held = stash(met(again.join(clash, ["h1", "h2"], "left_anti")), "met")
 
-    q = "`{}`".format
-    gone = f"filter({q(cand)}, c -> NOT c.stays)"
-    short = held.withColumn(cand, F.expr(gone)).withColumn(ls, F.split(text, "\n", -1))
     # What stays lies between the removed chunks: one slice for each gap.
-    gaps = (
-        f"flatten(transform(sequence(0, size({q(cand)})), j -> slice({q(ls)}, IF(j = 0, 0, {q(cand)}[j - 1].first + {q(cand)}[j - 1].n) + 1, "
-        f"IF(j = size({q(cand)}), size({q(ls)}), {q(cand)}[j].first) - IF(j = 0, 0, {q(cand)}[j - 1].first + {q(cand)}[j - 1].n))))"
-    )
+    gap = "slice(ls, IF(j = 0, 0, x[j - 1].first + x[j - 1].n) + 1, IF(j = size(x), size(ls), x[j].first) - IF(j = 0, 0, x[j - 1].first + x[j - 1].n))"
+    gaps = let(f"split(`{text_col}`, '\\n', -1)", "ls", let(f"`{cand}`", "x", f"array_join(flatten(transform(sequence(0, size(x)), j -> {gap})), '\\n')"))
+    short = held.withColumn(cand, F.filter(cand, lambda c: ~c["stays"])).withColumn(ls, F.size(F.split(text, "\n", -1)))
     some = F.coalesce(F.size(cand), F.lit(0)) > 0
-    new = {text_out: F.when(some, F.expr(f"array_join({gaps}, '\\n')")).otherwise(text)}
+    new = {text_out: F.when(some, F.expr(gaps)).otherwise(text)}
     if counts:
         zero = F.lit(0).cast("long")
         new |= {
-            counts[0]: F.coalesce(F.size(ls), F.lit(0)).cast("long"),
-            counts[1]: F.coalesce(F.expr(f"aggregate({q(cand)}, 0L, (a, c) -> a + c.n)"), zero),
+            counts[0]: F.coalesce(ls, F.lit(0)).cast("long"),
+            counts[1]: F.coalesce(F.expr(f"aggregate(`{cand}`, 0L, (a, c) -> a + c.n)"), zero),
             counts[2]: F.when(some, F.size(cand)).otherwise(0).cast("long"),
         }
     columns = [c for c in docs.columns if c not in new] + list(new)
