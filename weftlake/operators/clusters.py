@@ -118,11 +118,13 @@ def density_clusters(points: DataFrame, min_cluster_size: int = 15, min_samples:
     spark = points.sparkSession
     core = sample_points(points.select("id", "x", "y"), most)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pdf.assign(cluster=density_labels(pdf[["x", "y"]].to_numpy(), min_cluster_size, min_samples).astype("int32"))
+    schema = f"id {core.schema['id'].dataType.simpleString()}, x double, y double, cluster int"
 
-    found = core.groupBy(F.lit(1)).applyInPandas(lambda pdf: run(pdf[["id", "x", "y"]]), core.schema.add("cluster", "integer"))
+    def run(it):
+        pdf = pd.concat(list(it)).sort_values("id")  # one task, of at most ``most`` rows
+        yield pdf.assign(cluster=density_labels(pdf[["x", "y"]].to_numpy(), min_cluster_size, min_samples).astype("int32"))
+
+    found = core.repartition(1).mapInPandas(run, schema)
     if points.count() <= most:
         return found
     held = spark.sparkContext.broadcast(found.toPandas())  # at most ``most`` rows
@@ -134,7 +136,7 @@ def density_clusters(points: DataFrame, min_cluster_size: int = 15, min_samples:
             p = pdf[["x", "y"]].to_numpy()
             yield pdf.assign(cluster=[lab[int(np.argmin(((xy - q) ** 2).sum(1)))] for q in p])
 
-    return points.select("id", "x", "y").mapInPandas(near, core.schema.add("cluster", "integer"))
+    return points.select("id", "x", "y").mapInPandas(near, schema)
 
 
 def cluster_stats(labelled: DataFrame, label: str = "label") -> DataFrame:

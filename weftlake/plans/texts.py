@@ -215,3 +215,20 @@ def hover_text(t: Tables) -> DataFrame:
     title = F.when(F.col("doc_id") % 3 != 0, F.col("lang"))
     body = F.when(F.col("doc_id") % 3 != 1, F.col("text"))
     return t.documents.select("doc_id", text.hover_text(title, body).alias("hover"))
+
+
+def _chunk_summary(t: Tables, config) -> DataFrame:
+    """Numbers and sizes of the chunks of every document."""
+    from weftlake.operators.chunkers import chunk_documents
+
+    return chunk_documents(t.documents, config).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("chunk_size").alias("longest"), F.sum(F.char_length("content")).alias("chars"))
+
+
+for _name in ("sentence", "recursive_character", "token_based", "markdown_aware", "table_aware", "code_aware", "semantic"):
+
+    @query(f"chunk_{_name}")
+    def _chunks(t: Tables, strategy: str = _name) -> DataFrame:
+        from weftlake.operators.chunkers import ChunkConfig
+        from weftlake.operators.embed import HashingProvider
+
+        return _chunk_summary(t, ChunkConfig(strategy, embedder=HashingProvider(16) if strategy == "semantic" else None))
