@@ -232,6 +232,8 @@ def xml(data: bytes, o: Options = Options()) -> Extracted:
     p = expat.ParserCreate()
     p.buffer_text = True
     p.CharacterDataHandler = lambda s: out.append(s.strip())
+    p.StartElementHandler = p.CommentHandler = lambda *_: None  # ends a run of character data
+    p.EndElementHandler = p.ProcessingInstructionHandler = lambda *_: None
     try:
         p.Parse(strict(data, "XML").encode(), True)
     except expat.ExpatError as e:
