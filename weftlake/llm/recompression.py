@@ -113,9 +113,11 @@ def window_hashes(x: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.n
     with np.errstate(over="ignore"):
         for k, base in enumerate((0x9E3779B97F4A7C15, 0xD1342543DE82EF95)):
             y = mix(x + np.uint64(k))
-            power = np.cumprod(np.full(len(x), base, np.uint64)) * np.uint64(pow(base, -1, 1 << 64))  # from the power 0 on
+            back = pow(base, -1, 1 << 64)
+            power = np.cumprod(np.full(len(x), base, np.uint64)) * np.uint64(back)  # from the power 0 on
+            inverse = np.cumprod(np.full(max(n, 1), back, np.uint64)) * np.uint64(base)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(y * power)])
-            out.append(mix((total[window:] - total[:-window]) * power[::-1][window - 1 :]) if n > 0 else np.zeros(0, np.uint64))
+            out.append(mix((total[window:] - total[:-window]) * inverse) if n > 0 else np.zeros(0, np.uint64))
     return out[0], out[1]
 
 
