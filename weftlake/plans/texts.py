@@ -204,7 +204,7 @@ def regenerate_prompt(t: Tables) -> DataFrame:
     return rag.regenerate(t.conversations)
 
 
-@query("stored_documents", "SELECT conv_id, unnest([1, 2]) AS document, unnest([0.5, 0.25]) AS similarity FROM conversations WHERE turn = 0")
+@query("stored_documents", "SELECT conv_id, unnest([1, 2]) AS document, unnest([0.5, 0.25]::DOUBLE[]) AS similarity FROM conversations WHERE turn = 0")
 def stored_documents(t: Tables) -> DataFrame:
     z = F.arrays_zip(F.array(F.lit(1), F.lit(2)).alias("document"), F.array(F.lit(0.5), F.lit(0.25)).alias("similarity"))
     return t.conversations.filter("turn = 0").select("conv_id", F.explode(z).alias("z")).select("conv_id", F.col("z.document").alias("document"), F.col("z.similarity").alias("similarity"))
