@@ -34,7 +34,8 @@ WINDOW = 35
 ROUNDS = 5
 LONGEST = 8  # words of a symbol
 SHORTEST = 4  # words of a symbol that is counted
-FLUSH_WORDS = 1 << 21
+SLICE_WORDS = 1 << 18  # words that are renamed at once
+FLUSH_NAMES = 1 << 20  # names that are held before they are sent
 SHARD_BYTES = 32 << 20
 FAR = 1 << 60
 
@@ -191,14 +192,14 @@ def known(root: str, kind: str, shards: int, key: np.ndarray, extra: np.ndarray
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], flush_words: int = FLUSH_WORDS) -> Iterator[tuple]:
+def _texts(batches: Iterator[pa.RecordBatch], most: int = SLICE_WORDS) -> Iterator[tuple]:
     """Slices of batches with their words, word hashes and text numbers."""
     for b in batches:
         first, words, total = 0, [], 0
         for t in b.column("text"):
             words.append((t.as_py() or "").encode().split())
             total += len(words[-1])
-            if total > flush_words:
+            if total > most:
                 yield (b.slice(first, len(words)), words, *_joined(words))
                 first, words, total = first + len(words), [], 0
         if words:
@@ -224,7 +225,7 @@ def _names(shards: int, window: int):
         for _, _, x, doc, _ in _texts(batches):
             held.append(telling(symbols(x, doc), window)[0])
             size += len(held[-1])
-            if size > FLUSH_WORDS:
+            if size > FLUSH_NAMES:
                 yield flush()
                 size = 0
         if size:
