@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from weftlake.llm import lexicon
 from weftlake.llm.common import fresh, need
+from weftlake.session import stash
 
 #: The word pattern of the vocabulary's format, white space written out.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,10 +69,12 @@ class Vocabulary:
         chars = byte_chars()
         ids = {bytes(chars[c] for c in k): v for k, v in model["vocab"].items() if all(c in chars for c in k)}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []  # by rank
         for rank, pair in enumerate(model["merges"]):
             a, b = (bytes(chars[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges[ids[a], ids[b]] = rank, ids[a + b]
+            self.ranks[ids[a], ids[b]] = rank
+            self.merged.append(ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_ids = frozenset(self.special.values())
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -85,15 +88,15 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The ids of one word: the pair of the lowest rank, the leftmost first, is merged until none is left."""
-        x = [self.byte_ids[b] for b in word]
-        get, none = self.merges.get, (1 << 60, -1)
+        ids, get, none = self.byte_ids, self.ranks.get, len(self.merged)
+        x = [ids[b] for b in word]
         r = [get(p, none) for p in zip(x, x[1:])]
         while r:
             least = min(r)
-            if least[1] < 0:
+            if least == none:
                 break
             k = r.index(least)
-            x[k : k + 2] = [least[1]]
+            x[k : k + 2] = [self.merged[least]]
             del r[k]
             if k:
                 r[k - 1] = get((x[k - 1], x[k]), none)
@@ -118,31 +121,57 @@ class Vocabulary:
 
 
 class Encoder:
-    """Looks words up in the lexicon, merges the unseen, and remembers a bounded number of either."""
+    """Looks words up in the lexicon, merges the unseen, and remembers a bounded number of either.
+
+    Where a text's blanks are single ones, its words between them are remembered
+    whole, with the blank before them, as no word of the pattern spans them.
+    """
 
     def __init__(self, vocabulary: Vocabulary, words: lexicon.Lexicon | None = None, memo: int = MEMO_WORDS):
         self.vocabulary, self.lexicon, self.most = vocabulary, words, memo
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.spaced: dict[str, tuple[int, ...]] = {}
 
     def word(self, w: str) -> tuple[int, ...]:
         b = w.encode()
         ids = self.lexicon.get(b) if self.lexicon else None
         if ids is None:
             ids = self.vocabulary.merge(b) if len(b) < 2048 else merge_long(self.vocabulary, b)
-        if len(self.memo) >= self.most:
+        if len(self.memo) >= self.most // 2:
             self.memo.clear()
         if len(w) <= 64:
             self.memo[w] = ids
         return ids
 
+    def plain(self, text: str) -> list[int]:
+        """The ids of a text without special tokens, word by word of the pattern."""
+        get, word = self.memo.get, self.word
+        return list(chain.from_iterable([get(w) or word(w) for w in self.vocabulary.words(text)]))
+
+    def after_blank(self, w: str) -> tuple[int, ...]:
+        ids = tuple(self.plain(" " + w))
+        if len(self.spaced) >= self.most:
+            self.spaced.clear()
+        if len(w) <= 64:
+            self.spaced[w] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        get, word = self.memo.get, self.word
+        get, after_blank = self.spaced.get, self.after_blank
         for piece, special in self.vocabulary.pieces(text):
             if special:
                 out.append(self.vocabulary.special[piece])
+            elif " ".join(piece.split()) == piece.replace("\n", " "):  # single blanks and line feeds between words, none at the ends
+                feed = ()
+                for line in piece.split("\n"):
+                    out += feed
+                    first, *rest = line.split(" ")
+                    out += self.plain(first)
+                    out += chain.from_iterable([get(w) or after_blank(w) for w in rest])
+                    feed = feed or self.plain("\n")
             else:
-                out += chain.from_iterable([get(w) or word(w) for w in self.vocabulary.words(piece)])
+                out += self.plain(piece)
         return out
 
 
@@ -157,17 +186,17 @@ def merge_long(v: Vocabulary, word: bytes) -> tuple[int, ...]:
 
     def push(i: int) -> None:
         j = right[i]
-        if j >= 0 and (m := v.merges.get((x[i], x[j]))):
-            heapq.heappush(heap, (m[0], i, x[i], x[j], m[1]))
+        if j >= 0 and (rank := v.ranks.get((x[i], x[j]))) is not None:
+            heapq.heappush(heap, (rank, i, x[i], x[j]))
 
     for i in range(n - 1):
         push(i)
     while heap:
-        _, i, a, b, new = heapq.heappop(heap)
+        rank, i, a, b = heapq.heappop(heap)
         j = right[i] if x[i] == a else -1
         if j < 0 or x[j] != b:
             continue
-        x[i], x[j] = new, -1
+        x[i], x[j] = v.merged[rank], -1
         right[i] = right[j]
         if right[j] >= 0:
             left[right[j]] = i
@@ -195,7 +224,7 @@ def _count(path: str):
             # Only distinct runs between blanks meet the pattern.
             n: Counter = Counter()
             for w, k in seen.items():
-                for piece in v.words(" " + w):
+                for piece in (" " + w,) if w.isascii() and w.isalpha() else v.words(" " + w):
                     n[piece] += k
             return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
 
@@ -212,9 +241,20 @@ def _count(path: str):
 
 
 def frequent_words(texts: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of the one column of ``texts``; at most ``most`` come to the driver."""
+    """The most frequent words of the one column of ``texts``; at most ``most`` come to the driver.
+
+    A histogram of the counts' sixteenth powers of two gives the count from
+    which on words are taken; no task sends more words than are taken in all.
+    """
     counts = texts.mapInArrow(_count(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.filter("length(word) <= 64").orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = stash(counts.filter("n > 1 AND length(word) <= 64").withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    level, left = None, most
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # a thousand rows at most
+        if r["count"] > left:
+            break
+        level, left = r.level, left - r["count"]
+    rows = counts.filter(F.col("level") >= level).select("word").collect() if level is not None else []
+    return [r.word for r in rows]
 
 
 def compile_lexicon(texts: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> str:
