@@ -20,7 +20,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.llm.common import fresh, need
@@ -83,14 +83,14 @@ def linked(nodes: DataFrame) -> DataFrame:
     return stash(first.join(over, F.col("c") == over.node, "left").select("fp", F.coalesce("component", "c").alias("c")), "linked")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid: str | None = None) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid: Column | None = None) -> DataFrame:
     """(rid, doc_id, fp, component_id, keep_rid) of every row.
 
     component_id is the smallest id of the component (null if all are null) and
     keep_rid the row that stays: the one with that id, one of them if several
-    have it. ``rid`` names a column that tells rows apart, else one is made.
+    have it. ``rid`` is a column that tells rows apart, else one is made.
     """
-    rows = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select((F.monotonically_increasing_id() if rid is None else rid).alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = rows.drop("text").schema.add("fp", "long")
     base = stash(rows.mapInArrow(_fingerprints, schema), "fingerprints")
     own = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")
@@ -116,7 +116,9 @@ def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which one of each component stays, the one with the smallest id, with the columns they came with."""
     need(docs, id_col, text_col)
-    rid, keep = fresh(docs, "rid", "keep")
-    base = stash(docs.withColumn(rid, F.monotonically_increasing_id()), "near_docs")
-    stays = near_components(base, id_col, text_col, rid).filter("rid = keep_rid").select(F.col("rid").alias(keep))
-    return base.join(stays, F.col(rid) == F.col(keep), "left_semi").select(*docs.columns)
+    k1, k2 = fresh(docs, "k1", "k2")
+    own = [F.col(id_col), F.col(text_col)]
+    keyed = docs.withColumns({k1: F.xxhash64(*own), k2: F.xxhash64(F.lit(7), *own)})  # rows of one id and text are one document
+    stays = near_components(keyed, id_col, text_col, F.struct(F.col(k1).alias("k1"), F.col(k2).alias("k2"))).filter("rid = keep_rid").select("rid.*")
+    kept = keyed.join(stays, (F.col(k1) == stays["k1"]) & (F.col(k2) == stays["k2"]), "left_semi")
+    return kept.dropDuplicates([k1, k2]).select(*docs.columns)
