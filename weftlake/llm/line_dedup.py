@@ -1,11 +1,15 @@
-"""Line deduplication by content-defined chunks, by DataFrame functions only.
-
-A rolling hash over the hashes of ``WINDOW`` lines cuts each text where the
-hash is divisible by ``SPREAD``, so that an inserted line moves no later
-boundary. Chunks of two or more lines that occur again anywhere are removed but
-for their first place in the order of (id, position), after their bytes have
-been compared. Only ids and hashes are counted; text is shuffled once, to meet
-the decisions about it.
+"""Line deduplication by repeated runs or content-defined chunks, by DataFrame functions only.
+
+Runs: every ``MIN_LINES`` adjacent lines are a place, so that each repeated run
+of that many lines or more is covered by repeated places, wherever it starts.
+Chunks: a rolling hash over the hashes of ``WINDOW`` lines cuts each text where
+the hash is divisible by ``SPREAD``, so that an inserted line moves no later
+boundary; repeats that no two boundaries enclose stay.
+
+Places that occur again anywhere are removed but for their first one in the
+order of (id, position), after their bytes have been compared. Each removed line
+has an equal line before it that stays. Only ids and hashes are counted; text is
+shuffled once, to meet the decisions about it.
 """
 
 from __future__ import annotations
@@ -40,9 +44,24 @@ def chunks(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.expr(let(lines, "ls", let("transform(ls, x -> xxhash64(x))", "h", let(stops, "cut", each)))))
 
 
-def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_out: str = "text", counts: tuple[str, str, str] | None = None) -> DataFrame:
+def windows(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: array as in :func:`chunks` of every ``MIN_LINES`` adjacent lines of a text; empty for null and shorter texts."""
+    one = let(
+        f"array_join(slice(ls, i + 1, {MIN_LINES}), '\\n')",
+        "s",
+        f"struct(i AS first, {MIN_LINES} AS n, xxhash64(s) AS h1, xxhash64(7, s) AS h2, length(btrim(s, ' \\t\\n\\r')) > 0 AS full)",
+    )
+    at = f"filter(sequence(0, greatest(size(ls) - {MIN_LINES}, 0)), i -> i + {MIN_LINES} <= size(ls))"
+    lines = f"IF(`{text}` IS NULL, CAST(array() AS array<string>), split(`{text}`, '\n', -1))"
+    return df.withColumn(out, F.expr(let(lines, "ls", f"transform({at}, i -> {one})")))
+
+
+def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_out: str = "text", counts: tuple[str, str, str] | None = None, runs: bool = False) -> DataFrame:
     """Every document, with the columns it came with and its repeated chunks removed.
 
+    With ``runs`` it is all lines of runs of ``MIN_LINES`` or more that stand
+    before without overlap, and a removed chunk is a stretch of removed lines.
+
     ``text_out`` may name another column for the shortened text; ``counts``
     names columns for the lines, the removed lines and the removed chunks. Null
     stays null and is never a chunk; blank chunks and single lines are left. A
@@ -53,12 +72,12 @@ def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     text = F.col(text_col)
     key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.octet_length(text).alias("tl")]
-    base = chunks(docs.select(*key, text.alias("text")), "text", "chunks")
+    base = (windows if runs else chunks)(docs.select(*key, text.alias("text")), "text", "chunks")
     found = stash(base.select("id", "th", "tl", F.expr(f"filter(chunks, c -> c.n >= {MIN_LINES} AND c.full)").alias("chunks")).filter(F.size("chunks") > 0), "chunks")
     places = found.select("id", "th", "tl", F.explode("chunks").alias("c")).select("id", "th", "tl", "c.first", "c.n", "c.h1", "c.h2")
     repeated = places.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "tl", "first")).alias("keep")).filter("m > 1").drop("m")
     again = stash(
-        places.join(repeated, ["h1", "h2"]).withColumn("stays", F.struct("id", "th", "tl").eqNullSafe(F.struct("keep.id", "keep.th", "keep.tl")) & (F.col("first") == F.col("keep.first"))).drop("keep"),
+        places.join(repeated, ["h1", "h2"]).withColumn("stays", F.struct("id", "th", "tl").eqNullSafe(F.struct("keep.id", "keep.th", "keep.tl")) & (F.col("first") < F.col("keep.first") + F.col("n"))).drop("keep"),
         "repeated",
     )
     id_, th, tl, cand, ls = fresh(docs, "id", "th", "tl", "cand", "ls")
@@ -81,23 +100,25 @@ def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         held = stash(met(again.join(clash, ["h1", "h2"], "left_anti")), "met")
 
     # What stays lies between the removed chunks: one slice for each gap.
-    gap = "slice(ls, IF(j = 0, 0, x[j - 1].first + x[j - 1].n) + 1, IF(j = size(x), size(ls), x[j].first) - IF(j = 0, 0, x[j - 1].first + x[j - 1].n))"
+    gap = "slice(ls, IF(j = 0, 0, x[j - 1].first + x[j - 1].n) + 1, greatest(0, IF(j = size(x), size(ls), x[j].first) - IF(j = 0, 0, x[j - 1].first + x[j - 1].n)))"
     gaps = let(f"split(`{text_col}`, '\\n', -1)", "ls", let(f"`{cand}`", "x", f"array_join(flatten(transform(sequence(0, size(x)), j -> {gap})), '\\n')"))
     short = held.withColumn(cand, F.filter(cand, lambda c: ~c["stays"])).withColumn(ls, F.size(F.split(text, "\n", -1)))
     some = F.coalesce(F.size(cand), F.lit(0)) > 0
     new = {text_out: F.when(some, F.expr(gaps)).otherwise(text)}
     if counts:
         zero = F.lit(0).cast("long")
+        gone = f"""aggregate(`{cand}`, struct(0L AS lines, 0L AS stretches, -1 AS stop), (a, c) -> struct(
+            a.lines + c.first + c.n - greatest(c.first, a.stop) AS lines, a.stretches + IF(c.first > a.stop, 1L, 0L) AS stretches, c.first + c.n AS stop))"""
         new |= {
             counts[0]: F.coalesce(ls, F.lit(0)).cast("long"),
-            counts[1]: F.coalesce(F.expr(f"aggregate(`{cand}`, 0L, (a, c) -> a + c.n)"), zero),
-            counts[2]: F.when(some, F.size(cand)).otherwise(0).cast("long"),
+            counts[1]: F.coalesce(F.expr(gone)["lines"], zero),
+            counts[2]: F.coalesce(F.expr(gone)["stretches"], zero) if runs else F.when(some, F.size(cand)).otherwise(0).cast("long"),
         }
     columns = [c for c in docs.columns if c not in new] + list(new)
     return short.withColumns(new).select(*(docs.columns if columns == docs.columns or not counts and text_out in docs.columns else columns))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """One row for each document: n_lines, n_removed_lines, n_removed_chunks and the SHA-256 of the kept text (null for null)."""
-    out = line_chunk_dedup(docs.select(id_col, text_col), id_col, text_col, "kept_text", ("n_lines", "n_removed_lines", "n_removed_chunks"))
+    out = line_chunk_dedup(docs.select(id_col, text_col), id_col, text_col, "kept_text", ("n_lines", "n_removed_lines", "n_removed_chunks"), runs)
     return out.select(id_col, "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -46,7 +46,7 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(documents(spark, sf_dir))
+    return line_report(documents(spark, sf_dir), runs=True)
 
 
 def op8_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
