@@ -113,12 +113,23 @@ def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which one of each component stays, the one with the smallest id, with the columns they came with."""
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """The documents of which one of each component stays, the one with the smallest id, with the columns they came with.
+
+    With ``similarity`` texts are linked by the exact Jaccard similarity of
+    their five-word shingles, else by their fingerprints.
+    """
     need(docs, id_col, text_col)
     k1, k2 = fresh(docs, "k1", "k2")
     own = [F.col(id_col), F.col(text_col)]
     keyed = docs.withColumns({k1: F.xxhash64(*own), k2: F.xxhash64(F.lit(7), *own)})  # rows of one id and text are one document
-    stays = near_components(keyed, id_col, text_col, F.struct(F.col(k1).alias("k1"), F.col(k2).alias("k2"))).filter("rid = keep_rid").select("rid.*")
+    rid = F.struct(F.col(k1).alias("k1"), F.col(k2).alias("k2"))
+    if similarity is None:
+        found = near_components(keyed, id_col, text_col, rid)
+    else:
+        from weftlake.llm.similar import similar_components
+
+        found = similar_components(keyed.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), similarity)
+    stays = found.filter("rid = keep_rid").select("rid.*")
     kept = keyed.join(stays, (F.col(k1) == stays["k1"]) & (F.col(k2) == stays["k2"]), "left_semi")
     return kept.dropDuplicates([k1, k2]).select(*docs.columns)
