@@ -13,8 +13,6 @@ from pyspark.sql.window import Window
 NOISE = -1
 UNLABELLED = "Unlabelled"
 MAX_POINTS = 100_000_000
-#: Points of one density group: the method keeps a row of distances at a time, and all pairs are visited.
-MAX_DENSITY_POINTS = 50_000
 
 
 def sample_points(points: DataFrame, most: int = MAX_POINTS, seed: int = 42, key: str = "id") -> DataFrame:
@@ -34,22 +32,46 @@ def reduce_2d(points: DataFrame, vector: str = "embedding") -> DataFrame:
     return out.withColumn("x", F.col("_p")[0]).withColumn("y", F.col("_p")[1]).drop("_v", "_p")
 
 
+def kth_squared(xy: np.ndarray, k: int, block: int = 256) -> np.ndarray:
+    """Squared distance of every point to its k-th nearest (itself is number 0): strips in the order of x, widened until they hold it."""
+    n, order = len(xy), np.argsort(xy[:, 0], kind="stable")
+    p, out = xy[order], np.empty(len(xy))
+    for a in range(0, n, block):
+        b, reach = min(a + block, n), block
+        while True:
+            lo, hi = max(a - reach, 0), min(b + reach, n)
+            d = (p[a:b, 0, None] - p[None, lo:hi, 0]) ** 2 + (p[a:b, 1, None] - p[None, lo:hi, 1]) ** 2
+            best = np.partition(d, k, axis=1)[:, k] if hi - lo > k else np.full(b - a, np.inf)
+            left = (p[a:b, 0] - p[lo, 0]) ** 2 if lo > 0 else np.inf
+            right = (p[hi - 1, 0] - p[a:b, 0]) ** 2 if hi < n else np.inf
+            if np.all(best <= np.minimum(left, right)):
+                out[order[a:b]] = best
+                break
+            reach *= 2
+    return out
+
+
 def density_labels(xy: np.ndarray, min_cluster_size: int = 15, min_samples: int = 5) -> np.ndarray:
     """Hierarchical density clustering: mutual reachability, its minimum spanning tree, and the most stable branches; -1 is noise."""
     n = len(xy)
     if n < max(2, min_cluster_size):
         return np.full(n, NOISE)
     k = min(min_samples, n) - 1
-    core = np.array([np.sqrt(np.partition(((xy - p) ** 2).sum(1), k)[k]) for p in xy])
-    # Prim's tree over mutual reachability, one row of distances at a time.
-    inside, dist, parent, at, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), 0, []
-    for _ in range(n - 1):
-        inside[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((xy - xy[at]) ** 2).sum(1)), core), core[at])
-        better = ~inside & (d < dist)
-        dist[better], parent[better] = d[better], at
-        at = int(np.argmin(np.where(inside, np.inf, dist)))
-        edges.append((dist[at], parent[at], at))
+    core = np.sqrt(kth_squared(xy, k))
+    # Prim's tree over mutual reachability, one row of distances at a time; points inside are dropped when they are half.
+    x, y, c, number = xy[:, 0].copy(), xy[:, 1].copy(), core, np.arange(n)
+    outside, dist, parent, at, edges = np.ones(n, bool), np.full(n, np.inf), np.zeros(n, int), 0, []
+    for m in range(n - 1, 0, -1):
+        outside[at], dist[at] = False, np.inf
+        here, px, py, pc = number[at], x[at], y[at], c[at]
+        if 2 * m < len(x):
+            x, y, c, number, dist, parent = (v[outside] for v in (x, y, c, number, dist, parent))
+            outside = np.ones(m, bool)
+        d = np.maximum(np.maximum(np.sqrt((x - px) ** 2 + (y - py) ** 2), c), pc)
+        better = np.flatnonzero(outside & (d < dist))
+        dist[better], parent[better] = d[better], here
+        at = int(np.argmin(dist))
+        edges.append((dist[at], parent[at], number[at]))
     edges.sort()
     # Single linkage as a binary tree.
     root = list(range(2 * n - 1))
@@ -113,30 +135,16 @@ def density_labels(xy: np.ndarray, min_cluster_size: int = 15, min_samples: int
     return labels
 
 
-def density_clusters(points: DataFrame, min_cluster_size: int = 15, min_samples: int = 5, most: int = MAX_DENSITY_POINTS) -> DataFrame:
-    """(id, x, y, cluster) of points with x and y. Beyond ``most`` points the clusters come from a sample and the others join the nearest sampled point's."""
-    spark = points.sparkSession
-    core = sample_points(points.select("id", "x", "y"), most)
-
-    schema = f"id {core.schema['id'].dataType.simpleString()}, x double, y double, cluster int"
+def density_clusters(points: DataFrame, min_cluster_size: int = 15, min_samples: int = 5) -> DataFrame:
+    """(id, x, y, cluster) of points with x and y. The tree spans all points, in one task that visits all pairs."""
+    every = points.select("id", "x", "y")
+    schema = f"id {every.schema['id'].dataType.simpleString()}, x double, y double, cluster int"
 
     def run(it):
-        pdf = pd.concat(list(it)).sort_values("id")  # one task, of at most ``most`` rows
+        pdf = pd.concat(list(it)).sort_values("id")
         yield pdf.assign(cluster=density_labels(pdf[["x", "y"]].to_numpy(), min_cluster_size, min_samples).astype("int32"))
 
-    found = core.repartition(1).mapInPandas(run, schema)
-    if points.count() <= most:
-        return found
-    held = spark.sparkContext.broadcast(found.toPandas())  # at most ``most`` rows
-
-    def near(it):
-        ref = held.value
-        xy, lab = ref[["x", "y"]].to_numpy(), ref["cluster"].to_numpy()
-        for pdf in it:
-            p = pdf[["x", "y"]].to_numpy()
-            yield pdf.assign(cluster=[lab[int(np.argmin(((xy - q) ** 2).sum(1)))] for q in p])
-
-    return points.select("id", "x", "y").mapInPandas(near, schema)
+    return every.repartition(1).mapInPandas(run, schema)
 
 
 def cluster_stats(labelled: DataFrame, label: str = "label") -> DataFrame:
