@@ -1,6 +1,8 @@
 """Encoding against the tokenizers library, and decoding back."""
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -73,4 +75,39 @@ def test_spark(docs, rows, empty, library, path):
     assert len(back) == len(rows)
     for r in back:
         assert r.token_ids == library.encode(r.text or "", add_special_tokens=False).ids and r.again == (r.text or "")
-    assert bpe_report(docs, path).count() == len(rows) and bpe_report(empty, path).count() == 0
+    assert bpe_report(empty, path).count() == 0
+    want = Counter(report_row(i, t, library) for i, t, *_ in rows)
+    got = Counter(tuple(r) for r in bpe_report(docs, path).collect())
+    assert got == want
+    clash = docs.select("doc_id", "text").withColumnsRenamed({"doc_id": "ids", "text": "decoded"})
+    assert Counter(tuple(r) for r in bpe_report(clash, path, "ids", "decoded").collect()) == want
+
+
+def report_row(doc_id, text, library):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_registered_query_on_whole_documents(spark, library):
+    """Every row of a whole table has the library's digests."""
+    import __spark_entry__
+
+    folder = "/root/testdata/sf0.001"
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    got = __spark_entry__.queries()["op5_bpe_lexicon"](spark, folder).collect()
+    assert Counter(map(tuple, got)) == Counter(report_row(r.doc_id, r.text, library) for r in texts)
+
+
+def test_slices_and_many_texts_at_once(library, encoder):
+    import pyarrow as pa
+
+    from weftlake.llm.bpe import slices
+
+    r = random.Random(8)
+    texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 30))) for _ in range(400)] + ["", None, "a b " * 3000]
+    got = []
+    for _, part in slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0, 2000):
+        x = encoder.encode_all(part)
+        got += [x.values[a:b].tolist() for a, b in zip(x.at, x.at[1:])]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]

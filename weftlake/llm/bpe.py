@@ -9,6 +9,7 @@ the lexicon changes speed alone, never an id.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import tempfile
@@ -19,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlake.llm import lexicon
+from weftlake.llm.arrays import put
 from weftlake.llm.common import fresh, need
-from weftlake.session import stash
+from weftlake.session import shared_path, stash
 
 #: The word pattern of the vocabulary's format, white space written out.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,8 +46,12 @@ LATER = """
 _X = "".join("-".join(rf"\U{int(c, 16):08X}" for c in x.split("-")) for x in LATER.replace("\n", " ").split(", "))
 LATER_PATTERN = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{_X}]]+| ?[\p{{N}}--[{_X}]]+| ?[[^{_S}\p{{L}}\p{{N}}]||[{_X}]]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 LEXICON_WORDS = 1 << 16
-MEMO_WORDS = 1 << 19
-SLICE_IDS = 1 << 20
+#: The pattern's white space beyond ASCII.
+WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+MEMO_WORDS = 1 << 16
+#: Bytes of text that are encoded at once, and distinct words that are held while words are counted.
+SLICE_BYTES = 8 << 20
+COUNTED_WORDS = 1 << 19
 
 
 @lru_cache
@@ -76,10 +83,10 @@ class Vocabulary:
             self.ranks[ids[a], ids[b]] = rank
             self.merged.append(ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_ids = frozenset(self.special.values())
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         table = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in self.special.items()}
-        self.table = [table.get(i, b"") for i in range(max(table) + 1)]
+        pieces = [table.get(i, b"") for i in range(max(table) + 1)]
+        self._bytes = Lists(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]))
         self._words, self._later, self._has_later = regex.compile(PATTERN).findall, regex.compile(LATER_PATTERN).findall, regex.compile(f"[{_X}]").search
 
     def words(self, text: str) -> list[str]:
@@ -115,64 +122,155 @@ class Vocabulary:
         if at < len(text):
             yield text[at:], False
 
+    def entries(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray | None]:
+        """(pieces between special tokens and these, whether a piece is one segment, number of the first piece of each text or None if they are the texts).
+
+        Special tokens are one segment, as are texts that hold white space
+        beyond ASCII, which the pattern then cuts as a whole.
+        """
+        found = np.zeros(len(texts), bool)
+        for token in self.special:
+            found |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        owner, special = None, np.zeros(len(texts), bool)
+        if found.any():
+            pieces = [list(self.pieces(t)) if hit else [(t, False)] for t, hit in zip(texts.to_pylist(), found)]
+            owner = np.cumsum([0, *map(len, pieces)])
+            texts = pa.array([p for x in pieces for p, _ in x], pa.string())
+            special = np.array([q for x in pieces for _, q in x], bool)
+        wide = pc.match_substring_regex(texts, WIDE_SPACE).to_numpy(zero_copy_only=False)
+        return texts, special | wide, owner
+
+    def decode_all(self, ids: Lists) -> pa.Array:
+        """The text of each list of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
+        found = self._bytes.take(ids.values)
+        ends = found.at[ids.at]
+        if ends[-1] < 1 << 31:
+            raw = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found.values))])
+            with contextlib.suppress(pa.ArrowInvalid):
+                return raw.cast(pa.string())
+        return pa.array([found.values[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
+
     def decode(self, ids: list[int]) -> str:
-        """The text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decode_all(Lists(np.array(ids, np.int64), np.array([0, len(ids)])))[0].as_py()
 
 
 class Encoder:
-    """Looks words up in the lexicon, merges the unseen, and remembers a bounded number of either.
-
-    Where a text's blanks are single ones, its words between them are remembered
-    whole, with the blank before them, as no word of the pattern spans them.
+    """Encodes many texts at once: cuts them into segments, and works on each distinct one.
+
+    A segment is a run of other characters than white space with the one blank
+    before it, or white space that the pattern can't join to what follows; no
+    word of the pattern spans two. Distinct segments of a slice of texts are cut
+    into words, these walk the lexicon together, the words that it lacks are
+    merged, and the ids of all segments are gathered by their number. Merged
+    words are remembered up to ``memo`` of them.
     """
 
     def __init__(self, vocabulary: Vocabulary, words: lexicon.Lexicon | None = None, memo: int = MEMO_WORDS):
         self.vocabulary, self.lexicon, self.most = vocabulary, words, memo
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[bytes, tuple[int, ...]] = {}
 
-    def word(self, w: str) -> tuple[int, ...]:
-        b = w.encode()
-        ids = self.lexicon.get(b) if self.lexicon else None
+    def merged(self, word: bytes) -> tuple[int, ...]:
+        ids = self.memo.get(word)
         if ids is None:
-            ids = self.vocabulary.merge(b) if len(b) < 2048 else merge_long(self.vocabulary, b)
-        if len(self.memo) >= self.most // 2:
-            self.memo.clear()
-        if len(w) <= 64:
-            self.memo[w] = ids
+            ids = self.vocabulary.merge(word) if len(word) < 2048 else merge_long(self.vocabulary, word)
+            if len(self.memo) >= self.most:
+                self.memo.clear()
+            if len(word) <= 64:
+                self.memo[word] = ids
         return ids
 
-    def plain(self, text: str) -> list[int]:
-        """The ids of a text without special tokens, word by word of the pattern."""
-        get, word = self.memo.get, self.word
-        return list(chain.from_iterable([get(w) or word(w) for w in self.vocabulary.words(text)]))
-
-    def after_blank(self, w: str) -> tuple[int, ...]:
-        ids = tuple(self.plain(" " + w))
-        if len(self.spaced) >= self.most:
-            self.spaced.clear()
-        if len(w) <= 64:
-            self.spaced[w] = ids
-        return ids
+    def words(self, distinct: pa.Array) -> Lists:
+        """The ids of each of the distinct words, a binary array."""
+        at, data = _parts(distinct)
+        rank = self.lexicon.find(data, at) if self.lexicon else np.full(len(distinct), -1)
+        lacking = np.flatnonzero(rank < 0)
+        rest = [self.merged(w) for w in distinct.take(pa.array(lacking)).to_pylist()]
+        ends = np.cumsum([0, *map(len, rest)])
+        flat = np.fromiter(chain.from_iterable(rest), np.int32, ends[-1])
+        if not self.lexicon:
+            return Lists(flat, ends)
+        known = len(self.lexicon.at) - 1
+        rank[lacking] = known + np.arange(len(lacking))
+        return Lists(np.concatenate([self.lexicon.ids.astype(np.int32), flat]), np.concatenate([self.lexicon.at.astype(np.int64), len(self.lexicon.ids) + ends[1:]])).take(rank)
+
+    def encode_all(self, texts: pa.Array) -> Lists:
+        """The ids of each text of a string array without nulls."""
+        v = self.vocabulary
+        texts, special, owner = v.entries(texts)
+        segments, first = cut_segments(texts, special)
+        coded = segments.dictionary_encode()
+        distinct, special_ids = coded.dictionary, {}
+        if special.any():
+            special_ids = {s.encode(): i for s, i in v.special.items()}
+        cut = [[s] if s in special_ids else v.words(s.decode()) for s in distinct.to_pylist()]
+        word = pa.array(list(chain.from_iterable(cut)), pa.binary()).dictionary_encode()
+        ids = self.words(word.dictionary)
+        if special_ids:
+            for k, w in enumerate(word.dictionary.to_pylist()):
+                if w in special_ids:
+                    ids = ids.replaced(k, special_ids[w])
+        by_segment = ids.take(word.indices.to_numpy()).grouped(np.cumsum([0, *map(len, cut)]))
+        out = by_segment.take(coded.indices.to_numpy()).grouped(first)
+        return out if owner is None else out.grouped(owner)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get, after_blank = self.spaced.get, self.after_blank
-        for piece, special in self.vocabulary.pieces(text):
-            if special:
-                out.append(self.vocabulary.special[piece])
-            elif " ".join(piece.split()) == piece.replace("\n", " "):  # single blanks and line feeds between words, none at the ends
-                feed = ()
-                for line in piece.split("\n"):
-                    out += feed
-                    first, *rest = line.split(" ")
-                    out += self.plain(first)
-                    out += chain.from_iterable([get(w) or after_blank(w) for w in rest])
-                    feed = feed or self.plain("\n")
-            else:
-                out += self.plain(piece)
-        return out
+        return self.encode_all(pa.array([text], pa.string())).values.tolist()
+
+
+class Lists:
+    """Many lists of numbers, end to end; list k is ``values[at[k] : at[k + 1]]``."""
+
+    def __init__(self, values: np.ndarray, at: np.ndarray):
+        self.values, self.at = values, np.asarray(at, np.int64)
+
+    def take(self, k: np.ndarray) -> Lists:
+        size = self.at[k + 1] - self.at[k]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return Lists(self.values[np.arange(total) + np.repeat(self.at[k] - (ends - size), size)], np.concatenate([[0], ends]))
+
+    def grouped(self, first: np.ndarray) -> Lists:
+        """Neighbours joined: new list k is lists ``first[k]`` to ``first[k + 1] - 1``."""
+        return Lists(self.values, self.at[first])
+
+    def replaced(self, k: int, value: int) -> Lists:
+        """With list k as one value."""
+        a, b = self.at[k : k + 2]
+        at = self.at.copy()
+        at[k + 1 :] += 1 - (b - a)
+        return Lists(np.concatenate([self.values[:a], np.array([value], self.values.dtype), self.values[b:]]), at)
+
+
+def _parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of a string or binary array."""
+    _, at, data = a.buffers()
+    wide = pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type)
+    at = np.frombuffer(at, np.int64 if wide else np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) if len(a) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return at - at[0], data
+
+
+def cut_segments(texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The segments of all texts as a binary array, and the number of the first one of each text; ``whole`` texts are one segment.
+
+    White space before other characters gives up its last one: a blank goes to
+    the segment that follows, any other is a segment of its own.
+    """
+    at, data = _parts(texts)
+    n = len(data)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    for k in np.flatnonzero(whole):
+        space[at[k] : at[k + 1]] = False
+    begin = np.zeros(n + 1, bool)
+    begin[at] = True  # texts, and the end of all
+    start = begin.copy()
+    if n:
+        start[1:n] |= space[1:] & ~space[:-1]
+        start[: n - 1] |= space[:-1] & ~space[1:] & ~begin[1:n]
+        start[1:n] |= ~space[1:] & space[:-1] & (data[:-1] != 32)
+    pos = np.flatnonzero(start)
+    first = np.searchsorted(pos, at)
+    return pa.Array.from_buffers(pa.binary(), len(pos) - 1, [None, pa.py_buffer(pos.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]), first
 
 
 def merge_long(v: Vocabulary, word: bytes) -> tuple[int, ...]:
@@ -216,26 +314,39 @@ def _encoder(vocabulary: str, words: str) -> Encoder:
     return Encoder(_vocabulary(vocabulary), lexicon.Lexicon(words))
 
 
+def slices(b: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """A batch in slices of about ``most`` bytes of text, with the texts; null texts are empty."""
+    texts = pc.fill_null(b.column(column), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < b.num_rows:
+        before = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield b.slice(first, stop - first), texts.slice(first, stop - first)
+        first = stop
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(path)
+        seen: Counter = Counter()
 
-        def flush(seen: Counter) -> pa.RecordBatch:
-            # Only distinct runs between blanks meet the pattern.
-            n: Counter = Counter()
-            for w, k in seen.items():
-                for piece in (" " + w,) if w.isascii() and w.isalpha() else v.words(" " + w):
-                    n[piece] += k
-            return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
-        seen: Counter = Counter()
         for b in batches:
-            for t in b.column(0):
-                seen.update((t.as_py() or "").split())
-            if len(seen) > MEMO_WORDS:
-                yield flush(seen)
-                seen = Counter()
-        yield flush(seen)
+            for _, texts in slices(b, 0):
+                texts, whole, _ = v.entries(texts)
+                coded = cut_segments(texts, whole)[0].dictionary_encode()
+                cut = [v.words(s.decode()) for s in coded.dictionary.to_pylist()]
+                word = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+                times = np.repeat(np.bincount(coded.indices.to_numpy(), minlength=len(cut)), [len(c) for c in cut])
+                n = np.bincount(word.indices.to_numpy(), weights=times, minlength=len(word.dictionary)).astype(np.int64)
+                seen.update(dict(zip(word.dictionary.to_pylist(), n.tolist())))
+                if len(seen) > COUNTED_WORDS:
+                    yield flush()
+                    seen.clear()
+        yield flush()
 
     return run
 
@@ -258,43 +369,28 @@ def frequent_words(texts: DataFrame, vocabulary: str, most: int = LEXICON_WORDS)
 
 
 def compile_lexicon(texts: DataFrame, vocabulary: str, most: int = LEXICON_WORDS) -> str:
-    """Build the transducer of the frequent words and hand it to all executors; the name of its file."""
-    v = _vocabulary(vocabulary)
-    with tempfile.NamedTemporaryFile(prefix="lexicon-", suffix=".dawg", delete=False) as f:
-        path = f.name
-    lexicon.build(((w.encode(), v.merge(w.encode())) for w in frequent_words(texts, vocabulary, most)), path)
-    texts.sparkSession.sparkContext.addFile(path)
-    return os.path.basename(path)
+    """Build the transducer of the frequent words in the shared folder and hand it to all executors; the name of its file."""
+    v, spark = _vocabulary(vocabulary), texts.sparkSession
+    pairs = [(w.encode(), v.merge(w.encode())) for w in frequent_words(texts, vocabulary, most)]
+    root = shared_path(spark, "lexicon")
+    name = f"{root.rsplit('/', 1)[1]}.dawg"
+    with tempfile.TemporaryDirectory() as d:
+        lexicon.build(pairs, f"{d}/{name}")
+        put(root, name, np.fromfile(f"{d}/{name}", np.uint8))
+    spark.sparkContext.addFile(f"{root}/{name}")
+    return name
 
 
 def _encode(vocabulary: str, name: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(vocabulary, SparkFiles.get(name))
-
-        def out(b: pa.RecordBatch, first: int, ids: list[np.ndarray], texts: list[str]) -> pa.RecordBatch:
-            n = len(ids)
-            at = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-            values = np.concatenate(ids) if n else np.zeros(0, np.int32)
-            columns = [*b.slice(first, n).columns[:-1], pa.ListArray.from_arrays(pa.array(at), pa.array(values))]
-            names = [*b.schema.names[:-1], "ids"]
-            if decode:
-                columns.append(pa.array(texts, pa.string()))
-                names.append("decoded")
-            return pa.RecordBatch.from_arrays(columns, names)
-
         for b in batches:
-            first, ids, texts, total = 0, [], [], 0
-            for t in b.column(b.num_columns - 1):
-                x = e.encode(t.as_py() or "")
-                ids.append(np.array(x, np.int32))
+            for rows, texts in slices(b, b.num_columns - 1):
+                ids = e.encode_all(texts)
+                columns = [*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ids.at.astype(np.int32)), pa.array(ids.values, pa.int32()))]
                 if decode:
-                    texts.append(e.vocabulary.decode(x))
-                total += len(x)
-                if total > SLICE_IDS:
-                    yield out(b, first, ids, texts)
-                    first, ids, texts, total = first + len(ids), [], [], 0
-            if ids:
-                yield out(b, first, ids, texts)
+                    columns.append(e.vocabulary.decode_all(ids))
+                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names[:-1], "ids", *(["decoded"] if decode else [])])
 
     return run
 
@@ -323,8 +419,10 @@ def _decode(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(vocabulary)
         for b in batches:
-            texts = [None if (x := t.as_py()) is None else v.decode(x) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "decoded"])
+            x = b.column(b.num_columns - 1)
+            flat = pc.fill_null(x, pa.scalar([], x.type))
+            texts = v.decode_all(Lists(flat.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(flat).to_pylist()])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pc.if_else(x.is_valid(), texts, pa.scalar(None, pa.string()))], [*b.schema.names[:-1], "decoded"])
 
     return run
 
@@ -339,12 +437,18 @@ def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "token_ids", tex
 
 
 def bpe_report(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: n_tokens and the digests of its ids and of the text that they decode to."""
+    """One row for each document: n_tokens and the digests of its ids and of the text that they decode to.
+
+    A null text is the empty one: no tokens, the digests of nothing. Repeated
+    rows each give a row, null ids too; an empty table gives none. Other columns
+    are not read.
+    """
     need(docs, id_col, text_col)
-    both = bpe_encode(docs.select(id_col, text_col), vocabulary, text_col, "_ids", "_decoded").drop(text_col)
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    both = bpe_encode(d, vocabulary, "text", "ids", "decoded")
     return both.select(
-        id_col,
-        F.size("_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("_decoded", 256).alias("decoded_sha256"),
+        F.col("id").alias(id_col),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )

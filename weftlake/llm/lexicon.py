@@ -8,7 +8,6 @@ is the word's rank, and the rank is the place of its id sequence.
 from __future__ import annotations
 
 import json
-import mmap
 from collections.abc import Iterable
 
 import numpy as np
@@ -71,19 +70,18 @@ def build(words: Iterable[tuple[bytes, tuple[int, ...]]], path: str) -> int:
     order.reverse()
     for k, s in enumerate(order):
         s.number = k
-    label, target, skip, first, final = bytearray(), [], [], [0], bytearray()
+    edge, target, skip, final = [], [], [], bytearray()
     for s in order:
         before = int(s.final)
         for b, t in sorted(s.edges.items()):
-            label.append(b)
+            edge.append(s.number << 8 | b)
             target.append(t.number)
             skip.append(before)
             before += t.size
-        first.append(len(label))
         final.append(s.final)
     ids = np.array([i for _, v in pairs for i in v], "<u4")
     at = np.cumsum([0] + [len(v) for _, v in pairs]).astype("<u4")
-    parts = {"target": np.array(target, "<u4"), "skip": np.array(skip, "<u4"), "first": np.array(first, "<u4"), "at": at, "ids": ids, "label": np.frombuffer(bytes(label), np.uint8), "final": np.frombuffer(bytes(final), np.uint8)}
+    parts = {"edge": np.array(edge, "<u4"), "target": np.array(target, "<u4"), "skip": np.array(skip, "<u4"), "at": at, "ids": ids, "final": np.frombuffer(bytes(final), np.uint8)}
     head = json.dumps({k: v.nbytes for k, v in parts.items()}).encode().ljust(252)
     with open(path, "wb") as f:
         f.write(len(head).to_bytes(4, "little") + head)
@@ -96,27 +94,42 @@ class Lexicon:
     """Reader of a file made by :func:`build`; its pages are shared by all processes that map it."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n = int.from_bytes(self._map[:4], "little")
-        whole, pos = memoryview(self._map), 4 + n
-        for k, size in json.loads(self._map[4 : 4 + n]).items():
-            part = whole[pos : pos + size]
-            setattr(self, f"_{k}", part if k in ("label", "final") else part.cast("I"))
-            if k == "label":
-                self._base = pos
+        whole = np.memmap(path, np.uint8, "r")
+        n = int.from_bytes(whole[:4].tobytes(), "little")
+        pos, part = 4 + n, {}
+        for k, size in json.loads(whole[4 : 4 + n].tobytes()).items():
+            part[k] = whole[pos : pos + size].view(np.uint8 if k == "final" else "<u4")
             pos += size
+        self.ids, self.at = part["ids"], part["at"]
+        self._edge, self._target, self._skip, self._final = part["edge"], part["target"], part["skip"], part["final"]
+
+    def find(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ranks of many words, -1 for those that the lexicon lacks; word k is ``data[at[k] : at[k + 1]]``.
+
+        All words walk the automaton together, one byte a step.
+        """
+        size = np.diff(at)
+        out = np.full(len(size), -1, np.int64)
+        live = np.arange(len(size))
+        state, rank = np.zeros(len(size), np.uint32), np.zeros(len(size), np.int64)
+        k = 0
+        while len(live):
+            done = size[live] == k
+            if done.any():
+                end = done & (self._final[state] > 0)
+                out[live[end]] = rank[end]
+                live, state, rank = live[~done], state[~done], rank[~done]
+            if not len(self._edge):
+                break
+            want = state << np.uint32(8) | data[at[live] + k]
+            e = np.minimum(np.searchsorted(self._edge, want), len(self._edge) - 1)
+            there = self._edge[e] == want
+            e, live, rank = e[there], live[there], rank[there]
+            state, rank = self._target[e], rank + self._skip[e]
+            k += 1
+        return out
 
     def get(self, word: bytes) -> tuple[int, ...] | None:
         """The ids of a word, or None if it isn't in the lexicon."""
-        find, first, target, skip, base = self._map.find, self._first, self._target, self._skip, self._base
-        state = rank = 0
-        for k in range(len(word)):
-            e = find(word[k : k + 1], base + first[state], base + first[state + 1]) - base
-            if e < 0:
-                return None
-            rank += skip[e]
-            state = target[e]
-        if not self._final[state]:
-            return None
-        return tuple(self._ids[self._at[rank] : self._at[rank + 1]])
+        r = int(self.find(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0])
+        return None if r < 0 else tuple(self.ids[self.at[r] : self.at[r + 1]].tolist())
