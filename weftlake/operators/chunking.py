@@ -14,15 +14,21 @@ def fixed_size(text: Column, size: int, trim: bool = True) -> Column:
     """Array of windows of ``size`` code points; trimmed ones that are empty are dropped."""
     if size < 1:
         raise ValueError("size must be positive")
-    n = F.char_length(text)
-    whole = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
-    whole = F.when(n > 0, whole).otherwise(F.array().cast("array<string>"))
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one pass over the text
     return F.filter(F.transform(whole, trim_ws), lambda x: x != "") if trim else whole
 
 
 def explode_chunks(df: DataFrame, chunks: Column, *keys: str) -> DataFrame:
-    """One row for each chunk: the keys, chunk_index (from 0), total_chunks and content."""
-    return df.select(*keys, F.size(chunks).cast("long").alias("total_chunks"), F.posexplode(chunks).alias("chunk_index", "content"))
+    """One row for each chunk: the keys, chunk_index (from 0), total_chunks and content.
+
+    The array is named once and made once for a row: its size and its elements
+    both read that name. Rows without chunks give none.
+    """
+    name = "chunks"
+    while name in keys:
+        name += "_"
+    made = df.select(*keys, chunks.alias(name)).filter(F.size(name) > 0)
+    return made.select(*keys, F.size(name).cast("long").alias("total_chunks"), F.posexplode(name).alias("chunk_index", "content"))
 
 
 def with_overlap(chunks: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
