@@ -102,7 +102,7 @@ def test_registered_query_on_whole_documents(spark, library):
 def test_slices_and_many_texts_at_once(library, encoder):
     import pyarrow as pa
 
-    from weftlake.llm.bpe import slices
+    from weftlake.llm.arrays import slices
 
     r = random.Random(8)
     texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 30))) for _ in range(400)] + ["", None, "a b " * 3000]

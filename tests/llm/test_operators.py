@@ -240,21 +240,72 @@ def test_symbols_are_fixed_by_their_interval():
 
     import numpy as np
 
-    from weftlake.llm.recompression import symbols, word_hashes
+    from weftlake.llm.recompression import Symbols, pair_round, run_round
 
     r = random.Random(5)
-    for trial in range(200):
-        mid = [r.choice([b"a", b"b", b"c"]) for _ in range(30)]
+    names: dict = {}
+
+    def parse(x, rounds=4):
+        at = np.arange(len(x))
+        s = Symbols(np.array(x), at, at + 1, at, at + 1)
+        out = [s]
+        for k in range(rounds):
+            for step in (run_round, lambda q, k=k: pair_round(q, k)):
+                made = step(s)
+                s = made.made
+                s.name = s.name.copy()
+                for i in np.flatnonzero(made.new):
+                    s.name[i] = names.setdefault((step is run_round, int(made.x[i]), int(made.y[i])), len(names) + 10)
+                out.append(s)
+        return out
+
+    longest = 0
+    for _ in range(200):
+        mid = [r.choice([1, 2, 3]) for _ in range(30)]
         found = []
-        for side in range(2):
-            left = [r.choice([b"a", b"b", b"d"]) for _ in range(r.randint(0, 6))]
-            right = [r.choice([b"a", b"c", b"e"]) for _ in range(r.randint(0, 6))]
-            x = word_hashes(left + mid + right)
-            s = symbols(x, np.zeros(len(x), np.int64))
-            found.append({(int(n), int(a) - len(left), int(b) - len(left)) for n, a, b, lo, hi in zip(*s) if lo >= len(left) and hi <= len(left) + 30})
-            inside = {(int(n), int(a) - len(left), int(b) - len(left)) for n, a, b, _, _ in zip(*s)}
-            found.append(inside)
-        assert found[0] <= found[3] and found[2] <= found[1]
+        for _ in range(2):
+            left, right = ([r.choice([1, 2, 4]) for _ in range(r.randint(0, 6))] for _ in range(2))
+            levels = []
+            for s in parse(left + mid + right):
+                inside = {(int(n), int(a) - len(left), int(b) - len(left)) for n, a, b, lo, hi in zip(s.name, s.first, s.last, s.lo, s.hi) if lo >= len(left) and hi <= len(left) + 30}
+                levels.append((inside, {(int(n), int(a) - len(left), int(b) - len(left)) for n, a, b in zip(s.name, s.first, s.last)}))
+                longest = max([longest, *(b - a for _, a, b in inside)])
+            found.append(levels)
+        for (mine, _), (_, others) in zip(*found):
+            assert mine <= others
+        for (_, others), (mine, _) in zip(*found):
+            assert mine <= others
+    assert longest > 8
+
+
+def test_names_are_global_and_shared(spark):
+    """Equal words and pairs have one name in all partitions; what occurs once has none."""
+    import pyarrow as pa
+
+    from weftlake.llm import recompression as r
+    from weftlake.session import shared_path
+
+    rows = [("a b c",), ("b c d",), ("zz a",)]
+    root = shared_path(spark, "t")
+    sent = spark.createDataFrame(rows, "text string").repartition(3).mapInArrow(r.partial(r._count_words, shards=5), r.SENT_WORDS)
+    names = r._named(sent, root, "word", 5, r.partial(r._write_words, root=root), 0)
+    got = names.words(pa.array([b"a", b"b", b"c", b"d", b"zz", b"new"]))
+    assert sorted(got[:3]) == [1, 2, 3] and not got[3:].any()
+
+
+def test_windows_with_one_hash_are_told_apart():
+    """With a hash of few values the words still decide."""
+    import numpy as np
+
+    from weftlake.llm import recompression as r
+
+    x = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3, 9])
+    group = np.zeros(4, int)
+    at = np.array([0, 3, 6, 3])
+    assert r._classes(4, group, lambda k: x[at[k][:, None] + np.arange(3)]).tolist() == [0, 1, 0, 1]
+    k = np.zeros(4, np.uint64)
+    a, b = np.array([5, 6, 5, 5], np.uint64), np.array([1, 1, 1, 2], np.uint64)
+    assert [c.tolist() for c in r.distinct_pairs(k, a, b, np.ones(4, int))] == [[0, 0, 0], [5, 5, 6], [1, 2, 1], [2, 1, 1]]
 
 
 def test_language(docs, rows, empty):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlake.llm import lexicon
-from weftlake.llm.arrays import put
+from weftlake.llm.arrays import Lists, parts, put, slices
 from weftlake.llm.common import fresh, need
 from weftlake.session import shared_path, stash
 
@@ -145,9 +145,8 @@ class Vocabulary:
         found = self._bytes.take(ids.values)
         ends = found.at[ids.at]
         if ends[-1] < 1 << 31:
-            raw = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found.values))])
             with contextlib.suppress(pa.ArrowInvalid):
-                return raw.cast(pa.string())
+                return Lists(found.values, ends).binary().cast(pa.string())
         return pa.array([found.values[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
 
     def decode(self, ids: list[int]) -> str:
@@ -181,7 +180,7 @@ class Encoder:
 
     def words(self, distinct: pa.Array) -> Lists:
         """The ids of each of the distinct words, a binary array."""
-        at, data = _parts(distinct)
+        at, data = parts(distinct)
         rank = self.lexicon.find(data, at) if self.lexicon else np.full(len(distinct), -1)
         lacking = np.flatnonzero(rank < 0)
         rest = [self.merged(w) for w in distinct.take(pa.array(lacking)).to_pylist()]
@@ -217,46 +216,13 @@ class Encoder:
         return self.encode_all(pa.array([text], pa.string())).values.tolist()
 
 
-class Lists:
-    """Many lists of numbers, end to end; list k is ``values[at[k] : at[k + 1]]``."""
-
-    def __init__(self, values: np.ndarray, at: np.ndarray):
-        self.values, self.at = values, np.asarray(at, np.int64)
-
-    def take(self, k: np.ndarray) -> Lists:
-        size = self.at[k + 1] - self.at[k]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return Lists(self.values[np.arange(total) + np.repeat(self.at[k] - (ends - size), size)], np.concatenate([[0], ends]))
-
-    def grouped(self, first: np.ndarray) -> Lists:
-        """Neighbours joined: new list k is lists ``first[k]`` to ``first[k + 1] - 1``."""
-        return Lists(self.values, self.at[first])
-
-    def replaced(self, k: int, value: int) -> Lists:
-        """With list k as one value."""
-        a, b = self.at[k : k + 2]
-        at = self.at.copy()
-        at[k + 1 :] += 1 - (b - a)
-        return Lists(np.concatenate([self.values[:a], np.array([value], self.values.dtype), self.values[b:]]), at)
-
-
-def _parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets from 0, bytes) of a string or binary array."""
-    _, at, data = a.buffers()
-    wide = pa.types.is_large_string(a.type) or pa.types.is_large_binary(a.type)
-    at = np.frombuffer(at, np.int64 if wide else np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64) if len(a) else np.zeros(1, np.int64)
-    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return at - at[0], data
-
-
 def cut_segments(texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The segments of all texts as a binary array, and the number of the first one of each text; ``whole`` texts are one segment.
 
     White space before other characters gives up its last one: a blank goes to
     the segment that follows, any other is a segment of its own.
     """
-    at, data = _parts(texts)
+    at, data = parts(texts)
     n = len(data)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     for k in np.flatnonzero(whole):
@@ -270,7 +236,7 @@ def cut_segments(texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarr
         start[1:n] |= ~space[1:] & space[:-1] & (data[:-1] != 32)
     pos = np.flatnonzero(start)
     first = np.searchsorted(pos, at)
-    return pa.Array.from_buffers(pa.binary(), len(pos) - 1, [None, pa.py_buffer(pos.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]), first
+    return Lists(data, pos).binary(), first
 
 
 def merge_long(v: Vocabulary, word: bytes) -> tuple[int, ...]:
@@ -314,18 +280,6 @@ def _encoder(vocabulary: str, words: str) -> Encoder:
     return Encoder(_vocabulary(vocabulary), lexicon.Lexicon(words))
 
 
-def slices(b: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """A batch in slices of about ``most`` bytes of text, with the texts; null texts are empty."""
-    texts = pc.fill_null(b.column(column), "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    first = 0
-    while first < b.num_rows:
-        before = ends[first - 1] if first else 0
-        stop = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield b.slice(first, stop - first), texts.slice(first, stop - first)
-        first = stop
-
-
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(path)
@@ -335,7 +289,7 @@ def _count(path: str):
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
         for b in batches:
-            for _, texts in slices(b, 0):
+            for _, texts in slices(b, 0, SLICE_BYTES):
                 texts, whole, _ = v.entries(texts)
                 coded = cut_segments(texts, whole)[0].dictionary_encode()
                 cut = [v.words(s.decode()) for s in coded.dictionary.to_pylist()]
@@ -385,7 +339,7 @@ def _encode(vocabulary: str, name: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _encoder(vocabulary, SparkFiles.get(name))
         for b in batches:
-            for rows, texts in slices(b, b.num_columns - 1):
+            for rows, texts in slices(b, b.num_columns - 1, SLICE_BYTES):
                 ids = e.encode_all(texts)
                 columns = [*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ids.at.astype(np.int32)), pa.array(ids.values, pa.int32()))]
                 if decode:

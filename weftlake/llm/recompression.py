@@ -1,317 +1,588 @@
 """Substring deduplication by recompression.
 
-Rounds rename runs and pairs of symbols: a run of one word becomes a symbol,
-then in each round every symbol is dealt to the left or the right by its name,
-and a left one followed by a right one becomes a symbol. Names are 64-bit
-mixtures of the parts' names, so that all executors give equal substrings equal
-names without asking each other; only what touches a substring's ends depends
-on its surroundings. With every symbol goes the interval of words that decided
-it: whoever holds the same words there has the same symbol there.
-
-So if a symbol's name occurs once in the corpus, no window that holds its
-interval occurs twice. Spark counts the names of the last round; windows that
-no unique symbol rules out are verified by 128-bit hashes of all their words,
-counted over the corpus. Names and windows that occur more than once are
-written as sorted arrays that the workers memory-map. Copies never meet in one
-task: each mapper sends a name or window once, with whether it saw it again.
+Spark names the words of all texts, then, round by round, the runs and the
+pairs of symbols. A round counts over the corpus: whatever occurs more than once
+gets a number of its own, the place in the sorted file of all that do, and so
+equal substrings have equal interior symbols everywhere. Names stand for words,
+not for hashes of them: words are told apart by their bytes, runs by symbol and
+length, pairs by both symbols.
+
+With a symbol goes the interval of words that decided it: whoever holds the same
+words there has the same symbol there. A symbol that occurs once therefore rules
+out all windows that hold its interval; nothing is built on it any more. Rounds
+go on until one names nothing, without a bound on their number or on a symbol's
+words. Windows that are left hold only symbols
+which they share. These are looked up by hash and verified by their words: the
+names of the words lie in files, and a window is only held to repeat another
+after all of its names have been compared with the other's.
+
+Copies never meet in one task: a mapper sends a word, run, pair or window once,
+with whether it saw it again. Files are written whole and mapped by workers.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.arrays import ODD, mapped, mix, pack, put, range_shard, runs, unpack
+from weftlake.llm.arrays import ODD, Lists, mapped, mix, pack, parts, put, range_shard, runs, slices, unpack
 from weftlake.llm.common import need
-from weftlake.session import shared_path, stash
+from weftlake.session import drop_stash, shared_path, stash
 
 WINDOW = 35
-ROUNDS = 5
-LONGEST = 8  # words of a symbol
-SHORTEST = 4  # words of a symbol that is counted
-SLICE_WORDS = 1 << 18  # words that are renamed at once
-FLUSH_NAMES = 1 << 20  # names that are held before they are sent
-SHARD_BYTES = 32 << 20
-FAR = 1 << 60
+SLICE_BYTES = 4 << 20  # text that is handled at once
+FLUSH_BYTES = 32 << 20  # distinct words or keys that are held before they are sent
+SHARD_BYTES = 32 << 20  # text, or symbols, for each file of names; one task holds one
+COMPARED = 1 << 17  # windows that are compared at once
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+class Words:
+    """The words of a slice of texts end to end, and the number of each text's."""
+
+    def __init__(self, texts: pa.Array):
+        at, data = parts(texts)
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        start = solid.copy()
+        start[1:] &= ~solid[:-1]
+        first = at[:-1][at[:-1] < at[1:]]
+        start[first] = solid[first]
+        self.array = Lists(data[solid], np.append(np.flatnonzero(start[solid]), np.count_nonzero(solid))).binary()
+        self.n = np.diff(np.concatenate([[0], np.cumsum(start)])[at])
+
+
+def joined(words: pa.Array, n: np.ndarray) -> list[bytes]:
+    """Each text's words, joined by one blank."""
+    at, data = parts(words)
+    out = np.full(len(data) + len(words), 32, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(words)), np.diff(at)) + 1] = data
+    ends = np.cumsum(n)
+    ends = at[ends] + ends
+    return [out[min(a + 1, b) : b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
     from xxhash import xxh64_intdigest as xx
 
-    return np.array([xx(w) for w in words], np.uint64)
+    return np.fromiter(map(xx, words.to_pylist()), np.uint64, len(words))
 
 
-def symbols(name: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, longest: int = LONGEST) -> tuple[np.ndarray, ...]:
-    """(name, first word, word after the last, first word that decided it, word after the last that did) of each symbol.
+# Names: what occurs more than once, sorted by a hash, in one file a shard.
 
-    ``name`` has the words' hashes, ``doc`` ascending numbers of their texts. What the end of a text decides lies beyond all words.
-    """
-    n = len(name)
-    if not n:
-        return (name, *(np.zeros(0, np.int64),) * 4)
-    # Runs. A longer run than fits stays single words; either way its neighbours decide it.
-    at = runs(name) if len(runs(doc)) == 1 else np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]))
-    stop = np.append(at[1:], n)
-    lo = np.where((at > 0) & (doc[at - 1] == doc[at]), at - 1, -FAR)
-    hi = np.where((stop < n) & (doc[np.minimum(stop, n - 1)] == doc[at]), stop + 1, FAR)
-    size = stop - at
-    split = size > longest
-    times = np.where(split, size, 1)
-    first = np.repeat(at, times)
-    if split.any():
-        k = np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times)
-        first = first + k
-    last = np.where(np.repeat(split, times), first + 1, np.repeat(stop, times))
-    lo, hi = np.repeat(lo, times), np.repeat(hi, times)
-    m = (last - first).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        s = np.where(m > 1, mix(name[first] + m * np.uint64(ODD)), name[first])
-    d = doc[first]
-    for r in range(1, rounds + 1):
-        if len(s) < 2:
-            break
-        right = (mix(s ^ np.uint64(r)) & np.uint64(1)).astype(bool)
-        near = d[1:] == d[:-1]
-        pair = np.zeros(len(s), bool)  # with the next one
-        pair[:-1] = near & ~right[:-1] & right[1:] & (last[1:] - first[:-1] <= longest)
-        gone = np.zeros(len(s), bool)
-        gone[1:] = pair[:-1]
-        # A left symbol that stays was decided with its right neighbour, a right one with its left neighbour.
-        nlo = np.concatenate([[-FAR], np.where(near, lo[:-1], -FAR)])
-        nhi = np.concatenate([np.where(near, hi[1:], FAR), [FAR]])
-        plo = np.concatenate([np.where(near, lo[1:], -FAR), [-FAR]])  # of the next one
-        phi = np.concatenate([[FAR], np.where(near, hi[:-1], FAR)])  # of the one before
-        end_right = np.concatenate([~near, [True]])
-        end_left = np.concatenate([[True], ~near])
-        lo2 = np.where(right, np.minimum(lo, nlo), np.where(end_right, lo, np.minimum(lo, plo)))
-        hi2 = np.where(right, np.where(end_left, hi, np.maximum(hi, phi)), np.maximum(hi, nhi))
-        with np.errstate(over="ignore"):
-            both = mix(s[:-1] * np.uint64(ODD) + mix(s[1:] + np.uint64(r)))
-        keep = ~gone
-        s2, last2 = s.copy(), last.copy()
-        s2[:-1][pair[:-1]] = both[pair[:-1]]
-        last2[:-1][pair[:-1]] = last[1:][pair[:-1]]
-        s, first, last, lo, hi, d = s2[keep], first[keep], last2[keep], lo2[keep], hi2[keep], d[keep]
-    return s, first, last, lo, hi
-
-
-def telling(found: tuple[np.ndarray, ...], window: int = WINDOW, shortest: int = SHORTEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first, stop of the deciding interval) of the symbols that can rule a window out."""
-    s, first, last, lo, hi = found
-    ok = (last - first >= shortest) & (hi - lo <= window)
-    return s[ok], lo[ok], hi[ok]
-
-
-def window_hashes(x: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each run of ``window`` words, from prefix sums; the runs may cross texts."""
-    n = len(x) - window + 1
-    out = []
+
+@dataclass(frozen=True)
+class Names:
+    """Where the names of a kind lie. Entry p of a shard has the name base[shard] + p + 1; 0 is no name."""
+
+    root: str
+    kind: str
+    base: np.ndarray
+
+    def find(self, k: np.ndarray, equal: Callable[[str, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The names of keys with hashes ``k``; ``equal(file, rows, places)`` tells which rows are what stands at their places."""
+        out = np.zeros(len(k), np.int64)
+        order = np.argsort(k)
+        s = range_shard(k[order], len(self.base) - 1)
+        at = runs(s)
+        for a, b in zip(at, np.append(at[1:], len(s))):
+            file = f"{self.kind}-{s[a]:05d}"
+            table, rows = mapped(self.root, f"{file}.k", "<u8"), order[a:b]
+            p = np.searchsorted(table, k[rows])
+            live = np.flatnonzero(p < len(table))
+            while len(live):  # entries that share a hash stand side by side
+                live = live[table[p[live]] == k[rows[live]]]
+                hit = equal(file, rows[live], p[live]) if len(live) else np.zeros(0, bool)
+                out[rows[live[hit]]] = self.base[s[a]] + p[live[hit]] + 1
+                live = live[~hit]
+                p[live] += 1
+                live = live[p[live] < len(table)]
+        return out
+
+    def words(self, words: pa.Array) -> np.ndarray:
+        def equal(file: str, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+            there = Lists(mapped(self.root, f"{file}.b", "u1"), mapped(self.root, f"{file}.o", "<u8")).take(p).binary()
+            return pc.equal(words.take(pa.array(rows)), there).to_numpy(zero_copy_only=False)
+
+        return self.find(word_hashes(words), equal)
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        def equal(file: str, rows: np.ndarray, p: np.ndarray) -> np.ndarray:
+            return (mapped(self.root, f"{file}.x", "<u8")[p] == x[rows]) & (mapped(self.root, f"{file}.y", "<u8")[p] == y[rows])
+
+        return self.find(pair_hashes(x, y), equal)
+
+
+def pair_hashes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        for k, base in enumerate((0x9E3779B97F4A7C15, 0xD1342543DE82EF95)):
-            y = mix(x + np.uint64(k))
-            back = pow(base, -1, 1 << 64)
-            power = np.cumprod(np.full(len(x), base, np.uint64)) * np.uint64(back)  # from the power 0 on
-            inverse = np.cumprod(np.full(max(n, 1), back, np.uint64)) * np.uint64(base)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(y * power)])
-            out.append(mix((total[window:] - total[:-window]) * inverse) if n > 0 else np.zeros(0, np.uint64))
-    return out[0], out[1]
-
-
-def _emit(key: np.ndarray, more: np.ndarray, extra: np.ndarray | None, shards: int) -> pa.RecordBatch:
-    """Ascending keys, whether each was seen more than once, and a second hash, by shard."""
-    s = range_shard(key, shards)
-    at = runs(s)
-    ends = np.append(at[1:], len(s))
-    cols = [pa.array(s[at]), pa.array([pack(key[a:b]) for a, b in zip(at, ends)], pa.binary()), pa.array([np.packbits(more[a:b]).tobytes() for a, b in zip(at, ends)], pa.binary())]
-    cols.append(pa.array([b"" if extra is None else extra[a:b].astype("<u8").tobytes() for a, b in zip(at, ends)], pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, ["shard", "key", "more", "extra"])
-
-
-SENT = "shard int, key binary, more binary, extra binary"
-
-
-def _repeated(root: str, kind: str):
-    """All that was sent to a shard to the sorted file of what occurs more than once; its length."""
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        k = [unpack(b) for b in t.column("key").to_pylist()]
-        more = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(x)) for b, x in zip(t.column("more").to_pylist(), k)])
-        k = np.concatenate(k)
-        rows = np.arange(len(k))
-        if any(e := t.column("extra").to_pylist()):
-            extra = np.concatenate([np.frombuffer(b, "<u8") for b in e])
-            order = np.lexsort((extra, k))
-            k, extra, more = k[order], extra[order], more[order]
-            at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (extra[1:] != extra[:-1])]))
-        else:
-            extra = None
-            order = np.argsort(k)
-            k, more = k[order], more[order]
-            at = runs(k)
-        hit = (np.diff(at, append=len(rows)) > 1) | (np.maximum.reduceat(more, at) > 0)
-        put(root, f"{kind}-{shard:05d}", k[at[hit]].astype("<u8"))
-        if extra is not None:
-            put(root, f"{kind}-{shard:05d}.x", extra[at[hit]].astype("<u8"))
-        return pa.table({"n": pa.array([int(hit.sum())], pa.int64())})
-
-    return run
-
-
-def known(root: str, kind: str, shards: int, key: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
-    """Which of the keys (with their second hash) the files hold."""
-    out = np.zeros(len(key), bool)
-    order = np.argsort(key)
-    s = range_shard(key[order], shards)
+        return mix(mix(x.astype(np.uint64)) + y.astype(np.uint64) * np.uint64(ODD))
+
+
+def _named(df: DataFrame, root: str, kind: str, shards: int, task, before: int) -> Names:
+    """Bring what was sent to one task a shard, which writes the files; only the number of names comes back."""
+    rows = df.repartitionById(shards, "shard").mapInArrow(task, "shard int, n bigint").collect()  # one row a shard
+    n = np.zeros(shards, np.int64)
+    for r in rows:
+        n[r.shard] = r.n
+    return Names(root, kind, before + np.concatenate([[0], np.cumsum(n)]))
+
+
+def _by_shard(k: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, first, stop) in ascending hashes."""
+    s = range_shard(k, shards)
     at = runs(s)
-    for a, b in zip(at, np.append(at[1:], len(s))):
-        table = mapped(root, f"{kind}-{s[a]:05d}", "<u8")
-        if not len(table):
-            continue
-        q = key[order[a:b]]
-        k = np.searchsorted(table, q)
-        if extra is None:
-            out[order[a:b]] = table[np.minimum(k, len(table) - 1)] == q
-            continue
-        second, want = mapped(root, f"{kind}-{s[a]:05d}.x", "<u8"), extra[order[a:b]]
-        found = np.zeros(len(q), bool)
-        live = np.flatnonzero(k < len(table))
-        while len(live):  # keys that two windows share stand side by side
-            same = table[k[live]] == q[live]
-            live = live[same]
-            found[live] |= second[k[live]] == want[live]
-            live = live[~found[live]]
-            k[live] += 1
-            live = live[k[live] < len(table)]
-        out[order[a:b]] = found
-    return out
+    return zip(s[at].tolist(), at.tolist(), np.append(at[1:], len(s)).tolist())
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return np.packbits(x).tobytes()
+
+
+def _unbits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[str, list]] | None:
+    """(shard, columns) of all that a shard's task got."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    t = pa.Table.from_batches(held)
+    (shard,) = t["shard"].unique().to_pylist()
+    return shard, {c: t[c].to_pylist() for c in t.column_names if c != "shard"}
 
 
-def _texts(batches: Iterator[pa.RecordBatch], most: int = SLICE_WORDS) -> Iterator[tuple]:
-    """Slices of batches with their words, word hashes and text numbers."""
+SENT_WORDS = "shard int, k binary, size binary, word binary, more binary"
+SENT_PAIRS = "shard int, k binary, x binary, y binary, more binary"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[pa.Array, np.ndarray]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
+        times = np.bincount(coded.indices.to_numpy(), np.concatenate([n for _, n in held]), len(coded.dictionary))
+        held.clear()
+        k = word_hashes(coded.dictionary)
+        order = np.argsort(k)
+        k, more, words = k[order], times[order] > 1, coded.dictionary.take(pa.array(order))
+        at, data = parts(words)
+        rows = [(s, pack(k[a:b]), np.diff(at[a : b + 1]).astype("<u4").tobytes(), data[at[a] : at[b]].tobytes(), _bits(more[a:b])) for s, a, b in _by_shard(k, shards)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *(pa.binary(),) * 4))], ["shard", "k", "size", "word", "more"])
+
     for b in batches:
-        first, words, total = 0, [], 0
-        for t in b.column("text"):
-            words.append((t.as_py() or "").encode().split())
-            total += len(words[-1])
-            if total > most:
-                yield (b.slice(first, len(words)), words, *_joined(words))
-                first, words, total = first + len(words), [], 0
-        if words:
-            yield (b.slice(first, len(words)), words, *_joined(words))
-
-
-def _joined(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.array([len(w) for w in words])
-    x = word_hashes([w for ws in words for w in ws])
-    return x, np.repeat(np.arange(len(words)), n), n
-
-
-def _names(shards: int, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return _emit(u, n > 1, None, shards)
-
-        for _, _, x, doc, _ in _texts(batches):
-            held.append(telling(symbols(x, doc), window)[0])
-            size += len(held[-1])
-            if size > FLUSH_NAMES:
+        for _, texts in slices(b, 0, SLICE_BYTES):
+            coded = Words(texts).array.dictionary_encode()
+            if len(coded):
+                held.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))))
+                size += coded.dictionary.nbytes
+            if size > FLUSH_BYTES:
                 yield flush()
                 size = 0
-        if size:
-            yield flush()
+    if held:
+        yield flush()
+
+
+def _write_words(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    if (got := _received(batches)) is None:
+        return
+    shard, c = got
+    ks = [unpack(b) for b in c["k"]]
+    words = pa.concat_arrays([Lists(np.frombuffer(w, np.uint8), np.concatenate([[0], np.cumsum(np.frombuffer(s, "<u4"), dtype=np.int64)])).binary() for w, s in zip(c["word"], c["size"])])
+    coded = words.dictionary_encode()
+    at = coded.indices.to_numpy()
+    more = np.concatenate([_unbits(b, len(x)) for b, x in zip(c["more"], ks)])
+    times = np.bincount(at, 1 + more, len(coded.dictionary))
+    k = np.zeros(len(times), np.uint64)
+    k[at] = np.concatenate(ks)
+    keep = np.flatnonzero(times > 1)
+    keep = keep[np.argsort(k[keep], kind="stable")]
+    if (k[keep][1:] == k[keep][:-1]).any():  # equal hashes stand by their bytes, so that a task that runs again writes the same
+        word = coded.dictionary.take(pa.array(keep)).to_pylist()
+        keep = keep[sorted(range(len(keep)), key=lambda i: (k[keep[i]], word[i]))]
+    at, data = parts(coded.dictionary.take(pa.array(keep)))
+    put(root, f"word-{shard:05d}.k", k[keep].astype("<u8"))
+    put(root, f"word-{shard:05d}.o", at.astype("<u8"))
+    put(root, f"word-{shard:05d}.b", data)
+    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keep)], pa.int64())], ["shard", "n"])
+
+
+def distinct_pairs(k: np.ndarray, x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(k, x, y, times) of the distinct (x, y), by k."""
+    order = np.argsort(k)
+    same = k[order][1:] == k[order][:-1]
+    if (same & ((x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1]))).any():
+        order = np.lexsort((y, x, k))
+    k, x, y = k[order], x[order], y[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    return k[at], x[at], y[at], np.add.reduceat(times[order], at) if len(at) else times
+
+
+def _write_pairs(batches: Iterator[pa.RecordBatch], root: str, kind: str) -> Iterator[pa.RecordBatch]:
+    if (got := _received(batches)) is None:
+        return
+    shard, c = got
+    ks = [unpack(b) for b in c["k"]]
+    x, y = (np.concatenate([np.frombuffer(b, "<u8") for b in c[i]]) for i in "xy")
+    more = np.concatenate([_unbits(b, len(n)) for b, n in zip(c["more"], ks)])
+    k, x, y, times = distinct_pairs(np.concatenate(ks), x, y, 1 + more)
+    keep = times > 1
+    for name, values in (("k", k), ("x", x), ("y", y)):
+        put(root, f"{kind}-{shard:05d}.{name}", values[keep].astype("<u8"))
+    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(keep.sum())], pa.int64())], ["shard", "n"])
+
+
+# Symbols of the texts that may still hold a repeated window.
+
+
+@dataclass
+class Symbols:
+    """Live symbols of some texts in their order: name, first word, word after the last, and the words that decided it, ``lo`` to ``hi``.
+
+    Neighbours whose words don't meet have something between them on which
+    nothing can be built; between two texts lies a word that neither has.
+    """
 
-    return run
-
-
-def candidates(x: np.ndarray, doc: np.ndarray, root: str, shards: int, window: int) -> np.ndarray:
-    """Whether the window that starts at each word lies in its text and holds no symbol that occurs once."""
-    n = len(x)
-    ok = np.zeros(n, bool)
-    if n >= window:
-        ok[: n - window + 1] = doc[: n - window + 1] == doc[window - 1 :]
-        name, lo, hi = telling(symbols(x, doc), window)
-        single = ~known(root, "name", shards, name)
-        off = np.zeros(n + 1, np.int64)
-        np.add.at(off, np.maximum(hi[single] - window, 0), 1)
-        np.add.at(off, lo[single] + 1, -1)
-        ok &= np.cumsum(off)[:n] == 0
-    return ok
-
-
-def _sift(root: str, shards: int, window: int):
-    """Rows of (rid, doc_id, n_words, digest or null, text or null, bits of the starts that may repeat)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, words, x, doc, n in _texts(batches):
-            ok = candidates(x, doc, root, shards, window)
-            at = np.concatenate([[0], np.cumsum(n)])
-            starts = [ok[a:z] for a, z in zip(at, at[1:])]
-            any_ = [bool(s.any()) for s in starts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array(n, pa.int64()),
-                    pa.array([None if y else hashlib.sha256(b" ".join(w)).hexdigest() for w, y in zip(words, any_)], pa.string()),
-                    pa.array([b" ".join(w).decode() if y else None for w, y in zip(words, any_)], pa.string()),
-                    pa.array([np.packbits(s).tobytes() if y else None for s, y in zip(starts, any_)], pa.binary()),
-                ],
-                ["doc_id", "n_words", "kept_sha256", "text", "starts"],
-            )
+    name: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
 
-    return run
+    def __getitem__(self, k) -> Symbols:
+        return Symbols(self.name[k], self.first[k], self.last[k], self.lo[k], self.hi[k])
 
+    def meets(self) -> np.ndarray:
+        """Whether each symbol meets the next one; one less than the symbols."""
+        return self.last[:-1] == self.first[1:]
 
-def _starts(b: pa.RecordBatch, n: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=k) for s, k in zip(b.column("starts").to_pylist(), n)]).astype(bool)
 
+@dataclass
+class Round:
+    """The symbols after a round: which of them are new, and of what."""
 
-def _windows(shards: int, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _, x, _, n in _texts(batches):
-            at = np.flatnonzero(_starts(b, n))
-            h, g = (y[at] for y in window_hashes(x, window))
-            order = np.lexsort((g, h))
-            h, g = h[order], g[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
-            yield _emit(h[first], np.diff(first, append=len(h)) > 1, g[first], shards)
+    made: Symbols
+    new: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
 
-    return run
+
+def _shift(x: np.ndarray, by: int, fill) -> np.ndarray:
+    out = np.full_like(x, fill)
+    if by > 0:
+        out[by:] = x[:-by]
+    else:
+        out[:by] = x[-by:]
+    return out
+
+
+def run_round(s: Symbols) -> Round:
+    """Runs of one symbol become symbols. Both neighbours of a run decided it: where one is missing it dies."""
+    if not len(s.name):
+        return Round(s, np.zeros(0, bool), s.name, s.name)
+    meets = s.meets()
+    starts = np.flatnonzero(np.concatenate([[True], ~(meets & (s.name[1:] == s.name[:-1]))]))
+    ends = np.append(starts[1:], len(s.name))
+    k = ends - starts
+    left, right = np.concatenate([[False], meets])[starts], np.append(meets, False)[ends - 1]
+    lo = np.minimum(np.minimum.reduceat(s.lo, starts), s.lo[np.maximum(starts - 1, 0)])
+    hi = np.maximum(np.maximum.reduceat(s.hi, starts), s.hi[np.minimum(ends, len(s.name) - 1)])
+    live = left & right
+    made = Symbols(s.name[starts], s.first[starts], s.last[ends - 1], lo, hi)
+    return Round(made[live], (k > 1)[live], s.name[starts][live], k[live])
 
 
-def _remove(root: str, shards: int, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, words, x, _, n in _texts(batches):
-            at = np.flatnonzero(_starts(b, n))
-            h, g = (y[at] for y in window_hashes(x, window))
-            at = at[known(root, "window", shards, h, g)]
-            off = np.zeros(len(x) + 1, np.int64)
-            np.add.at(off, at, 1)
-            np.add.at(off, at + window, -1)
-            kept = np.cumsum(off)[:-1] == 0
-            ends = np.cumsum(n)
-            parts = [kept[e - k : e] for e, k in zip(ends, n)]
+def pair_round(s: Symbols, number: int) -> Round:
+    """Every symbol is dealt to the left or the right by its name; a left one and a right one that follows it become a symbol.
+
+    A left symbol that stays was decided with its right neighbour, a right one
+    with its left neighbour: where that is missing it dies.
+    """
+    n = len(s.name)
+    if not n:
+        return Round(s, np.zeros(0, bool), s.name, s.name)
+    right = (mix(s.name.astype(np.uint64) ^ mix(np.full(1, number, np.uint64))) & np.uint64(1)).astype(bool)
+    meets = np.append(s.meets(), False)  # the next one
+    met = _shift(meets, 1, False)  # by the one before
+    pair = meets & ~right & _shift(right, -1, False)
+    gone = _shift(pair, 1, False)
+    next_, prev = np.minimum(np.arange(n) + 1, n - 1), np.maximum(np.arange(n) - 1, 0)
+    seen = np.where(pair | ~right, next_, prev)
+    lo, hi = np.minimum(s.lo, s.lo[seen]), np.maximum(s.hi, s.hi[seen])
+    live = ~gone & np.where(right, met, meets)
+    last = np.where(pair, s.last[next_], s.last)
+    return Round(Symbols(s.name, s.first, last, lo, hi)[live], pair[live], s.name[live], s.name[next_][live])
+
+
+def ruled_out(n: int, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
+    """Which starts of windows, of ``n`` words, hold one of the intervals."""
+    off = np.bincount(np.maximum(hi - window, 0), minlength=n + 1)[: n + 1] - np.bincount(lo + 1, minlength=n + 1)[: n + 1]
+    return np.cumsum(off)[:n] > 0
+
+
+def needed(s: Symbols, alive: np.ndarray, window: int) -> np.ndarray:
+    """Which symbols' intervals lie in a window that is still alive."""
+    before = np.concatenate([[0], np.cumsum(alive)])
+    return (s.hi - s.lo <= window) & (before[np.minimum(s.lo + 1, len(alive))] > before[np.clip(s.hi - window, 0, len(alive))])
+
+
+class Open:
+    """A batch of texts that may hold a repeated window: names and starts of their words, one word apart, and their symbols."""
+
+    COLUMNS = "names binary, alive binary, name binary, first binary, size binary, before binary, after binary"
+
+    def __init__(self, n: np.ndarray, names: np.ndarray, alive: np.ndarray, symbols: Symbols):
+        self.n, self.names, self.alive, self.symbols = n, names, alive, symbols
+        self.at = np.concatenate([[0], np.cumsum(n + 1)])
+
+    @classmethod
+    def read(cls, b: pa.RecordBatch) -> Open:
+        c = {f: b.column(f).to_pylist() for f in ("n_words", "names", "alive", "name", "first", "size", "before", "after")}
+        n = np.array(c["n_words"], np.int64)
+        at = np.concatenate([[0], np.cumsum(n + 1)])
+        names, alive = np.zeros(at[-1], np.int64), np.zeros(at[-1], bool)
+        for a, k, x, y in zip(at, n, c["names"], c["alive"]):
+            names[a : a + k], alive[a : a + k] = np.frombuffer(x, f"<u{len(x) // k}"), _unbits(y, k)
+        wide = [len(f) // 4 for f in c["first"]]
+        first = np.concatenate([np.frombuffer(f, "<u4").astype(np.int64) + a for f, a in zip(c["first"], at)])
+        size, before, after = (np.concatenate([np.frombuffer(x, "<u2") for x in c[f]]).astype(np.int64) for f in ("size", "before", "after"))
+        name = np.concatenate([np.frombuffer(x, f"<u{len(x) // k}" if k else "<u8").astype(np.int64) for x, k in zip(c["name"], wide)])
+        return cls(n, names, alive, Symbols(name, first, first + size, first - before, first + size + after))
+
+    def columns(self, wide: bool) -> list[pa.Array]:
+        """The columns of each text; null for texts that no window is left of."""
+        kind, s = "<u8" if wide else "<u4", self.symbols
+        cut = np.searchsorted(s.first, self.at)
+        out: list[list] = [[] for _ in range(7)]
+        for a, k, i, j in zip(self.at, self.n, cut, cut[1:]):
+            starts = self.alive[a : a + k]
+            row = [None] * 7
+            if starts.any():
+                row = [self.names[a : a + k].astype(kind).tobytes(), _bits(starts), s.name[i:j].astype(kind).tobytes(), (s.first[i:j] - a).astype("<u4").tobytes()]
+                row += [x[i:j].astype("<u2").tobytes() for x in (s.last - s.first, s.first - s.lo, s.hi - s.last)]
+            for c, x in zip(out, row):
+                c.append(x)
+        return [pa.array(c, pa.binary()) for c in out]
+
+    def pruned(self, window: int) -> Open:
+        self.symbols = self.symbols[needed(self.symbols, self.alive, window)]
+        return self
+
+
+FIELDS = ["names", "alive", "name", "first", "size", "before", "after"]
+
+
+def _name_words(batches: Iterator[pa.RecordBatch], names: Names, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, n_words, kept_sha256 or null, text or null, the columns of Open or null)."""
+    for b in batches:
+        for rows, texts in slices(b, b.schema.get_field_index("text"), SLICE_BYTES):
+            w = Words(texts)
+            coded = w.array.dictionary_encode()
+            name = names.words(coded.dictionary)[coded.indices.to_numpy()]
+            at = np.concatenate([[0], np.cumsum(w.n + 1)])
+            place = np.arange(len(name)) + np.repeat(np.arange(len(w.n)), w.n)
+            spread, alive = np.zeros(at[-1], np.int64), np.zeros(at[-1], bool)
+            spread[place] = name
+            long = np.maximum(w.n - window + 1, 0)
+            alive[np.arange(long.sum()) + np.repeat(at[:-1] - (np.cumsum(long) - long), long)] = True
+            once = place[name == 0]
+            alive &= ~ruled_out(len(alive), once, once + 1, window)
+            live = place[name > 0]
+            texts_open = Open(w.n, spread, alive, Symbols(spread[live], live, live + 1, live, live + 1)).pruned(window)
+            columns = texts_open.columns(wide)
+            open_ = columns[0].is_valid().to_numpy(zero_copy_only=False)
+            sha = [None if o else hashlib.sha256(t).hexdigest() for t, o in zip(joined(w.array, w.n), open_)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array(n, pa.int64()),
-                    pa.array([int(k - p.sum()) for k, p in zip(n, parts)], pa.int64()),
-                    pa.array([b" ".join([w for w, y in zip(ws, p) if y]).decode() for ws, p in zip(words, parts)], pa.string()),
-                ],
-                ["doc_id", "n_words", "n_removed", "kept"],
+                [rows.column("doc_id"), pa.array(w.n, pa.int64()), pa.array(sha, pa.string()), pc.if_else(pa.array(open_), texts, pa.scalar(None, texts.type)), *columns],
+                ["doc_id", "n_words", "kept_sha256", "text", *FIELDS],
             )
 
-    return run
+
+def _some(batches: Iterator[pa.RecordBatch], most: int = 200) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, most):
+            yield b.slice(k, most)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], shards: int, number: int | None, window: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        k, x, y, times = distinct_pairs(*(np.concatenate(c) for c in zip(*held)))
+        held.clear()
+        u8 = lambda v: v.astype("<u8").tobytes()
+        rows = [(s, pack(k[a:b]), u8(x[a:b]), u8(y[a:b]), _bits(times[a:b] > 1)) for s, a, b in _by_shard(k, shards)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *(pa.binary(),) * 4))], ["shard", "k", "x", "y", "more"])
+
+    for b in _some(batches):
+        o = Open.read(b)
+        r = run_round(o.symbols) if number is None else pair_round(o.symbols, number)
+        use = r.new & needed(r.made, o.alive, window)
+        x, y = r.x[use].astype(np.uint64), r.y[use].astype(np.uint64)
+        if len(x):
+            held.append(distinct_pairs(pair_hashes(x, y), x, y, np.ones(len(x), np.int64)))
+            size += 24 * len(held[-1][0])
+        if size > FLUSH_BYTES:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _apply_round(batches: Iterator[pa.RecordBatch], names: Names, number: int | None, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """The rows after a round; texts that no window is left of get their digest."""
+    for b in _some(batches):
+        o = Open.read(b)
+        r = run_round(o.symbols) if number is None else pair_round(o.symbols, number)
+        keep = needed(r.made, o.alive, window)
+        s, new, x, y = r.made[keep], r.new[keep], r.x[keep], r.y[keep]
+        name = s.name.copy()
+        name[new] = names.pairs(x[new], y[new])
+        once = name == 0
+        o.alive &= ~ruled_out(len(o.alive), s.lo[once], s.hi[once], window)
+        s.name = name
+        o.symbols = s[~once]
+        columns = o.pruned(window).columns(wide)
+        closed = columns[0].is_null().to_numpy(zero_copy_only=False)
+        text = b.column("text")
+        sha = [None] * b.num_rows
+        if closed.any():
+            w = Words(text.filter(pa.array(closed)))
+            for k, t in zip(np.flatnonzero(closed), joined(w.array, w.n)):
+                sha[k] = hashlib.sha256(t).hexdigest()
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("n_words"), pa.array(sha, pa.string()), pc.if_else(pa.array(closed), pa.scalar(None, text.type), text), *columns],
+            ["doc_id", "n_words", "kept_sha256", "text", *FIELDS],
+        )
+
+
+# Windows that are left, and their verification.
+
+
+def window_hashes(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A hash of each run of ``window`` numbers, from prefix sums; the runs may cross texts."""
+    n = len(x) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        base = ODD
+        back = pow(base, -1, 1 << 64)
+        power = np.cumprod(np.full(len(x), base, np.uint64)) * np.uint64(back)  # from the power 0 on
+        inverse = np.cumprod(np.full(n, back, np.uint64)) * np.uint64(base)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x.astype(np.uint64)) * power)])
+        return mix((total[window:] - total[:-window]) * inverse)
+
+
+FILE_BITS = 40  # of a place: the word's number in its file; the file's number stands above
+
+
+def _names_at(root: str, kind: str, places: np.ndarray, window: int) -> np.ndarray:
+    """The names of the windows at some places, one row each."""
+    out = np.zeros((len(places), window), np.int64)
+    order = np.argsort(places)
+    file = (places[order] >> np.uint64(FILE_BITS)).astype(np.int64)
+    at = runs(file)
+    step = np.arange(window)
+    for a, b in zip(at, np.append(at[1:], len(file))):
+        rows = order[a:b]
+        first = (places[rows] & np.uint64((1 << FILE_BITS) - 1)).astype(np.int64)
+        out[rows] = mapped(root, f"flat-{file[a]:07d}", kind)[first[:, None] + step]
+    return out
+
+
+def _classes(n: int, group: np.ndarray, names: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Number of the first row with the same group and the same names, for each of ``n`` rows; ``group`` has the first row of its group."""
+    out = group.copy()
+    check = np.flatnonzero(group != np.arange(n))
+    odd = []
+    for k in range(0, len(check), COMPARED):
+        rows = check[k : k + COMPARED]
+        odd.append(rows[(names(rows) != names(group[rows])).any(axis=1)])
+    seen: dict = {}
+    for r in np.concatenate(odd).tolist() if odd else ():  # hashes that two windows share
+        out[r] = seen.setdefault((int(group[r]), names(np.array([r])).tobytes()), r)
+    return out
+
+
+def _send_windows(batches: Iterator[pa.RecordBatch], root: str, shards: int, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """Hash, place and whether it occurred again of each slice's windows; the names go to this task's file."""
+    kind, number = "<u8" if wide else "<u4", TaskContext.get().partitionId()
+    flat, total = [], 0
+    for b in _some(batches, 1000):
+        o = Open.read(b)
+        at = np.flatnonzero(o.alive)
+        k = window_hashes(o.names, window)[at]
+        order = np.argsort(k, kind="stable")
+        k, at = k[order], at[order]
+        first = runs(k)
+        group = np.repeat(first, np.diff(first, append=len(k)))
+        step = np.arange(window)
+        of = _classes(len(k), group, lambda rows, names=o.names, at=at: names[at[rows][:, None] + step])
+        times = np.bincount(of, minlength=len(k))
+        send = np.flatnonzero(times)
+        k, place, more = k[send], at[send].astype(np.uint64) + np.uint64(total + (number << FILE_BITS)), times[send] > 1
+        flat.append(o.names.astype(kind))
+        total += len(o.names)
+        rows = [(s, pack(k[a:z]), place[a:z].astype("<u8").tobytes(), _bits(more[a:z])) for s, a, z in _by_shard(k, shards)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *(pa.binary(),) * 3))], ["shard", "k", "place", "more"])
+    if flat:
+        put(root, f"flat-{number:07d}", np.concatenate(flat))
+
+
+def _write_windows(batches: Iterator[pa.RecordBatch], root: str, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """Windows that occur more than once, each by its hash and the least place that holds it."""
+    if (got := _received(batches)) is None:
+        return
+    shard, c = got
+    ks = [unpack(b) for b in c["k"]]
+    place = np.concatenate([np.frombuffer(b, "<u8") for b in c["place"]])
+    more = np.concatenate([_unbits(b, len(x)) for b, x in zip(c["more"], ks)])
+    k = np.concatenate(ks)
+    order = np.lexsort((place, k))
+    k, place, more = k[order], place[order], more[order]
+    first = runs(k)
+    group = np.repeat(first, np.diff(first, append=len(k)))
+    of = _classes(len(k), group, lambda rows: _names_at(root, "<u8" if wide else "<u4", place[rows], window))
+    hit = np.flatnonzero(np.bincount(of, 1 + more, len(k)) > 1)
+    put(root, f"window-{shard:05d}.k", k[hit].astype("<u8"))
+    put(root, f"window-{shard:05d}.p", place[hit].astype("<u8"))
+    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(hit)], pa.int64())], ["shard", "n"])
+
+
+def _remove(batches: Iterator[pa.RecordBatch], windows: Names, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    kind, step = "<u8" if wide else "<u4", np.arange(window)
+    for b in _some(batches, 1000):
+        o = Open.read(b)
+        at = np.flatnonzero(o.alive)
+
+        def equal(file: str, rows: np.ndarray, p: np.ndarray, o=o, at=at) -> np.ndarray:
+            out = np.zeros(len(rows), bool)
+            place = mapped(windows.root, f"{file}.p", "<u8")
+            for k in range(0, len(rows), COMPARED):
+                i = slice(k, k + COMPARED)
+                out[i] = (_names_at(windows.root, kind, place[p[i]], window) == o.names[at[rows[i]][:, None] + step]).all(axis=1)
+            return out
+
+        at = at[windows.find(window_hashes(o.names, window)[at], equal) > 0]
+        off = np.bincount(at, minlength=len(o.names) + 1) - np.bincount(at + window, minlength=len(o.names) + 1)
+        gone = np.cumsum(off)[:-1] > 0
+        real = np.ones(len(gone), bool)
+        real[o.at[1:] - 1] = False
+        doc = np.repeat(np.arange(len(o.n)), o.n)
+        kept = ~gone[real]
+        left = np.bincount(doc[kept], minlength=len(o.n))
+        texts = joined(Words(b.column("text")).array.filter(pa.array(kept)), left)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(o.n, pa.int64()), pa.array(o.n - left, pa.int64()), pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -319,27 +590,66 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every word that a repeated window of ``window`` words covers is removed,
     first occurrences too; ``kept`` has what stays, joined by one blank, and is
-    null where nothing was removed (the text's own words stay then). Null and
+    null where no word was removed (the text's own words stay then). Null and
     wordless texts have no words. Repeated rows repeat each other's windows. An
     empty table gives no rows; other columns are not read.
+
+    One task holds the names of one shard, which grow with ``shard_bytes`` of
+    text and not with the corpus; the shards' number does.
     """
     need(docs, id_col, text_col)
+    if not 1 <= window < 1 << 15:
+        raise ValueError("window must be 1 to 32767")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = int(min(1 << 16, max(16, -(-size // shard_bytes))))
+    shards = max(16, -(-size // shard_bytes))
     root = shared_path(spark, "repeats")
-    named = rows.select("text").mapInArrow(_names(shards, window), SENT)
-    named.groupBy("shard").applyInArrow(_repeated(root, "name"), "n bigint").agg(F.sum("n")).collect()
+    sent = rows.select("text").mapInArrow(partial(_count_words, shards=shards), SENT_WORDS)
+    names = _named(sent, root, "word", shards, partial(_write_words, root=root), 0)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    sifted = stash(rows.mapInArrow(_sift(root, shards, window), f"doc_id {id_type}, n_words bigint, kept_sha256 string, text string, starts binary"), "sifted")
-    open_ = sifted.filter("starts IS NOT NULL").select("doc_id", "text", "starts")
-    open_.mapInArrow(_windows(shards, window), SENT).groupBy("shard").applyInArrow(_repeated(root, "window"), "n bigint").agg(F.sum("n")).collect()
-    done = open_.mapInArrow(_remove(root, shards, window), f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string").withColumn("kept_sha256", F.sha2("kept", 256))
-    same = sifted.filter("starts IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept"), "kept_sha256")
-    return done.unionByName(same).withColumnRenamed("doc_id", id_col)
+    schema = f"doc_id {id_type}, n_words bigint, kept_sha256 string, text string, {Open.COLUMNS}"
+    # Names take four bytes while their number fits, then eight.
+    wide = names.base[-1] >= 1 << 31
+    finished: list[DataFrame] = []
+
+    def settled(df: DataFrame, name: str) -> DataFrame:
+        """Write ``df``; the rows that no window is left of are finished."""
+        out = stash(df, name)
+        finished.append(stash(out.filter("alive IS NULL").select("doc_id", "n_words", "kept_sha256"), "finished"))
+        return out
+
+    state = settled(rows.mapInArrow(partial(_name_words, names=names, window=window, wide=wide), schema), "named")
+    number, named = 0, int(names.base[-1])
+    while True:
+        open_ = state.filter("alive IS NOT NULL")
+        symbols = open_.agg(F.coalesce(F.sum(F.octet_length("first")), F.lit(0))).first()[0] // 4
+        if not symbols:
+            break
+        few, before = max(8, -(-symbols * 8 // shard_bytes)), named
+        for kind, step in ((f"run{number}", None), (f"pair{number}", number)):
+            sent = open_.mapInArrow(partial(_count_pairs, shards=few, number=step, window=window), SENT_PAIRS)
+            found = _named(sent, root, kind, few, partial(_write_pairs, root=root, kind=kind), named)
+            if step is None and found.base[-1] == named:
+                continue  # no run of any symbol occurs twice
+            named = int(found.base[-1])
+            wide = named >= 1 << 31
+            after = settled(open_.mapInArrow(partial(_apply_round, names=found, number=step, window=window, wide=wide), schema), kind)
+            drop_stash(state)
+            state, open_ = after, after.filter("alive IS NOT NULL")
+        number += 1
+        if named == before:
+            break
+    open_ = state.filter("alive IS NOT NULL")
+    sent = open_.mapInArrow(partial(_send_windows, root=root, shards=shards, window=window, wide=wide), "shard int, k binary, place binary, more binary")
+    windows = _named(sent, root, "window", shards, partial(_write_windows, root=root, window=window, wide=wide), 0)
+    out = open_.mapInArrow(partial(_remove, windows=windows, window=window, wide=wide), f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string")
+    out = out.select("doc_id", "n_words", "n_removed", F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"), F.sha2("kept", 256).alias("kept_sha256"))
+    for s in finished:
+        out = out.unionByName(s.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept"), "kept_sha256"))
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: n_words, n_removed and the SHA-256 of the kept words."""
+    """One row for each document: n_words, n_removed and the SHA-256 of the kept words; rows and nulls as in :func:`remove_repeats`."""
     return remove_repeats(docs, id_col, text_col).select(id_col, "n_words", "n_removed", "kept_sha256")
