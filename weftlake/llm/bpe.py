@@ -376,7 +376,7 @@ def _decode(vocabulary: str):
             x = b.column(b.num_columns - 1)
             flat = pc.fill_null(x, pa.scalar([], x.type))
             texts = v.decode_all(Lists(flat.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(flat).to_pylist()])))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pc.if_else(x.is_valid(), texts, pa.scalar(None, pa.string()))], [*b.schema.names[:-1], "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts.take(pa.array(np.arange(len(texts)), mask=x.is_null().to_numpy(zero_copy_only=False)))], [*b.schema.names[:-1], "decoded"])
 
     return run
 

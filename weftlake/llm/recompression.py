@@ -360,14 +360,15 @@ class Open:
     def columns(self, wide: bool) -> list[pa.Array]:
         """The columns of each text; null for texts that no window is left of."""
         kind, s = "<u8" if wide else "<u4", self.symbols
+        names, name = self.names.astype(kind), s.name.astype(kind)
+        near = [x.astype("<u2") for x in (s.last - s.first, s.first - s.lo, s.hi - s.last)]
         cut = np.searchsorted(s.first, self.at)
         out: list[list] = [[] for _ in range(7)]
         for a, k, i, j in zip(self.at, self.n, cut, cut[1:]):
             starts = self.alive[a : a + k]
             row = [None] * 7
             if starts.any():
-                row = [self.names[a : a + k].astype(kind).tobytes(), _bits(starts), s.name[i:j].astype(kind).tobytes(), (s.first[i:j] - a).astype("<u4").tobytes()]
-                row += [x[i:j].astype("<u2").tobytes() for x in (s.last - s.first, s.first - s.lo, s.hi - s.last)]
+                row = [names[a : a + k].tobytes(), _bits(starts), name[i:j].tobytes(), (s.first[i:j] - a).astype("<u4").tobytes(), *(x[i:j].tobytes() for x in near)]
             for c, x in zip(out, row):
                 c.append(x)
         return [pa.array(c, pa.binary()) for c in out]
@@ -401,11 +402,16 @@ def _name_words(batches: Iterator[pa.RecordBatch], names: Names, window: int, wi
             open_ = columns[0].is_valid().to_numpy(zero_copy_only=False)
             sha = [None if o else hashlib.sha256(t).hexdigest() for t, o in zip(joined(w.array, w.n), open_)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(w.n, pa.int64()), pa.array(sha, pa.string()), pc.if_else(pa.array(open_), texts, pa.scalar(None, texts.type)), *columns],
+                [rows.column("doc_id"), pa.array(w.n, pa.int64()), pa.array(sha, pa.string()), _only(texts, open_), *columns],
                 ["doc_id", "n_words", "kept_sha256", "text", *FIELDS],
             )
 
 
+def _only(texts: pa.Array, which: np.ndarray) -> pa.Array:
+    """The texts, null where they aren't asked for."""
+    return texts.take(pa.array(np.arange(len(texts)), mask=~which))
+
+
 def _some(batches: Iterator[pa.RecordBatch], most: int = 200) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, most):
@@ -460,7 +466,7 @@ def _apply_round(batches: Iterator[pa.RecordBatch], names: Names, number: int |
             for k, t in zip(np.flatnonzero(closed), joined(w.array, w.n)):
                 sha[k] = hashlib.sha256(t).hexdigest()
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("n_words"), pa.array(sha, pa.string()), pc.if_else(pa.array(closed), pa.scalar(None, text.type), text), *columns],
+            [b.column("doc_id"), b.column("n_words"), pa.array(sha, pa.string()), _only(text, ~closed), *columns],
             ["doc_id", "n_words", "kept_sha256", "text", *FIELDS],
         )
 
