@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that operators use inside, and of columns that they add.
-EXTRA = ["size", "key", "h", "rid", "fp", "w", "n", "score", "shard", "kept", "_text", "c0", "t", "s"]
+EXTRA = ["size", "key", "h", "rid", "fp", "w", "n", "score", "shard", "kept", "_text", "_text_in", "_ids", "_decoded", "c0", "t", "s", "stays", "cand", "first", "h1", "k1", "topic_", "weight", "_weight", "_s", "rng", "part", "host", "ids", "held_out"]
 
 
 def make(spark, rows):

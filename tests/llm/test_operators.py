@@ -335,6 +335,12 @@ def test_language(docs, rows, empty):
         c = Counter(code(g) for _, t, k, _ in rows if k == la for g in grams(t or ""))
         assert made[la].tolist() == [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:300]]
     p = Profiles(made)
+    for r in out:  # the report's predictions are those of profiles learned from the rows that aren't held out
+        assert r.held_out in (True, False)
+    learned = Profiles(train_profiles(docs.filter("lang IS NOT NULL AND crc32(coalesce(CAST(doc_id AS string), '')) % 5 != 0").select("lang", "text")))
+    want = Counter((i, *learned.predict(t)) for i, t, *_ in rows)
+    assert Counter((r.doc_id, r.lang_pred, r.score) for r in out) == want
+
     t = "Straße où élan"
     mine = [g for g, _ in sorted(Counter(map(code, grams(t))).items(), key=lambda x: (-x[1], x[0]))[:300]]
     off = {la: sum(abs(k - made[la].tolist().index(g)) if g in made[la] else 300 for k, g in enumerate(mine)) for la in langs}
@@ -378,6 +384,19 @@ def test_language_model(docs, rows, empty):
     assert score_report(empty).count() == 0
 
 
+def test_counts_of_64_bits():
+    """Counts beyond 32 bits are kept whole."""
+    import numpy as np
+
+    from weftlake.llm.lm import WORD, merged, sums_by
+
+    many = np.full(3, (1 << 32) - 1, np.uint32)
+    k, v, w, n = merged(np.array([7, 7, 7], np.uint64), np.array([9, 9, 8], np.uint64), many)
+    assert sorted(n.tolist()) == [(1 << 32) - 1, 2 * ((1 << 32) - 1)]
+    assert sums_by(np.zeros(3, int), np.array([1 << 62, 1 << 60, 3], np.uint64), 1).tolist() == [(1 << 62) + (1 << 60) + 3]
+    assert all(WORD[c] == np.dtype("<u8") for c in WORD.names)
+
+
 def test_mixing(docs, rows, empty, spark):
     from weftlake.llm.mixing import mix_report, mix_sample, rake
 

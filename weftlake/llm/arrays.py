@@ -94,6 +94,16 @@ def slices(b: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.Recor
         first = stop
 
 
+def received(batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[str, list]] | None:
+    """(shard, columns) of all rows of a task that was dealt one shard; None for no rows."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    t = pa.Table.from_batches(held)
+    (shard,) = t["shard"].unique().to_pylist()
+    return shard, {c: t[c].to_pylist() for c in t.column_names if c != "shard"}
+
+
 def put(root: str, name: str, data: np.ndarray) -> None:
     """Write a file below the shared folder; a task that runs twice leaves one whole file."""
     uri = urlparse(root)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +45,3 @@ def unit_hash(*cols: Column) -> Column:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-
-def one_of(names: Iterable[str], n: int) -> str:
-    return next(x for x in names if x.startswith(f"op{n}_"))

@@ -22,15 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftlake.llm.common import need
+from weftlake.llm.arrays import Lists
+from weftlake.llm.common import fresh, need
 
 PROFILE = 300
 SIZES = (1, 2, 3)
 BITS = 21  # of a code point
 PIECE = 1 << 21  # letters that are counted at once
 UNDETERMINED = "und"
-#: Languages whose profiles are held by a task; each takes PROFILE n-grams.
-MAX_LANGUAGES = 4096
 
 
 @lru_cache(maxsize=1)
@@ -99,27 +98,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_profiles(labelled: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
-    """The profile of each language of ``labelled`` (lang, text): counts over all its rows; equal counts stand by n-gram."""
+    """The profile of each language of ``labelled`` (lang, text): counts over all its rows; equal counts stand by n-gram.
+
+    ``profile`` n-grams a language come to the driver, 16 bytes each in the model.
+    """
     counts = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= profile)
-    rows = top.select("lang", "gram", "place").limit(MAX_LANGUAGES * profile + 1).collect()  # PROFILE rows a language
-    if len(rows) > MAX_LANGUAGES * profile:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    out: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.place)):
-        out.setdefault(r.lang, []).append(r.gram)
-    return {k: np.array(v, np.int64) for k, v in out.items()}
+    rows = top.select("lang", "gram", "place").toPandas().sort_values(["lang", "place"])  # ``profile`` rows a language
+    return {lang: g["gram"].to_numpy(np.int64) for lang, g in rows.groupby("lang")}
 
 
 class Profiles:
-    """All profiles, as the place of each known n-gram in each of them."""
+    """All profiles as one sorted array of n-grams, each with the languages that hold it and its places there."""
 
     def __init__(self, profiles: dict[str, np.ndarray], profile: int = PROFILE):
         self.langs, self.profile = sorted(profiles), profile
-        self.grams = np.unique(np.concatenate([profiles[k] for k in self.langs])) if self.langs else np.zeros(0, np.int64)
-        self.place = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int32)
-        for j, k in enumerate(self.langs):
-            self.place[np.searchsorted(self.grams, profiles[k]), j] = np.arange(len(profiles[k]))
+        grams = np.concatenate([np.zeros(0, np.int64), *(profiles[k] for k in self.langs)])
+        size = [len(profiles[k]) for k in self.langs]
+        lang, place = np.repeat(np.arange(len(size), dtype=np.int32), size), np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in size)])
+        order = np.argsort(grams, kind="stable")
+        self.lang, self.place = lang[order], place[order]
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.at = np.append(first, len(grams))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The nearest language, the first by name of equally near ones, and 1 - distance / greatest distance."""
@@ -131,10 +131,12 @@ class Profiles:
         else:
             g, n = np.unique(g, return_counts=True)
         top = g[np.argsort(-n, kind="stable")[: self.profile]]  # equal counts stand by n-gram
-        at = np.searchsorted(self.grams, top)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != top)] = len(self.grams)
-        there = self.place[at]
-        off = np.where(there < 0, self.profile, np.abs(there - np.arange(len(top))[:, None])).sum(axis=0)
+        k = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
+        mine = np.flatnonzero(self.grams[k] == top)
+        held = Lists(np.arange(len(self.lang)), self.at).take(k[mine])
+        at = np.repeat(mine, np.diff(held.at))
+        near = self.profile - np.abs(self.place[held.values] - at)
+        off = self.profile * len(top) - np.bincount(self.lang[held.values], near, len(self.langs)).astype(np.int64)
         best = int(np.argmin(off))
         return self.langs[best], 1 - float(off[best]) / (self.profile * len(top))
 
@@ -143,7 +145,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
     """Every row with its columns, the predicted language and the score (0 to 1).
 
     Null texts and texts without a letter are ``und`` with score 0, as are all if
-    there is no profile. An empty table gives no rows.
+    there is no profile. Repeated rows are each predicted; columns of any other
+    name stay. An empty table gives no rows.
     """
     need(docs, text_col)
     model = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))
@@ -158,7 +161,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
 
     plain = [f"c{k}" for k in range(len(docs.columns))]
     schema = docs.toDF(*plain).schema.add("lang_pred", "string").add("score", "double")
-    return docs.withColumn("_text_in", F.col(text_col)).toDF(*plain, "t").mapInArrow(run, schema).toDF(*docs.columns, lang_out, score_out)
+    (text,) = fresh(docs, "text_in")
+    return docs.withColumn(text, F.col(text_col)).toDF(*plain, "t").mapInArrow(run, schema).toDF(*docs.columns, lang_out, score_out)
 
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
@@ -171,5 +175,5 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     need(docs, id_col, text_col, lang_col)
     held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
     profiles = train_profiles(docs.filter(~held).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
-    out = identify(docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).alias("_text")), profiles, "_text")
-    return out.select(id_col, "held_out", "lang_pred", "score")
+    out = identify(docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text")), profiles)
+    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")

@@ -8,8 +8,9 @@ arrays to the shared folder; counts by word go on to a second set of shards,
 which write the word table. Only sums over each shard come to the driver.
 
 Scoring maps the files and looks up whole batches by binary search. Nothing is
-pruned or capped: the model grows with its corpus, the shards' number too, and
-a shard's size stays. Collisions of 64-bit hashes are not resolved.
+pruned or capped and all counts have 64 bits: the model grows with its corpus,
+and so does the number of its shards, each of which is one task's work and grows
+with ``shard_bytes`` alone. Collisions of 64-bit hashes are not resolved.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.arrays import ODD, mapped, mix, pack, put, range_shard, runs, unpack
+from weftlake.llm.arrays import ODD, mapped, mix, pack, put, range_shard, received, runs, unpack
 from weftlake.llm.common import fresh, need, unit_hash
 from weftlake.session import shared_path
 
@@ -63,7 +64,7 @@ def _map_pairs(shards: int, frequent: np.ndarray):
         key = pair_key(v, w)
         order = np.argsort(key)
         at = runs(key[order])
-        n = np.diff(at, append=len(key)).astype("<u4")
+        n = np.diff(at, append=len(key)).astype("<u4")  # below 2^32, as no more tokens are held
         v, w = v[order[at]], w[order[at]]
         s = pair_shard(v, w, frequent, shards)
         order = np.argsort(v)
@@ -96,45 +97,59 @@ def _map_pairs(shards: int, frequent: np.ndarray):
     return run
 
 
-WORD = np.dtype([("h", "<u8"), ("c", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("cont", "<u4")])
+WORD = np.dtype([(c, "<u8") for c in ("h", "c", "n1", "n2", "n3", "cont")])
+
+
+def sums_by(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Exact sums of 64-bit numbers by place."""
+    out = np.zeros(n, np.uint64)
+    np.add.at(out, at, values.astype(np.uint64))
+    return out
+
+
+def merged(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, v, w, count) of the distinct pairs, by key."""
+    k = pair_key(v, w)
+    order = np.argsort(k)
+    k, v, w, n = k[order], v[order], w[order], n[order].astype(np.uint64)
+    at = runs(k)
+    return k[at], v[at], w[at], np.add.reduceat(n, at) if len(at) else n
 
 
 def _merge_pairs(root: str, shards: int):
     """All counts of a shard to its sorted file, and to what they add to each word."""
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        v = np.concatenate([unpack(b) for b in t.column("v").to_pylist()])
-        w = np.concatenate([np.frombuffer(b, "<u8") for b in t.column("w").to_pylist()])
-        n = np.concatenate([np.frombuffer(b, "<u4") for b in t.column("n").to_pylist()]).astype(np.int64)
-        k = pair_key(v, w)
-        order = np.argsort(k)
-        k, v, w, n = k[order], v[order], w[order], n[order]
-        at = runs(k)
-        k, v, w, n = k[at], v[at], w[at], np.add.reduceat(n, at)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := received(batches)) is None:
+            return
+        shard, t = got
+        v = np.concatenate([unpack(b) for b in t["v"]])
+        w = np.concatenate([np.frombuffer(b, "<u8") for b in t["w"]])
+        k, v, w, n = merged(v, w, np.concatenate([np.frombuffer(b, "<u4") for b in t["n"]]))
         put(root, f"pair-{shard:05d}.k", k.astype("<u8"))
-        put(root, f"pair-{shard:05d}.c", np.minimum(n, (1 << 32) - 1).astype("<u4"))
+        put(root, f"pair-{shard:05d}.c", n.astype("<u8"))
         # By word: what it counts as a context, and the contexts that it follows.
         h, inv = np.unique(np.concatenate([v, w]), return_inverse=True)
         iv, iw = inv[: len(v)], inv[len(v) :]
         cols = {
-            "c": np.bincount(iv, weights=n, minlength=len(h)).astype("<u8"),
-            "n1": np.bincount(iv[n == 1], minlength=len(h)).astype("<u4"),
-            "n2": np.bincount(iv[n == 2], minlength=len(h)).astype("<u4"),
-            "n3": np.bincount(iv[n > 2], minlength=len(h)).astype("<u4"),
-            "cont": np.bincount(iw, minlength=len(h)).astype("<u4"),
+            "c": sums_by(iv, n, len(h)),
+            "n1": np.bincount(iv[n == 1], minlength=len(h)),
+            "n2": np.bincount(iv[n == 2], minlength=len(h)),
+            "n3": np.bincount(iv[n > 2], minlength=len(h)),
+            "cont": np.bincount(iw, minlength=len(h)),
         }
         s = range_shard(h, shards)
         at = runs(s)
         ends = np.append(at[1:], len(s))
         classes = [[int((n == i).sum()) if a == 0 else 0 for i in (1, 2, 3, 4)] for a in at]
-        return pa.table(
-            {
-                "shard": pa.array(s[at]),
-                "h": pa.array([pack(h[a:b]) for a, b in zip(at, ends)], pa.binary()),
-                **{c: pa.array([x[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()) for c, x in cols.items()},
-                "pairs": pa.array(classes, pa.list_(pa.int64())),
-            }
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(s[at]),
+                pa.array([pack(h[a:b]) for a, b in zip(at, ends)], pa.binary()),
+                *(pa.array([x[a:b].astype("<u8").tobytes() for a, b in zip(at, ends)], pa.binary()) for x in cols.values()),
+                pa.array(classes, pa.list_(pa.int64())),
+            ],
+            ["shard", "h", *cols, "pairs"],
         )
 
     return run
@@ -143,20 +158,20 @@ def _merge_pairs(root: str, shards: int):
 def _merge_words(root: str):
     """All that shards know of some words to one sorted file; sums over them."""
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        h = np.concatenate([unpack(b) for b in t.column("h").to_pylist()])
-        u, inv = np.unique(h, return_inverse=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (got := received(batches)) is None:
+            return
+        shard, t = got
+        u, inv = np.unique(np.concatenate([unpack(b) for b in t["h"]]), return_inverse=True)
         out = np.zeros(len(u), WORD)
         out["h"] = u
         for c in WORD.names[1:]:
-            x = np.concatenate([np.frombuffer(b, "<u8" if c == "c" else "<u4") for b in t.column(c).to_pylist()])
-            out[c] = np.bincount(inv, weights=x, minlength=len(u)).astype(np.int64)
+            out[c] = sums_by(inv, np.concatenate([np.frombuffer(b, "<u8") for b in t[c]]), len(u))
         put(root, f"word-{shard:05d}", out)
-        pairs = np.sum(t.column("pairs").to_pylist(), axis=0)
+        pairs = np.sum(t["pairs"], axis=0)
         cont = out["cont"]
-        sums = [int(out["c"].sum()), int((cont > 0).sum()), int(cont.sum(dtype=np.int64)), *(int((cont == i).sum()) for i in (1, 2, 3, 4)), int((cont > 2).sum()), *map(int, pairs)]
-        return pa.table({"sums": pa.array([sums], pa.list_(pa.int64()))})
+        sums = [int(out["c"].sum()), int((cont > 0).sum()), int(cont.sum()), *(int((cont == i).sum()) for i in (1, 2, 3, 4)), int((cont > 2).sum()), *map(int, pairs)]
+        yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.int64()))], ["sums"])
 
     return run
 
@@ -197,7 +212,7 @@ class Model:
         return out
 
     def pair_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(v), np.uint32)
+        out = np.zeros(len(v), np.uint64)
         key = pair_key(v, w)
         s = pair_shard(v, w, np.array(self.frequent, np.uint64), self.shards)
         order = np.argsort(s, kind="stable")
@@ -208,7 +223,7 @@ class Model:
             if len(table):
                 q = key[order[a:b]]
                 k = np.minimum(np.searchsorted(table, q), len(table) - 1)
-                out[order[a:b]] = np.where(table[k] == q, mapped(self.root, f"{name}.c", "<u4")[k], 0)
+                out[order[a:b]] = np.where(table[k] == q, mapped(self.root, f"{name}.c", "<u8")[k], 0)
         return out
 
     def scores(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,12 +236,12 @@ class Model:
         d = np.array((0.0, *self.pair_discounts))
         e = np.array((0.0, *self.word_discounts))
         cont = row["cont"].astype(float)
-        lower = (np.maximum(cont - e[np.minimum(row["cont"], 3)], 0) / self.pairs if self.pairs else cont) + self.backoff / (self.types + 1)
+        lower = (np.maximum(cont - e[np.minimum(row["cont"], 3).astype(int)], 0) / self.pairs if self.pairs else cont) + self.backoff / (self.types + 1)
         c = row["c"].astype(float)
         free = d[1] * row["n1"] + d[2] * row["n2"] + d[3] * row["n3"]
         cv = c[iv]
         seen = cv > 0
-        p = np.where(seen, (np.maximum(n - d[np.minimum(n, 3)], 0) + free[iv] * lower[iw]) / np.where(seen, cv, 1), lower[iw])
+        p = np.where(seen, (np.maximum(n.astype(float) - d[np.minimum(n, 3).astype(int)], 0) + free[iv] * lower[iw]) / np.where(seen, cv, 1), lower[iw])
         # As a token the end counts as often as the beginning does as a context.
         c[u == np.uint64(END)] = c[u == np.uint64(BEGIN)]
         base = np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
@@ -239,7 +254,7 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTE
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))
     size, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    shards = min(1 << 16, max(16, -(-size // shard_bytes)))
+    shards = max(16, -(-size // shard_bytes))
     drawn = texts.filter(unit_hash(F.xxhash64("text"), F.lit(2)) < min(1.0, SAMPLE_TEXTS / max(rows, 1))).select(F.lower("text").alias("t"))
     seen = drawn.select(F.explode(F.split("t", r"[\x20\x09-\x0D]+")).alias("w")).groupBy("w").count()
     total = seen.agg(F.sum("count")).first()[0] or 0
@@ -247,9 +262,9 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTE
     frequent = np.array(sorted({h for w in hot for h in tokens(w)} | {BEGIN}), np.uint64)
     root = shared_path(spark, "lm")
     pairs = texts.mapInArrow(_map_pairs(shards, frequent), "shard int, v binary, w binary, n binary")
-    words = pairs.groupBy("shard").applyInArrow(_merge_pairs(root, shards), "shard int, h binary, c binary, n1 binary, n2 binary, n3 binary, cont binary, pairs array<bigint>")
-    sums = words.groupBy("shard").applyInArrow(_merge_words(root), "sums array<bigint>").collect()  # one row a shard
-    n, types, cont, c1, c2, c3, c4, more, p1, p2, p3, p4 = np.sum([r.sums for r in sums], axis=0).tolist() if sums else [0] * 12
+    words = pairs.repartitionById(shards, "shard").mapInArrow(_merge_pairs(root, shards), "shard int, h binary, c binary, n1 binary, n2 binary, n3 binary, cont binary, pairs array<bigint>")
+    sums = words.repartitionById(shards, "shard").mapInArrow(_merge_words(root), "sums array<bigint>").collect()  # one row a shard
+    n, types, cont, c1, c2, c3, c4, more, p1, p2, p3, p4 = [sum(c) for c in zip(*(r.sums for r in sums))] if sums else [0] * 12
     e = discounts([c1, c2, c3, c4])
     backoff = (e[0] * c1 + e[1] * c2 + e[2] * more) / cont if cont else 1.0
     return Model(root, int(shards), tuple(map(int, frequent)), n, types, cont, discounts([p1, p2, p3, p4]), e, backoff)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.arrays import ODD, Lists, mapped, mix, pack, parts, put, range_shard, runs, slices, unpack
+from weftlake.llm.arrays import ODD, Lists, mapped, mix, pack, parts, put, range_shard, received, runs, slices, unpack
 from weftlake.llm.common import need
 from weftlake.session import drop_stash, shared_path, stash
 
@@ -149,16 +149,6 @@ def _unbits(b: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
 
 
-def _received(batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[str, list]] | None:
-    """(shard, columns) of all that a shard's task got."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return None
-    t = pa.Table.from_batches(held)
-    (shard,) = t["shard"].unique().to_pylist()
-    return shard, {c: t[c].to_pylist() for c in t.column_names if c != "shard"}
-
-
 SENT_WORDS = "shard int, k binary, size binary, word binary, more binary"
 SENT_PAIRS = "shard int, k binary, x binary, y binary, more binary"
 
@@ -192,7 +182,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
 
 
 def _write_words(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
-    if (got := _received(batches)) is None:
+    if (got := received(batches)) is None:
         return
     shard, c = got
     ks = [unpack(b) for b in c["k"]]
@@ -227,7 +217,7 @@ def distinct_pairs(k: np.ndarray, x: np.ndarray, y: np.ndarray, times: np.ndarra
 
 
 def _write_pairs(batches: Iterator[pa.RecordBatch], root: str, kind: str) -> Iterator[pa.RecordBatch]:
-    if (got := _received(batches)) is None:
+    if (got := received(batches)) is None:
         return
     shard, c = got
     ks = [unpack(b) for b in c["k"]]
@@ -547,7 +537,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], root: str, shards: int, win
 
 def _write_windows(batches: Iterator[pa.RecordBatch], root: str, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
     """Windows that occur more than once, each by its hash and the least place that holds it."""
-    if (got := _received(batches)) is None:
+    if (got := received(batches)) is None:
         return
     shard, c = got
     ks = [unpack(b) for b in c["k"]]
