@@ -25,6 +25,8 @@ from weftlake.session import stash
 PROBES = 3
 BLOCK_BITS = 16
 FLUSH_ROWS = 1 << 21
+#: Groups of equal texts, of 60 bytes each, up to which their table is broadcast after they are counted.
+BROADCAST_GROUPS = 200_000
 
 
 def cells(h: np.ndarray, bits: int) -> np.ndarray:
@@ -117,9 +119,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rows = base.withColumn("maybe", maybe_repeated("h"))
     repeated = rows.filter("maybe").select("doc_id", "rid", "sha")
-    groups = repeated.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size"))
-    shuffled = repeated.join(groups, "sha").select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "sha"
+    # Written before the join, so that neither side of it is an aggregate: AQE can then split the rows of one hash.
+    groups = stash(repeated.groupBy("sha").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")).filter("group_size > 1"), "groups")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+    alone = F.col("group_size").isNull()
+    shuffled = repeated.join(groups, "sha", "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("rid") == F.col("keep.rid"))).alias("kept"),
+        "sha",
     )
     straight = rows.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     out = shuffled.unionByName(straight)
