@@ -15,7 +15,7 @@ def brute(rows):
         ls, gone = t.split("\n"), set()
         for k in range(len(ls) - 1):
             pair = f"{ls[k]}\n{ls[k + 1]}"
-            if pair.strip(" \t\n\r"):
+            if pair.encode().split():
                 d, at = first.setdefault(pair, ((known, i, t), k))
                 if d != (known, i, t) or k > at + 1:
                     gone |= {k, k + 1}
@@ -53,3 +53,32 @@ def test_query_and_stage_find_every_short_passage(spark, shared, tmp_path):
     assert {(r.doc_id, r.n_removed_lines, r.n_removed_chunks) for r in out} == {(i, 2 * (i > 0), int(i > 0)) for i in range(40)}
     texts = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, None).collect()}
     assert texts == {i: t if i == 0 else f"a {i}\nb {i}\nc {i}\nd {i}" for i, t, *_ in shared}
+
+
+def test_blank_lines_stay(spark):
+    """Chunks of white space alone are left, with runs and without."""
+    from weftlake.llm.line_dedup import line_chunk_dedup
+
+    texts = ["\n" * 6, "\t\n\x0c\n \t \n\r"]
+    rows = [(2 * k + j, t, "en", "s") for k, t in enumerate(texts) for j in range(2)]
+    for runs in (False, True):
+        kept = {r.doc_id: r.text for r in line_chunk_dedup(make(spark, rows), runs=runs).collect()}
+        assert kept == {i: t for i, t, *_ in rows}
+
+
+def test_texts_behind_one_hash_pair_are_told_apart(spark, docs, rows, monkeypatch):
+    """With hashes that many texts share the result is that of the bytes."""
+    from weftlake.llm import line_dedup as d
+
+    right = {runs: sorted(map(str, d.line_report(docs, runs=runs).collect())) for runs in (False, True)}
+    monkeypatch.setattr(d, "HASHES", ("CAST(length(s) AS bigint)", "CAST(length(s) % 7 AS bigint)"))
+    for runs in (False, True):
+        assert sorted(map(str, d.line_report(docs, runs=runs).collect())) == right[runs]
+
+
+def test_runs_add_to_chunks(docs):
+    """The first step removes no more than both."""
+    from weftlake.llm.line_dedup import line_report
+
+    some, more = ({(r.doc_id, r.kept_sha256): r.n_removed_lines for r in line_report(docs, runs=x).collect()} for x in (False, True))
+    assert 0 < sum(some.values()) < sum(more.values())

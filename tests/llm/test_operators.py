@@ -137,7 +137,7 @@ def test_line_chunks(docs, rows, empty):
     places = Counter((i, t) for i, t, *_ in rows)
     for known, i, t in order:
         for start, c in lines_of(t):
-            if len(c) > 1 and "\n".join(c).strip(" "):
+            if len(c) > 1 and "\n".join(c).encode().split():
                 count["\n".join(c)] += places[i if known else None, t]
                 first.setdefault("\n".join(c), (i if known else None, t, start))
     want = Counter()

@@ -1,15 +1,19 @@
-"""Line deduplication by repeated runs or content-defined chunks, by DataFrame functions only.
-
-Runs: every ``MIN_LINES`` adjacent lines are a place, so that each repeated run
-of that many lines or more is covered by repeated places, wherever it starts.
-Chunks: a rolling hash over the hashes of ``WINDOW`` lines cuts each text where
-the hash is divisible by ``SPREAD``, so that an inserted line moves no later
-boundary; repeats that no two boundaries enclose stay.
-
-Places that occur again anywhere are removed but for their first one in the
-order of (id, position), after their bytes have been compared. Each removed line
-has an equal line before it that stays. Only ids and hashes are counted; text is
-shuffled once, to meet the decisions about it.
+"""Line deduplication by content-defined chunks, by DataFrame functions only.
+
+A rolling hash over the hashes of ``WINDOW`` lines cuts each text where the hash
+is divisible by ``SPREAD``, so that an inserted line moves no later boundary.
+Chunks of ``MIN_LINES`` lines or more that occur again anywhere are removed but
+for their first place in the order of (id, position), after their bytes have
+been compared.
+
+A chunk is found only if both its boundaries lie in what repeats. With ``runs``
+a second step grows the found chunks to the ends of each repeated run and finds
+the runs that hold no whole chunk: every ``MIN_LINES`` adjacent lines that no
+removed chunk covers are a place of their own, handled likewise. Lines of removed
+chunks take no part in it, as each has its copy in a chunk that stays.
+
+Each removed line has an equal line before it that stays. Only ids and hashes are
+counted; text is shuffled once for each step, to meet the decisions about it.
 """
 
 from __future__ import annotations
@@ -23,6 +27,13 @@ from weftlake.session import drop_stash, stash
 WINDOW = 2
 SPREAD = 4
 MIN_LINES = 2
+#: Repeated hash pairs, of 60 bytes each, up to which their table is broadcast after they are counted.
+BROADCAST_PLACES = 200_000
+#: Texts with repeated places up to which these are broadcast; each holds as many as it has lines.
+BROADCAST_TEXTS = 5_000
+#: SQL for the two hashes of a place's text ``s``, and for whether it holds more than white space.
+HASHES = ("xxhash64(s)", "xxhash64(7, s)")
+FULL = r"s rlike '[^\\x20\\x09-\\x0D]'"
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -37,7 +48,7 @@ def chunks(df: DataFrame, text: str, out: str) -> DataFrame:
     one = let(
         "array_join(slice(ls, c.first + 1, c.stop - c.first), '\\n')",
         "s",
-        "struct(c.first AS first, c.stop - c.first AS n, xxhash64(s) AS h1, xxhash64(7, s) AS h2, length(trim(s)) > 0 AS full)",
+        f"struct(c.first AS first, c.stop - c.first AS n, {HASHES[0]} AS h1, {HASHES[1]} AS h2, {FULL} AS full)",
     )
     each = f"transform(transform(cut, (e, j) -> struct(coalesce(get(cut, j - 1), 0) AS first, e AS stop)), c -> {one})"
     lines = f"IF(`{text}` IS NULL, CAST(array() AS array<string>), split(`{text}`, '\\n', -1))"
@@ -49,13 +60,69 @@ def windows(df: DataFrame, text: str, out: str) -> DataFrame:
     one = let(
         f"array_join(slice(ls, i + 1, {MIN_LINES}), '\\n')",
         "s",
-        f"struct(i AS first, {MIN_LINES} AS n, xxhash64(s) AS h1, xxhash64(7, s) AS h2, length(btrim(s, ' \\t\\n\\r')) > 0 AS full)",
+        f"struct(i AS first, {MIN_LINES} AS n, {HASHES[0]} AS h1, {HASHES[1]} AS h2, {FULL} AS full)",
     )
     at = f"filter(sequence(0, greatest(size(ls) - {MIN_LINES}, 0)), i -> i + {MIN_LINES} <= size(ls))"
-    lines = f"IF(`{text}` IS NULL, CAST(array() AS array<string>), split(`{text}`, '\n', -1))"
+    lines = f"IF(`{text}` IS NULL, CAST(array() AS array<string>), split(`{text}`, '\\n', -1))"
     return df.withColumn(out, F.expr(let(lines, "ls", f"transform({at}, i -> {one})")))
 
 
+KEY = ["id", "th", "tl"]
+PAIR = ["h1", "h2"]
+
+
+def decided(places: DataFrame, by: list[str]) -> DataFrame:
+    """Places whose text (columns ``by``) occurs again, with whether they stay.
+
+    Sums by text are written before the join, so that neither side of it is an
+    aggregate: AQE can then split the places of one text.
+    """
+    first = F.min(F.struct(*KEY, "first")).alias("keep")
+    repeated = stash(places.groupBy(*by).agg(F.count("*").alias("m"), first).filter("m > 1").drop("m"), "texts")
+    if repeated.count() <= BROADCAST_PLACES:
+        repeated = F.broadcast(repeated)
+    own = F.struct(*KEY).eqNullSafe(F.struct(*(f"keep.{c}" for c in KEY)))
+    return places.join(repeated, by).select(*KEY, "first", "n", *PAIR, (own & (F.col("first") < F.col("keep.first") + F.col("n"))).alias("stays"))
+
+
+def same_text(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on the columns of KEY, null ids being equal; those of the right side go. A small right side is broadcast after it is counted."""
+    right = right.withColumnsRenamed({c: f"r_{c}" for c in KEY})
+    if right.count() <= BROADCAST_TEXTS:
+        right = F.broadcast(right)
+    on = left["id"].eqNullSafe(right["r_id"]) & (left["th"] == right["r_th"]) & (left["tl"] == right["r_tl"])
+    return left.join(right, on, how).drop(*(f"r_{c}" for c in KEY))
+
+
+def repeated_places(docs: DataFrame, runs: bool, skip: DataFrame | None) -> DataFrame:
+    """(KEY, first, n, PAIR, stays) of the repeated chunks of ``docs`` (id, th, tl, text) and, with ``runs``, of what they leave.
+
+    Texts of the hash pairs in ``skip`` are told apart by their bytes.
+    """
+    full = lambda a: F.filter(a, lambda c: (c["n"] >= MIN_LINES) & c["full"])
+    base = chunks(docs, "text", "chunks")
+    base = windows(base, "text", "windows") if runs else base.withColumn("windows", F.col("chunks"))
+    ls = [] if skip is None else [F.split("text", "\n", -1).alias("ls")]
+    found = base.select(*KEY, full("chunks").alias("chunks"), *([full("windows").alias("windows")] if runs else []), *ls)
+    found = stash(found.filter(F.size("windows" if runs else "chunks") > 0), "places")
+
+    def decide(rows: DataFrame, places) -> DataFrame:
+        at = rows.select(*KEY, *(["ls"] if ls else []), F.explode(places).alias("c")).select(*KEY, *(["ls"] if ls else []), "c.first", "c.n", "c.h1", "c.h2")
+        if skip is None:
+            return stash(decided(at, PAIR), "repeated")
+        apart = at.join(F.broadcast(skip), PAIR, "left_semi").withColumn("s", F.expr("array_join(slice(ls, first + 1, n), '\\n')"))
+        return stash(decided(at.drop("ls").join(F.broadcast(skip), PAIR, "left_anti"), PAIR).unionByName(decided(apart, [*PAIR, "s"])), "repeated")
+
+    out = decide(found, "chunks")
+    if runs:
+        gone = stash(out.filter("NOT stays").groupBy(*KEY).agg(F.collect_set(F.struct("first", "n")).alias("gone")), "gone")
+        covered = lambda c: F.exists("gone", lambda g: (g["first"] <= c["first"]) & (g["first"] + g["n"] >= c["first"] + c["n"]))
+        out = out.unionByName(decide(same_text(found, gone, "left"), F.filter("windows", lambda c: ~F.coalesce(covered(c), F.lit(False)))))
+        out = stash(out, "decisions")
+    drop_stash(found)
+    return out
+
+
 def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text_out: str = "text", counts: tuple[str, str, str] | None = None, runs: bool = False) -> DataFrame:
     """Every document, with the columns it came with and its repeated chunks removed.
 
@@ -64,40 +131,32 @@ def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ``text_out`` may name another column for the shortened text; ``counts``
     names columns for the lines, the removed lines and the removed chunks. Null
-    stays null and is never a chunk; blank chunks and single lines are left. A
-    text of which nothing stays is empty. Rows that agree in id and text are one
-    document and keep alike; null ids order first. An empty table gives no rows.
+    stays null and is never a chunk; chunks of white space alone (blanks, tabs,
+    line and form feeds, returns) and single lines are left. A text of which
+    nothing stays is empty. Rows that agree in id and text are one document and
+    keep alike; null ids order first. An empty table gives no rows.
     """
     need(docs, id_col, text_col)
-    spark = docs.sparkSession
     text = F.col(text_col)
-    key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.octet_length(text).alias("tl")]
-    base = (windows if runs else chunks)(docs.select(*key, text.alias("text")), "text", "chunks")
-    found = stash(base.select("id", "th", "tl", F.expr(f"filter(chunks, c -> c.n >= {MIN_LINES} AND c.full)").alias("chunks")).filter(F.size("chunks") > 0), "chunks")
-    places = found.select("id", "th", "tl", F.explode("chunks").alias("c")).select("id", "th", "tl", "c.first", "c.n", "c.h1", "c.h2")
-    repeated = places.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "tl", "first")).alias("keep")).filter("m > 1").drop("m")
-    again = stash(
-        places.join(repeated, ["h1", "h2"]).withColumn("stays", F.struct("id", "th", "tl").eqNullSafe(F.struct("keep.id", "keep.th", "keep.tl")) & (F.col("first") < F.col("keep.first") + F.col("n"))).drop("keep"),
-        "repeated",
-    )
     id_, th, tl, cand, ls = fresh(docs, "id", "th", "tl", "cand", "ls")
-
-    def met(decisions: DataFrame) -> DataFrame:
-        by_doc = decisions.groupBy("id", "th", "tl").agg(F.sort_array(F.collect_set(F.struct("first", "n", "h1", "h2", "stays"))).alias("cand"))
-        left = docs.withColumns({th: F.xxhash64(text), tl: F.octet_length(text)})
-        right = by_doc.select(F.col("id").alias(id_), F.col("th").alias(f"{th}r"), F.col("tl").alias(f"{tl}r"), F.col("cand").alias(cand))
-        on = left[id_col].eqNullSafe(right[id_]) & (left[th] == right[f"{th}r"]) & (left[tl] == right[f"{tl}r"])
-        return left.join(right, on, "left").drop(id_, f"{th}r", f"{tl}r", th, tl)
-
-    held = stash(met(again), "met")
-    # Bytes of all places of a hash pair against each other; a pair that two texts share is left alone everywhere.
-    parts = held.select(F.split(text, "\n", -1).alias("ls"), F.explode(cand).alias("c")).select(
-        F.col("c.h1").alias("h1"), F.col("c.h2").alias("h2"), F.expr("array_join(slice(ls, c.first + 1, c.n), '\\n')").alias("s")
-    )
-    clash = stash(parts.groupBy("h1", "h2").agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a != b").select("h1", "h2"), "clash")
-    if not clash.isEmpty():
+    keyed = docs.withColumns({id_: F.col(id_col), th: F.xxhash64(text), tl: F.octet_length(text)})
+    own = [F.col(id_).alias("id"), F.col(th).alias("th"), F.col(tl).alias("tl")]
+    skip = None
+    while True:
+        decisions = repeated_places(keyed.select(*own, text.alias("text")), runs, skip)
+        by_doc = stash(decisions.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("first", "n", *PAIR, "stays"))).alias("cand")), "by_doc")
+        plain = keyed.toDF(*[f"c{k}" for k in range(len(keyed.columns))])
+        where = {f"c{keyed.columns.index(c)}": k for c, k in zip((id_, th, tl), KEY)}
+        held = stash(same_text(plain.withColumnsRenamed(where), by_doc, "left").drop(*KEY).toDF(*docs.columns, cand), "met")
+        # The bytes of all places with one pair of hashes against each other.
+        places = held.filter(F.col(cand).isNotNull()).select(F.split(text, "\n", -1).alias("ls"), F.explode(cand).alias("c")).select("c.h1", "c.h2", F.expr("array_join(slice(ls, c.first + 1, c.n), '\\n')").alias("s"))
+        if skip is not None:
+            places = places.join(F.broadcast(skip), PAIR, "left_anti")
+        clash = stash(places.groupBy(*PAIR).agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a != b").select(*PAIR), "clash")
+        if clash.isEmpty():
+            break
         drop_stash(held)
-        held = stash(met(again.join(clash, ["h1", "h2"], "left_anti")), "met")
+        skip = clash if skip is None else stash(skip.unionByName(clash), "clash")
 
     # What stays lies between the removed chunks: one slice for each gap.
     gap = "slice(ls, IF(j = 0, 0, x[j - 1].first + x[j - 1].n) + 1, greatest(0, IF(j = size(x), size(ls), x[j].first) - IF(j = 0, 0, x[j - 1].first + x[j - 1].n)))"
@@ -107,18 +166,18 @@ def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     new = {text_out: F.when(some, F.expr(gaps)).otherwise(text)}
     if counts:
         zero = F.lit(0).cast("long")
-        gone = f"""aggregate(`{cand}`, struct(0L AS lines, 0L AS stretches, -1 AS stop), (a, c) -> struct(
+        removed = f"""aggregate(`{cand}`, struct(0L AS lines, 0L AS stretches, -1 AS stop), (a, c) -> struct(
             a.lines + c.first + c.n - greatest(c.first, a.stop) AS lines, a.stretches + IF(c.first > a.stop, 1L, 0L) AS stretches, c.first + c.n AS stop))"""
         new |= {
             counts[0]: F.coalesce(ls, F.lit(0)).cast("long"),
-            counts[1]: F.coalesce(F.expr(gone)["lines"], zero),
-            counts[2]: F.coalesce(F.expr(gone)["stretches"], zero) if runs else F.when(some, F.size(cand)).otherwise(0).cast("long"),
+            counts[1]: F.coalesce(F.expr(removed)["lines"], zero),
+            counts[2]: F.coalesce(F.expr(removed)["stretches"], zero) if runs else F.when(some, F.size(cand)).otherwise(0).cast("long"),
         }
     columns = [c for c in docs.columns if c not in new] + list(new)
     return short.withColumns(new).select(*(docs.columns if columns == docs.columns or not counts and text_out in docs.columns else columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """One row for each document: n_lines, n_removed_lines, n_removed_chunks and the SHA-256 of the kept text (null for null)."""
+    """One row for each document: n_lines, n_removed_lines, n_removed_chunks and the SHA-256 of the kept text (null for null); nulls, ties and empty tables as in :func:`line_chunk_dedup`."""
     out = line_chunk_dedup(docs.select(id_col, text_col), id_col, text_col, "kept_text", ("n_lines", "n_removed_lines", "n_removed_chunks"), runs)
     return out.select(id_col, "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2("kept_text", 256).alias("kept_sha256"))
