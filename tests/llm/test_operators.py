@@ -397,22 +397,99 @@ def test_counts_of_64_bits():
     assert all(WORD[c] == np.dtype("<u8") for c in WORD.names)
 
 
-def test_mixing(docs, rows, empty, spark):
-    from weftlake.llm.mixing import mix_report, mix_sample, rake
-
-    out = mix_report(docs).collect()
-    assert Counter((r.doc_id, r.source, r.lang, r.n_tokens) for r in out) == Counter((i, s, la, len(words(t))) for i, t, la, s in rows)
-    assert all(0 <= r.probability <= 1 for r in out) and max(r.probability for r in out) == pytest.approx(1)
-    d = mix_sample(docs)
-    assert d.columns == docs.columns and Counter(r.doc_id for r in d.collect()) == Counter(r.doc_id for r in out if r.kept)
+def raked(cells, targets, rounds=3000):
+    """Weights by plain iterative proportional fitting over a dict of cells."""
+    w = {c: 1.0 for c in cells}
+    for _ in range(rounds):
+        for d in range(3):
+            mass = Counter()
+            for c, n in cells.items():
+                mass[c[d]] += n * w[c]
+            for c in cells:
+                w[c] *= targets[d].get(c[d], 0.0) / mass[c[d]] if mass[c[d]] else 0.0
+    return w
+
+
+def test_mixing(docs, rows, empty):
+    from weftlake.llm.mixing import PATTERNS, mix_report, mix_sample
+    from weftlake.llm.topics import fit_topics
+
+    model = fit_topics(docs)
+    for topics in (PATTERNS, model):
+        cells = Counter()
+        for r in mix_report(docs, topics=topics).collect():
+            cells[r.source or "\x00none", r.lang or "\x00none", r.topic] += r.n_tokens
+        total = sum(cells.values())
+        goal = [Counter(), Counter(), Counter()]  # those of some weighting, so that they can be met
+        for k, (c, n) in enumerate(sorted(cells.items())):
+            for d in range(3):
+                goal[d][c[d]] += n * (1 + k % 3)
+        goal = [{v: x / sum(g.values()) for v, x in g.items()} for g in goal]
+        out = mix_report(docs, targets=dict(zip(("source", "lang", "topic"), goal)), topics=topics).collect()
+        assert Counter((r.doc_id, r.source, r.lang, r.n_tokens) for r in out) == Counter((i, s, la, len(words(t))) for i, t, la, s in rows)
+        w = raked(cells, goal)
+        for r in out:
+            c = r.source or "\x00none", r.lang or "\x00none", r.topic
+            assert not cells[c] or r.weight == pytest.approx(w[c] * total, rel=1e-3, abs=1e-3)
+            assert r.residual < 1e-5 and 0 <= r.probability <= 1 <= r.repeats
+            assert r.probability == 1 or r.repeats == 1
+        ratio = [r.probability * r.repeats / r.weight for r in out if r.weight]
+        assert ratio == pytest.approx([ratio[0]] * len(ratio)) and max(r.probability for r in out) == 1
+        text = Counter((i, t) for i, t, *_ in rows)
+        draw = {(i, t): (xxhash_row(i, t) >> 11) / 2**53 for i, t in text}
+        kept = Counter(i for (i, t), m in text.items() for _ in range(m) if draw[i, t] < next(r.probability for r in out if r.doc_id == i and r.n_tokens == len(words(t))))
+        assert Counter(r.doc_id for r in out if r.kept and r.doc_id is not None) == Counter({i: m for i, m in kept.items() if i is not None})
+        d = mix_sample(docs, targets=dict(zip(("source", "lang", "topic"), goal)), topics=topics)
+        assert d.columns == docs.columns and Counter(r.doc_id for r in d.collect()) == Counter(r.doc_id for r in out if r.kept)
+    assert len({r.topic for r in out}) > 3 and all(r.topic == "none" for r in out if not r.n_tokens)
+    by_lang = mix_report(docs, topic_col="lang").collect()
+    assert all(r.topic == (r.lang if r.lang is not None else "\x00none") for r in by_lang)
     assert mix_report(empty).count() == 0 and mix_sample(empty).count() == 0
 
+
+def xxhash_row(doc_id, text):
+    """Spark's xxhash64 of (id, xxhash64 of the text, 9)."""
+    seed = 42
+    if doc_id is not None:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed)
+    seed = xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest((text or "").encode(), 42)), seed)
+    return xxhash.xxh64_intdigest(struct.pack("<i", 9), seed)
+
+
+def test_topics_depend_neither_on_partitions_nor_on_order(spark, docs):
+    from weftlake.llm.topics import fit_topics
+
+    a, b = fit_topics(docs), fit_topics(docs.orderBy("text").repartition(7))
+    assert (a.weight == b.weight).all() and (a.centres == b.centres).all()
+
+
+def test_raking_meets_targets_both_ways(spark):
+    from weftlake.llm import mixing
+
     cells = spark.createDataFrame([(s, la, t, (k * 7) % 11 + 1) for k, (s, la, t) in enumerate((s, la, t) for s in "abc" for la in ("x", "y") for t in ("p", "q"))], "source string, lang string, topic string, tokens long")
     goal = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.25, "y": 0.75}, "topic": {"p": 0.6, "q": 0.4}}
-    w = rake(cells, goal).collect()
-    mass = sum(r.tokens * r.weight for r in w)
-    for dim, want in goal.items():
-        for k, share in want.items():
-            assert sum(r.tokens * r.weight for r in w if r[dim] == k) / mass == pytest.approx(share, abs=1e-4)
-    drawn = sum(r.tokens * r.probability for r in w)
-    assert sum(r.tokens * r.probability for r in w if r.source == "a") / drawn == pytest.approx(0.5, abs=1e-4)
+    found = []
+    for rake in (mixing.rake_pairs, mixing.rake_cells):
+        flat, gap = rake(cells, goal, 0.9)
+        w = flat.collect()
+        assert gap < 1e-6
+        for dim, want in goal.items():
+            for k, share in want.items():
+                assert sum(r.tokens * r.weight for r in w if r[dim] == k) == pytest.approx(share, abs=1e-4)
+        found.append({(r.source, r.lang, r.topic): r.weight for r in w})
+    assert found[0] == pytest.approx(found[1], rel=1e-4)
+    # Targets that no weighting meets: the gap is told.
+    apart = spark.createDataFrame([("a", "x", "p", 5), ("b", "y", "q", 5)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="gap"):
+        w = mixing.rake(apart, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}).collect()
+    assert w[0].residual > 0.1
+
+
+def test_a_rare_cell_does_not_set_the_share_of_all(spark):
+    from weftlake.llm.mixing import rake
+
+    cells = [(f"s{k}", "x", "p", 100_000 + 1000 * k) for k in range(20)] + [("s0", "rare", "p", 5)]
+    w = rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), {"lang": {"x": 0.99, "rare": 0.01}}).collect()
+    common = [r for r in w if r.lang == "x"]
+    assert min(r.probability for r in common) > 0.5
+    assert next(r for r in w if r.lang == "rare").repeats > 100
