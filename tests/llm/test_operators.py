@@ -52,6 +52,29 @@ def test_a_group_beyond_a_share_is_split(spark):
     assert len(sizes) == 16 and max(sizes) < 1.3 * min(sizes)
 
 
+def test_groups_beside_a_hot_text_stay_whole(spark):
+    """Pairs of equal texts share a shard, whatever range they fall into; identical rows are sampled and dealt one by one."""
+    from tests.llm.conftest import make
+    from weftlake.llm.sharding import shard_by_bytes
+
+    rows = [(i, "the hot text of all", None, None) for i in range(3000)] + [(10_000 + i, f"pair {i // 2}", None, None) for i in range(3000)] + [(7, "one row", None, None)] * 500
+    out = shard_by_bytes(make(spark, rows)).collect()
+    assert len(out) == len(rows)
+    where = defaultdict(set)
+    for r in out:
+        where[r.text_crc32].add(r.shard)
+    hot = zlib.crc32(b"the hot text of all")
+    assert len(where[hot]) > 1 and all(len(s) == 1 for k, s in where.items() if k != hot)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    size = Counter()
+    for r in out:
+        size[r.shard] += r.size
+    assert max(size.values()) < 1.2 * min(size.values())
+
+
 def test_exact(docs, rows, empty):
     from weftlake.llm.exact_dedup import exact_duplicates
 
@@ -105,7 +128,7 @@ def test_quality(docs, rows, empty):
     assert quality_report(empty).count() == 0 and filter_quality(empty).count() == 0
 
 
-def test_clean_documents_of_clean_hosts_stay(spark):
+def test_clean_documents_of_clean_hosts_stay(spark, monkeypatch):
     from tests.llm.conftest import make
     from weftlake.llm.quality import quality_report
 
@@ -113,6 +136,10 @@ def test_clean_documents_of_clean_hosts_stay(spark):
     rows = [(i, good + str(i), "en", f"h{i % 5}") for i in range(40)] + [(100 + i, "short", "en", "junk") for i in range(60)] + [(200, good, "en", "junk"), (201, good, "en", None)]
     kept = {r.doc_id for r in quality_report(make(spark, rows)).filter("kept").collect()}
     assert kept == {*range(40), 201}
+    from weftlake.llm import quality
+
+    monkeypatch.setattr(quality, "BROADCAST_HOSTS", 0)  # by a shuffle, as for many hosts
+    assert {r.doc_id for r in quality_report(make(spark, rows)).filter("kept").collect()} == kept
 
 
 def lines_of(t):

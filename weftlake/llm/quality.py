@@ -75,11 +75,18 @@ def rejected_hosts(flags: DataFrame, host: str, failed: str, host_max_fail: floa
 
 
 def apply_hosts(flags: DataFrame, host: str, failed: str, kept: str, host_max_fail: float = HOST_MAX_FAIL) -> DataFrame:
-    """Add ``kept``: false if the document failed or its host is rejected. A small table of hosts is broadcast after its rows are counted."""
+    """Add ``kept``: false if the document failed or its host is rejected.
+
+    A small table of hosts is broadcast after its rows are counted; beside a large
+    one rows without a host, and those that failed anyway, don't take the shuffle.
+    """
     (h,) = fresh(flags, "host")
     bad = stash(rejected_hosts(flags, host, failed, host_max_fail).select(F.col("host").alias(h)), "hosts")
-    if bad.count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
+    if bad.count() > BROADCAST_HOSTS:
+        open_ = F.col(host).isNotNull() & ~F.col(failed)
+        asked = flags.filter(open_).join(bad, F.col(host) == F.col(h), "left").withColumn(kept, F.col(h).isNull()).drop(h)
+        return asked.unionByName(flags.filter(~open_).withColumn(kept, ~F.col(failed)))
+    bad = F.broadcast(bad)
     return flags.join(bad, F.col(host) == F.col(h), "left").withColumn(kept, ~F.col(failed) & F.col(h).isNull()).drop(h)
 
 
@@ -109,7 +116,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_max_fail: float = HOST_MAX_FAIL) -> DataFrame:
-    """The documents that pass, with the columns they came with; same rules as :func:`quality_report`."""
+    """The documents that pass, with the columns they came with; same rules as :func:`quality_report`: a null text fails, a null host is never rejected, equal rows share their fate."""
     need(docs, text_col, host_col)
     n, r, failed, kept = fresh(docs, "n", "r", "failed", "kept")
     flags = with_repeats(docs, F.col(text_col), n, r).withColumn(failed, base_failed(F.col(n), F.col(r))).drop(n, r)
