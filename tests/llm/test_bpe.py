@@ -31,7 +31,7 @@ def encoder(path, tmp_path_factory):
     v = Vocabulary(path)
     file = str(tmp_path_factory.mktemp("lexicon") / "l")
     lexicon.build([(w.encode(), v.merge(w.encode())) for w in (" the", " then", "the", " a", "\n", " hen")], file)
-    return Encoder(v, lexicon.Lexicon(file), memo=50)
+    return Encoder(v, lexicon.Lexicon(file))
 
 
 PIECES = ["the", " the", "'s", "don't", "<|endoftext|>", "<|end", "\n", "  ", "\t", "\x1c", " ", "é", "漢字", "😀", "²Ⅷ½", "12", "_", "!?", "࢏", "\U0001e6c0", "á", "﻿"]
@@ -111,3 +111,17 @@ def test_slices_and_many_texts_at_once(library, encoder):
         x = encoder.encode_all(part)
         got += [x.values[a:b].tolist() for a, b in zip(x.at, x.at[1:])]
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_words_merged_together_are_those_merged_alone(encoder):
+    import pyarrow as pa
+
+    from weftlake.llm.arrays import parts
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij thenoué漢") for _ in range(r.randint(1, 25))).encode() for _ in range(3000)]
+    at, data = parts(pa.array(words, pa.binary()))
+    x = encoder.vocabulary.merge_all(data, at)
+    assert [tuple(x.values[a:b].tolist()) for a, b in zip(x.at, x.at[1:])] == [encoder.vocabulary.merge(w) for w in words]
+    empty = encoder.vocabulary.merge_all(data[:0], at[:1])
+    assert not len(empty.values) and len(empty.at) == 1

@@ -13,7 +13,6 @@ import contextlib
 import json
 import os
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlake.llm import lexicon
-from weftlake.llm.arrays import Lists, parts, put, slices
+from weftlake.llm.arrays import Lists, parts, put, runs, slices
 from weftlake.llm.common import fresh, need
 from weftlake.session import shared_path, stash
 
@@ -48,10 +47,13 @@ LATER_PATTERN = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{_X}]]+| ?[\p{{N}}-
 LEXICON_WORDS = 1 << 16
 #: The pattern's white space beyond ASCII.
 WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-MEMO_WORDS = 1 << 16
-#: Bytes of text that are encoded at once, and distinct words that are held while words are counted.
+#: One word of the pattern, of Latin letters alone.
+PLAIN = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+$"
+#: Bytes from which on a word is merged by a heap.
+LONG = 2048
+#: Bytes of text that are encoded at once, and of distinct segments that are held while words are counted.
 SLICE_BYTES = 8 << 20
-COUNTED_WORDS = 1 << 19
+COUNTED_BYTES = 12 << 20
 
 
 @lru_cache
@@ -82,6 +84,10 @@ class Vocabulary:
             a, b = (bytes(chars[c] for c in x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.ranks[ids[a], ids[b]] = rank
             self.merged.append(ids[a + b])
+        pairs = np.array([a << 32 | b for a, b in self.ranks], np.int64)
+        order = np.argsort(pairs)
+        self._pairs, self._rank = pairs[order], np.fromiter(self.ranks.values(), np.int64, len(pairs))[order]
+        self._merged, self._byte_ids = np.array(self.merged, np.int64), np.array(self.byte_ids, np.int64)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         table = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in self.special.items()}
@@ -111,6 +117,60 @@ class Vocabulary:
                 r[k] = get((x[k], x[k + 1]), none)
         return tuple(x)
 
+    def words_of(self, segments: pa.Array) -> tuple[pa.DictionaryArray, Lists, np.ndarray]:
+        """(words, their numbers list by list, the list of each segment) of a string array; special tokens are words.
+
+        Segments that are one word of Latin letters, most of them, don't meet the pattern.
+        """
+        plain = pc.match_substring_regex(segments, PLAIN).to_numpy(zero_copy_only=False)
+        cut = [[s] if s in self.special else self.words(s) for s in segments.filter(pa.array(~plain)).to_pylist()]
+        words = pa.concat_arrays([segments.filter(pa.array(plain)), pa.array(list(chain.from_iterable(cut)), pa.string())]).dictionary_encode()
+        n = int(plain.sum())
+        place = np.zeros(len(segments), np.int64)
+        place[plain], place[~plain] = np.arange(n), n + np.arange(len(cut))
+        return words, Lists(words.indices.to_numpy(), np.concatenate([np.arange(n), n + np.cumsum([0, *map(len, cut)])])), place
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; the number of merges for those that none joins."""
+        want = a << 32 | b
+        k = np.minimum(np.searchsorted(self._pairs, want), len(self._pairs) - 1)
+        return np.where(self._pairs[k] == want, self._rank[k], len(self._merged))
+
+    def merge_all(self, data: np.ndarray, at: np.ndarray) -> Lists:
+        """As :meth:`merge` for many words, none of them empty, at once: each round merges one pair of every word that has one."""
+        none = len(self._merged)
+        x, word = self._byte_ids[data], np.repeat(np.arange(len(at) - 1), np.diff(at))
+        inner = np.append(word[1:] == word[:-1], False) if len(x) else np.zeros(0, bool)
+        r = np.where(inner, self.rank(x, np.append(x[1:], 0)), none) if len(x) else x
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(x):
+            first = runs(word)
+            size = np.diff(first, append=len(word))
+            least = np.minimum.reduceat(r, first)
+            over = np.repeat(least == none, size)
+            if over.any():
+                done.append((word[over], x[over]))
+                left = least != none
+                x, r, word, least, size = x[~over], r[~over], word[~over], least[left], size[left]
+                if not len(x):
+                    break
+                first = np.cumsum(size) - size
+            hit = np.flatnonzero(r == np.repeat(least, size))
+            pos = hit[runs(word[hit])]  # the leftmost of each word
+            x[pos] = self._merged[least]
+            keep = np.ones(len(x), bool)
+            keep[pos + 1] = False
+            x, r, word = x[keep], r[keep], word[keep]
+            pos -= np.arange(len(pos))  # one symbol less for each word before
+            left = pos[np.concatenate([[False], word[1:] == word[:-1]])[pos]]
+            r[left - 1] = self.rank(x[left - 1], x[left])
+            right = np.append(word[1:] == word[:-1], False)[pos]
+            r[pos] = none
+            r[pos[right]] = self.rank(x[pos[right]], x[pos[right] + 1])
+        words = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in done)])
+        order = np.argsort(words, kind="stable")
+        return Lists(np.concatenate([np.zeros(0, np.int64), *(v for _, v in done)])[order], np.searchsorted(words[order], np.arange(len(at))))
+
     def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text between special tokens, and these."""
         at = 0
@@ -164,33 +224,28 @@ class Encoder:
     words are remembered up to ``memo`` of them.
     """
 
-    def __init__(self, vocabulary: Vocabulary, words: lexicon.Lexicon | None = None, memo: int = MEMO_WORDS):
-        self.vocabulary, self.lexicon, self.most = vocabulary, words, memo
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-
-    def merged(self, word: bytes) -> tuple[int, ...]:
-        ids = self.memo.get(word)
-        if ids is None:
-            ids = self.vocabulary.merge(word) if len(word) < 2048 else merge_long(self.vocabulary, word)
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            if len(word) <= 64:
-                self.memo[word] = ids
-        return ids
+    def __init__(self, vocabulary: Vocabulary, words: lexicon.Lexicon | None = None):
+        self.vocabulary, self.lexicon = vocabulary, words
 
     def words(self, distinct: pa.Array) -> Lists:
         """The ids of each of the distinct words, a binary array."""
         at, data = parts(distinct)
         rank = self.lexicon.find(data, at) if self.lexicon else np.full(len(distinct), -1)
-        lacking = np.flatnonzero(rank < 0)
-        rest = [self.merged(w) for w in distinct.take(pa.array(lacking)).to_pylist()]
-        ends = np.cumsum([0, *map(len, rest)])
-        flat = np.fromiter(chain.from_iterable(rest), np.int32, ends[-1])
-        if not self.lexicon:
-            return Lists(flat, ends)
-        known = len(self.lexicon.at) - 1
-        rank[lacking] = known + np.arange(len(lacking))
-        return Lists(np.concatenate([self.lexicon.ids.astype(np.int32), flat]), np.concatenate([self.lexicon.at.astype(np.int64), len(self.lexicon.ids) + ends[1:]])).take(rank)
+        size = np.diff(at)
+        unseen, long = np.flatnonzero((rank < 0) & (size < LONG)), np.flatnonzero((rank < 0) & (size >= LONG))
+        found = [self.vocabulary.merge_all(*reversed(parts(distinct.take(pa.array(unseen)))))]
+        for k in long:
+            ids = merge_long(self.vocabulary, data[at[k] : at[k + 1]].tobytes())
+            found.append(Lists(np.array(ids, np.int64), np.array([0, len(ids)])))
+        if self.lexicon:
+            found.append(Lists(self.lexicon.ids, self.lexicon.at))
+        rank[unseen], rank[long] = np.arange(len(unseen)), len(unseen) + np.arange(len(long))
+        known = np.ones(len(rank), bool)
+        known[unseen] = known[long] = False
+        rank[known] += len(unseen) + len(long)
+        ends = np.cumsum([0] + [len(x.values) for x in found])
+        values = np.concatenate([x.values.astype(np.int32) for x in found])
+        return Lists(values, np.concatenate([[0], *(x.at[1:] + e for x, e in zip(found, ends))])).take(rank)
 
     def encode_all(self, texts: pa.Array) -> Lists:
         """The ids of each text of a string array without nulls."""
@@ -198,18 +253,13 @@ class Encoder:
         texts, special, owner = v.entries(texts)
         segments, first = cut_segments(texts, special)
         coded = segments.dictionary_encode()
-        distinct, special_ids = coded.dictionary, {}
+        words, of, place = v.words_of(coded.dictionary.cast(pa.string()))
+        ids = self.words(words.dictionary.cast(pa.binary()))
         if special.any():
-            special_ids = {s.encode(): i for s, i in v.special.items()}
-        cut = [[s] if s in special_ids else v.words(s.decode()) for s in distinct.to_pylist()]
-        word = pa.array(list(chain.from_iterable(cut)), pa.binary()).dictionary_encode()
-        ids = self.words(word.dictionary)
-        if special_ids:
-            for k, w in enumerate(word.dictionary.to_pylist()):
-                if w in special_ids:
-                    ids = ids.replaced(k, special_ids[w])
-        by_segment = ids.take(word.indices.to_numpy()).grouped(np.cumsum([0, *map(len, cut)]))
-        out = by_segment.take(coded.indices.to_numpy()).grouped(first)
+            for k, w in enumerate(words.dictionary.to_pylist()):
+                if w in v.special:
+                    ids = ids.replaced(k, v.special[w])
+        out = ids.take(of.values).grouped(of.at).take(place[coded.indices.to_numpy()]).grouped(first)
         return out if owner is None else out.grouped(owner)
 
     def encode(self, text: str) -> list[int]:
@@ -283,24 +333,33 @@ def _encoder(vocabulary: str, words: str) -> Encoder:
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(path)
-        seen: Counter = Counter()
+        held: list[tuple[pa.Array, np.ndarray]] = []
+        size = 0
+
+        def summed(coded: pa.DictionaryArray, times: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+            return coded.dictionary, np.bincount(coded.indices.to_numpy(), times, len(coded.dictionary)).astype(np.int64)
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            segments, n = summed(pa.concat_arrays([x for x, _ in held]).dictionary_encode(), np.concatenate([k for _, k in held]))
+            held.clear()
+            coded, of, place = v.words_of(segments.cast(pa.string()))
+            times = np.zeros(len(of.at) - 1, np.int64)
+            times[place] = n
+            words, n = summed(coded, np.repeat(times, np.diff(of.at)))
+            return pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
 
         for b in batches:
             for _, texts in slices(b, 0, SLICE_BYTES):
                 texts, whole, _ = v.entries(texts)
-                coded = cut_segments(texts, whole)[0].dictionary_encode()
-                cut = [v.words(s.decode()) for s in coded.dictionary.to_pylist()]
-                word = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
-                times = np.repeat(np.bincount(coded.indices.to_numpy(), minlength=len(cut)), [len(c) for c in cut])
-                n = np.bincount(word.indices.to_numpy(), weights=times, minlength=len(word.dictionary)).astype(np.int64)
-                seen.update(dict(zip(word.dictionary.to_pylist(), n.tolist())))
-                if len(seen) > COUNTED_WORDS:
+                segments = cut_segments(texts, whole)[0]
+                if len(segments):
+                    held.append(summed(segments.dictionary_encode(), np.ones(len(segments))))
+                    size += held[-1][0].nbytes
+                if size > COUNTED_BYTES:
                     yield flush()
-                    seen.clear()
-        yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     return run
 
