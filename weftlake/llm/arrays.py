@@ -104,6 +104,11 @@ def received(batches: Iterator[pa.RecordBatch]) -> tuple[int, dict[str, list]] |
     return shard, {c: t[c].to_pylist() for c in t.column_names if c != "shard"}
 
 
+def release() -> None:
+    """Give memory that Arrow no longer uses back to the system: workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+
+
 def put(root: str, name: str, data: np.ndarray) -> None:
     """Write a file below the shared folder; a task that runs twice leaves one whole file."""
     uri = urlparse(root)
@@ -143,3 +148,8 @@ def mapped(root: str, name: str, kind: str) -> np.ndarray:
                     out.write(block)
             os.replace(out.name, path)
     return np.asarray(np.memmap(path, kind, "r")) if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+
+
+def unmap() -> None:
+    """Let go of all mapped files at the end of a task; the system keeps what it has memory for."""
+    mapped.cache_clear()

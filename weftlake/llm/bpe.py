@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlake.llm import lexicon
-from weftlake.llm.arrays import Lists, parts, put, runs, slices
+from weftlake.llm.arrays import Lists, parts, put, release, runs, slices
 from weftlake.llm.common import fresh, need
 from weftlake.session import shared_path, stash
 
@@ -52,7 +52,7 @@ PLAIN = r"^ ?[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+$"
 #: Bytes from which on a word is merged by a heap.
 LONG = 2048
 #: Bytes of text that are encoded at once, and of distinct segments that are held while words are counted.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 COUNTED_BYTES = 12 << 20
 
 
@@ -404,6 +404,8 @@ def _encode(vocabulary: str, name: str, decode: bool):
                 if decode:
                     columns.append(e.vocabulary.decode_all(ids))
                 yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names[:-1], "ids", *(["decoded"] if decode else [])])
+                del ids, columns
+                release()
 
     return run
 

@@ -1,7 +1,7 @@
 """Substring deduplication by recompression.
 
-Spark names the words of all texts, then, round by round, the runs and the
-pairs of symbols. A round counts over the corpus: whatever occurs more than once
+Spark names the words of all texts and the runs of a word, then, round by round,
+the pairs and the runs of symbols. A round counts over the corpus: whatever occurs more than once
 gets a number of its own, the place in the sorted file of all that do, and so
 equal substrings have equal interior symbols everywhere. Names stand for words,
 not for hashes of them: words are told apart by their bytes, runs by symbol and
@@ -10,9 +10,8 @@ length, pairs by both symbols.
 With a symbol goes the interval of words that decided it: whoever holds the same
 words there has the same symbol there. A symbol that occurs once therefore rules
 out all windows that hold its interval; nothing is built on it any more. Rounds
-go on until one names nothing, without a bound on their number or on a symbol's
-words. Windows that are left hold only symbols
-which they share. These are looked up by hash and verified by their words: the
+go on while they rule windows out, without a bound on their number or on a
+symbol's words. Windows that are left hold only symbols which they share. These are looked up by hash and verified by their words: the
 names of the words lie in files, and a window is only held to repeat another
 after all of its names have been compared with the other's.
 
@@ -34,15 +33,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlake.llm.arrays import ODD, Lists, mapped, mix, pack, parts, put, range_shard, received, runs, slices, unpack
-from weftlake.llm.common import need
+from weftlake.llm.arrays import ODD, Lists, mapped, mix, pack, parts, put, range_shard, received, release, runs, slices, unmap, unpack
+from weftlake.llm.common import arrow_rows, need
 from weftlake.session import drop_stash, shared_path, stash
 
 WINDOW = 35
 SLICE_BYTES = 4 << 20  # text that is handled at once
-FLUSH_BYTES = 32 << 20  # distinct words or keys that are held before they are sent
-SHARD_BYTES = 32 << 20  # text, or symbols, for each file of names; one task holds one
-COMPARED = 1 << 17  # windows that are compared at once
+FLUSH_BYTES = 8 << 20  # distinct words or keys that are held before they are sent
+SHARD_BYTES = 12 << 20  # text, or symbols, for each file of names; one task holds one
+TEXT_ROWS = 2000  # texts that are handed over at once
+OPEN_ROWS = 400  # texts with names and symbols that are handed over at once
+TASK_BYTES = 16 << 20  # symbols of open texts for each task
+BROADCAST_BYTES = 16 << 20  # starts of the windows that are left, up to which they are broadcast
+COMPARED = 1 << 15  # windows that are compared at once
+#: Rounds go on while one rules out this share of the windows that are left; runs are named where this share of the symbols equal the next.
+WORTH = 0.02
 
 
 class Words:
@@ -58,6 +63,21 @@ class Words:
         self.array = Lists(data[solid], np.append(np.flatnonzero(start[solid]), np.count_nonzero(solid))).binary()
         self.n = np.diff(np.concatenate([[0], np.cumsum(start)])[at])
 
+    def runs(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, lengths) of the runs of one word in one text."""
+        k = coded.indices.to_numpy()
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        begin = np.cumsum(self.n) - self.n
+        new[begin[self.n > 0]] = True
+        first = np.flatnonzero(new)
+        return first, np.diff(first, append=len(k))
+
+
+def run_names(words: pa.Array, first: np.ndarray, times: np.ndarray) -> pa.Array:
+    """What stands for runs among the words: word, blank and length, which no word can be."""
+    return pa.array([b"%s %d" % x for x in zip(words.take(pa.array(first)).to_pylist(), times.tolist())], pa.binary())
+
 
 def joined(words: pa.Array, n: np.ndarray) -> list[bytes]:
     """Each text's words, joined by one blank."""
@@ -70,9 +90,14 @@ def joined(words: pa.Array, n: np.ndarray) -> list[bytes]:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    from xxhash import xxh64_intdigest as xx
-
-    return np.fromiter(map(xx, words.to_pylist()), np.uint64, len(words))
+    """A hash of each word, from prefix sums over the bytes of all; what it finds is compared by its bytes."""
+    at, data = parts(words)
+    with np.errstate(over="ignore"):
+        back = np.uint64(pow(ODD, -1, 1 << 64))
+        power = np.cumprod(np.full(len(data), ODD, np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[data] * power)])
+        inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(data), back, np.uint64))])
+        return mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
 # Names: what occurs more than once, sorted by a hash, in one file a shard.
@@ -161,6 +186,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
         coded = pa.concat_arrays([w for w, _ in held]).dictionary_encode()
         times = np.bincount(coded.indices.to_numpy(), np.concatenate([n for _, n in held]), len(coded.dictionary))
         held.clear()
+        release()
         k = word_hashes(coded.dictionary)
         order = np.argsort(k)
         k, more, words = k[order], times[order] > 1, coded.dictionary.take(pa.array(order))
@@ -170,10 +196,15 @@ def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
 
     for b in batches:
         for _, texts in slices(b, 0, SLICE_BYTES):
-            coded = Words(texts).array.dictionary_encode()
+            w = Words(texts)
+            coded = w.array.dictionary_encode()
             if len(coded):
-                held.append((coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))))
-                size += coded.dictionary.nbytes
+                found = coded.dictionary, np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                held.append(found)
+                first, times = w.runs(coded)
+                if (long := first[times > 1]).size:
+                    held.append((run_names(w.array, long, times[times > 1]), np.ones(len(long), np.int64)))
+                size += held[-1][0].nbytes + found[0].nbytes
             if size > FLUSH_BYTES:
                 yield flush()
                 size = 0
@@ -202,6 +233,8 @@ def _write_words(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.Re
     put(root, f"word-{shard:05d}.k", k[keep].astype("<u8"))
     put(root, f"word-{shard:05d}.o", at.astype("<u8"))
     put(root, f"word-{shard:05d}.b", data)
+    del words, coded, got, c
+    release()
     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keep)], pa.int64())], ["shard", "n"])
 
 
@@ -327,7 +360,8 @@ def needed(s: Symbols, alive: np.ndarray, window: int) -> np.ndarray:
 class Open:
     """A batch of texts that may hold a repeated window: names and starts of their words, one word apart, and their symbols."""
 
-    COLUMNS = "names binary, alive binary, name binary, first binary, size binary, before binary, after binary"
+    SYMBOLS = ("name", "first", "size", "before", "after")
+    COLUMNS = "alive binary, name binary, first binary, size binary, before binary, after binary, windows int, symbols int, twins int"
 
     def __init__(self, n: np.ndarray, names: np.ndarray, alive: np.ndarray, symbols: Symbols):
         self.n, self.names, self.alive, self.symbols = n, names, alive, symbols
@@ -335,66 +369,98 @@ class Open:
 
     @classmethod
     def read(cls, b: pa.RecordBatch) -> Open:
-        c = {f: b.column(f).to_pylist() for f in ("n_words", "names", "alive", "name", "first", "size", "before", "after")}
+        """Of rows with or without names, with or without symbols."""
+        c = {f: b.column(f).to_pylist() for f in b.schema.names if f != "text"}
         n = np.array(c["n_words"], np.int64)
         at = np.concatenate([[0], np.cumsum(n + 1)])
         names, alive = np.zeros(at[-1], np.int64), np.zeros(at[-1], bool)
-        for a, k, x, y in zip(at, n, c["names"], c["alive"]):
-            names[a : a + k], alive[a : a + k] = np.frombuffer(x, f"<u{len(x) // k}"), _unbits(y, k)
-        wide = [len(f) // 4 for f in c["first"]]
-        first = np.concatenate([np.frombuffer(f, "<u4").astype(np.int64) + a for f, a in zip(c["first"], at)])
-        size, before, after = (np.concatenate([np.frombuffer(x, "<u2") for x in c[f]]).astype(np.int64) for f in ("size", "before", "after"))
-        name = np.concatenate([np.frombuffer(x, f"<u{len(x) // k}" if k else "<u8").astype(np.int64) for x, k in zip(c["name"], wide)])
-        return cls(n, names, alive, Symbols(name, first, first + size, first - before, first + size + after))
+        for k, (a, m) in enumerate(zip(at, n)):
+            alive[a : a + m] = _unbits(c["alive"][k], m)
+            if "names" in c:
+                names[a : a + m] = np.frombuffer(c["names"][k], f"<u{len(c['names'][k]) // m}")
+        if "first" not in c:
+            none = np.zeros(0, np.int64)
+            return cls(n, names, alive, Symbols(none, none, none, none, none))
+        size = [len(f) // 4 for f in c["first"]]
+        first = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(f, "<u4").astype(np.int64) + a for f, a in zip(c["first"], at))])
+        long, before, after = (np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(x, "<u2") for x in c[f])]).astype(np.int64) for f in ("size", "before", "after"))
+        name = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, f"<u{len(x) // k}" if k else "<u8").astype(np.int64) for x, k in zip(c["name"], size))])
+        return cls(n, names, alive, Symbols(name, first, first + long, first - before, first + long + after))
 
     def columns(self, wide: bool) -> list[pa.Array]:
-        """The columns of each text; null for texts that no window is left of."""
+        """The columns of each text, windows and symbols that equal the next one counted; null for texts that no window is left of."""
         kind, s = "<u8" if wide else "<u4", self.symbols
-        names, name = self.names.astype(kind), s.name.astype(kind)
+        name = s.name.astype(kind)
         near = [x.astype("<u2") for x in (s.last - s.first, s.first - s.lo, s.hi - s.last)]
         cut = np.searchsorted(s.first, self.at)
-        out: list[list] = [[] for _ in range(7)]
+        twin = np.append(s.meets() & (s.name[1:] == s.name[:-1]), False) if len(s.name) else np.zeros(0, bool)
+        out: list[list] = [[] for _ in range(9)]
         for a, k, i, j in zip(self.at, self.n, cut, cut[1:]):
             starts = self.alive[a : a + k]
-            row = [None] * 7
+            row = [None] * 9
             if starts.any():
-                row = [names[a : a + k].tobytes(), _bits(starts), name[i:j].tobytes(), (s.first[i:j] - a).astype("<u4").tobytes(), *(x[i:j].tobytes() for x in near)]
+                row = [_bits(starts), name[i:j].tobytes(), (s.first[i:j] - a).astype("<u4").tobytes(), *(x[i:j].tobytes() for x in near), int(starts.sum()), j - i, int(twin[i:j].sum())]
             for c, x in zip(out, row):
                 c.append(x)
-        return [pa.array(c, pa.binary()) for c in out]
+        return [pa.array(c, pa.binary()) for c in out[:6]] + [pa.array(c, pa.int32()) for c in out[6:]]
 
     def pruned(self, window: int) -> Open:
         self.symbols = self.symbols[needed(self.symbols, self.alive, window)]
         return self
 
 
-FIELDS = ["names", "alive", "name", "first", "size", "before", "after"]
+FIELDS = ["alive", "name", "first", "size", "before", "after", "windows", "symbols", "twins"]
+
 
+def opened(texts: pa.Array, names: Names, window: int) -> tuple[Words, Open]:
+    """The words of some texts, and these as symbols: words, and runs of a word.
 
-def _name_words(batches: Iterator[pa.RecordBatch], names: Names, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, n_words, kept_sha256 or null, text or null, the columns of Open or null)."""
+    A word that occurs once rules out the windows that hold it, a run that does
+    those that hold it and its neighbours, which decided it.
+    """
+    w = Words(texts)
+    coded = w.array.dictionary_encode()
+    word = names.words(coded.dictionary)[coded.indices.to_numpy()]
+    at = np.concatenate([[0], np.cumsum(w.n + 1)])
+    place = np.arange(len(word)) + np.repeat(np.arange(len(w.n)), w.n)
+    spread, alive = np.zeros(at[-1], np.int64), np.zeros(at[-1], bool)
+    spread[place] = word
+    long = np.maximum(w.n - window + 1, 0)
+    alive[np.arange(long.sum()) + np.repeat(at[:-1] - (np.cumsum(long) - long), long)] = True
+    once = place[word == 0]
+    alive &= ~ruled_out(len(alive), once, once + 1, window)
+    start, times = w.runs(coded)
+    name = word[start]
+    if (more := np.flatnonzero(times > 1)).size:
+        name[more] = names.words(run_names(w.array, start[more], times[more]))
+    first = place[start]
+    last = first + times
+    real = np.zeros(at[-1] + 1, bool)
+    real[place] = True
+    s = Symbols(name, first, last, first - 1, last + 1)[(first > 0) & real[first - 1] & real[last]]
+    single = (s.name == 0) & (s.last - s.first > 1)
+    alive &= ~ruled_out(len(alive), s.lo[single], s.hi[single], window)
+    return w, Open(w.n, spread, alive, s[s.name > 0]).pruned(window)
+
+
+def _count_first(batches: Iterator[pa.RecordBatch], names: Names, shards: int, window: int) -> Iterator[pa.RecordBatch]:
+    texts = (t for b in batches for _, t in slices(b, 0, SLICE_BYTES))
+    return _sent_pairs((opened(t, names, window)[1] for t in texts), shards, 0, window)
+
+
+def _apply_first(batches: Iterator[pa.RecordBatch], names: Names, pairs: Names, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, n_words, digest of all words) and, for texts that windows are left of, text, names of the words and the columns of Open after the first round."""
     for b in batches:
         for rows, texts in slices(b, b.schema.get_field_index("text"), SLICE_BYTES):
-            w = Words(texts)
-            coded = w.array.dictionary_encode()
-            name = names.words(coded.dictionary)[coded.indices.to_numpy()]
-            at = np.concatenate([[0], np.cumsum(w.n + 1)])
-            place = np.arange(len(name)) + np.repeat(np.arange(len(w.n)), w.n)
-            spread, alive = np.zeros(at[-1], np.int64), np.zeros(at[-1], bool)
-            spread[place] = name
-            long = np.maximum(w.n - window + 1, 0)
-            alive[np.arange(long.sum()) + np.repeat(at[:-1] - (np.cumsum(long) - long), long)] = True
-            once = place[name == 0]
-            alive &= ~ruled_out(len(alive), once, once + 1, window)
-            live = place[name > 0]
-            texts_open = Open(w.n, spread, alive, Symbols(spread[live], live, live + 1, live, live + 1)).pruned(window)
-            columns = texts_open.columns(wide)
+            w, o = opened(texts, names, window)
+            columns = applied(o, pairs, 0, window).columns(wide)
             open_ = columns[0].is_valid().to_numpy(zero_copy_only=False)
-            sha = [None if o else hashlib.sha256(t).hexdigest() for t, o in zip(joined(w.array, w.n), open_)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(w.n, pa.int64()), pa.array(sha, pa.string()), _only(texts, open_), *columns],
-                ["doc_id", "n_words", "kept_sha256", "text", *FIELDS],
-            )
+            kind = "<u8" if wide else "<u4"
+            words = pa.array([o.names[a : a + n].astype(kind).tobytes() if x else None for a, n, x in zip(o.at, o.n, open_)], pa.binary())
+            sha = pa.array([hashlib.sha256(t).hexdigest() for t in joined(w.array, w.n)], pa.string())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(w.n, pa.int64()), sha, _only(texts, open_), words, *columns], ["doc_id", "n_words", "all_sha256", "text", "names", *FIELDS])
+            release()
+    unmap()
 
 
 def _only(texts: pa.Array, which: np.ndarray) -> pa.Array:
@@ -402,13 +468,14 @@ def _only(texts: pa.Array, which: np.ndarray) -> pa.Array:
     return texts.take(pa.array(np.arange(len(texts)), mask=~which))
 
 
-def _some(batches: Iterator[pa.RecordBatch], most: int = 200) -> Iterator[pa.RecordBatch]:
+def _some(batches: Iterator[pa.RecordBatch], most: int = OPEN_ROWS) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, most):
             yield b.slice(k, most)
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], shards: int, number: int | None, window: int) -> Iterator[pa.RecordBatch]:
+def _sent_pairs(opens: Iterator[Open], shards: int, number: int | None, window: int) -> Iterator[pa.RecordBatch]:
+    """What a round would make of some texts, by shard: of runs without a ``number``, else of pairs."""
     held: list[tuple] = []
     size = 0
 
@@ -419,8 +486,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], shards: int, number: int | N
         rows = [(s, pack(k[a:b]), u8(x[a:b]), u8(y[a:b]), _bits(times[a:b] > 1)) for s, a, b in _by_shard(k, shards)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *(pa.binary(),) * 4))], ["shard", "k", "x", "y", "more"])
 
-    for b in _some(batches):
-        o = Open.read(b)
+    for o in opens:
         r = run_round(o.symbols) if number is None else pair_round(o.symbols, number)
         use = r.new & needed(r.made, o.alive, window)
         x, y = r.x[use].astype(np.uint64), r.y[use].astype(np.uint64)
@@ -434,31 +500,29 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], shards: int, number: int | N
         yield flush()
 
 
+def _count_pairs(batches: Iterator[pa.RecordBatch], shards: int, number: int | None, window: int) -> Iterator[pa.RecordBatch]:
+    return _sent_pairs((Open.read(b) for b in _some(batches)), shards, number, window)
+
+
+def applied(o: Open, names: Names, number: int | None, window: int) -> Open:
+    """Open texts after a round: what has no name occurs once and rules windows out."""
+    r = run_round(o.symbols) if number is None else pair_round(o.symbols, number)
+    keep = needed(r.made, o.alive, window)
+    s, new, x, y = r.made[keep], r.new[keep], r.x[keep], r.y[keep]
+    s.name = s.name.copy()
+    s.name[new] = names.pairs(x[new], y[new])
+    once = s.name == 0
+    o.alive &= ~ruled_out(len(o.alive), s.lo[once], s.hi[once], window)
+    o.symbols = s[~once]
+    return o.pruned(window)
+
+
 def _apply_round(batches: Iterator[pa.RecordBatch], names: Names, number: int | None, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """The rows after a round; texts that no window is left of get their digest."""
+    """The texts that windows are left of after a round."""
     for b in _some(batches):
-        o = Open.read(b)
-        r = run_round(o.symbols) if number is None else pair_round(o.symbols, number)
-        keep = needed(r.made, o.alive, window)
-        s, new, x, y = r.made[keep], r.new[keep], r.x[keep], r.y[keep]
-        name = s.name.copy()
-        name[new] = names.pairs(x[new], y[new])
-        once = name == 0
-        o.alive &= ~ruled_out(len(o.alive), s.lo[once], s.hi[once], window)
-        s.name = name
-        o.symbols = s[~once]
-        columns = o.pruned(window).columns(wide)
-        closed = columns[0].is_null().to_numpy(zero_copy_only=False)
-        text = b.column("text")
-        sha = [None] * b.num_rows
-        if closed.any():
-            w = Words(text.filter(pa.array(closed)))
-            for k, t in zip(np.flatnonzero(closed), joined(w.array, w.n)):
-                sha[k] = hashlib.sha256(t).hexdigest()
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("n_words"), pa.array(sha, pa.string()), _only(text, ~closed), *columns],
-            ["doc_id", "n_words", "kept_sha256", "text", *FIELDS],
-        )
+        columns = applied(Open.read(b), names, number, window).columns(wide)
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("n_words"), *columns], ["rid", "n_words", *FIELDS]).filter(columns[0].is_valid())
+    unmap()
 
 
 # Windows that are left, and their verification.
@@ -503,6 +567,7 @@ def _classes(n: int, group: np.ndarray, names: Callable[[np.ndarray], np.ndarray
     for k in range(0, len(check), COMPARED):
         rows = check[k : k + COMPARED]
         odd.append(rows[(names(rows) != names(group[rows])).any(axis=1)])
+        unmap()
     seen: dict = {}
     for r in np.concatenate(odd).tolist() if odd else ():  # hashes that two windows share
         out[r] = seen.setdefault((int(group[r]), names(np.array([r])).tobytes()), r)
@@ -513,7 +578,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], root: str, shards: int, win
     """Hash, place and whether it occurred again of each slice's windows; the names go to this task's file."""
     kind, number = "<u8" if wide else "<u4", TaskContext.get().partitionId()
     flat, total = [], 0
-    for b in _some(batches, 1000):
+    for b in _some(batches):
         o = Open.read(b)
         at = np.flatnonzero(o.alive)
         k = window_hashes(o.names, window)[at]
@@ -550,6 +615,7 @@ def _write_windows(batches: Iterator[pa.RecordBatch], root: str, window: int, wi
     group = np.repeat(first, np.diff(first, append=len(k)))
     of = _classes(len(k), group, lambda rows: _names_at(root, "<u8" if wide else "<u4", place[rows], window))
     hit = np.flatnonzero(np.bincount(of, 1 + more, len(k)) > 1)
+    unmap()
     put(root, f"window-{shard:05d}.k", k[hit].astype("<u8"))
     put(root, f"window-{shard:05d}.p", place[hit].astype("<u8"))
     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(hit)], pa.int64())], ["shard", "n"])
@@ -557,7 +623,7 @@ def _write_windows(batches: Iterator[pa.RecordBatch], root: str, window: int, wi
 
 def _remove(batches: Iterator[pa.RecordBatch], windows: Names, window: int, wide: bool) -> Iterator[pa.RecordBatch]:
     kind, step = "<u8" if wide else "<u4", np.arange(window)
-    for b in _some(batches, 1000):
+    for b in _some(batches):
         o = Open.read(b)
         at = np.flatnonzero(o.alive)
 
@@ -567,6 +633,7 @@ def _remove(batches: Iterator[pa.RecordBatch], windows: Names, window: int, wide
             for k in range(0, len(rows), COMPARED):
                 i = slice(k, k + COMPARED)
                 out[i] = (_names_at(windows.root, kind, place[p[i]], window) == o.names[at[rows[i]][:, None] + step]).all(axis=1)
+                unmap()
             return out
 
         at = at[windows.find(window_hashes(o.names, window)[at], equal) > 0]
@@ -579,6 +646,7 @@ def _remove(batches: Iterator[pa.RecordBatch], windows: Names, window: int, wide
         left = np.bincount(doc[kept], minlength=len(o.n))
         texts = joined(Words(b.column("text")).array.filter(pa.array(kept)), left)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(o.n, pa.int64()), pa.array(o.n - left, pa.int64()), pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+    unmap()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -601,48 +669,61 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(16, -(-size // shard_bytes))
     root = shared_path(spark, "repeats")
-    sent = rows.select("text").mapInArrow(partial(_count_words, shards=shards), SENT_WORDS)
-    names = _named(sent, root, "word", shards, partial(_write_words, root=root), 0)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_words bigint, kept_sha256 string, text string, {Open.COLUMNS}"
-    # Names take four bytes while their number fits, then eight.
-    wide = names.base[-1] >= 1 << 31
-    finished: list[DataFrame] = []
-
-    def settled(df: DataFrame, name: str) -> DataFrame:
-        """Write ``df``; the rows that no window is left of are finished."""
-        out = stash(df, name)
-        finished.append(stash(out.filter("alive IS NULL").select("doc_id", "n_words", "kept_sha256"), "finished"))
-        return out
-
-    state = settled(rows.mapInArrow(partial(_name_words, names=names, window=window, wide=wide), schema), "named")
-    number, named = 0, int(names.base[-1])
-    while True:
-        open_ = state.filter("alive IS NOT NULL")
-        symbols = open_.agg(F.coalesce(F.sum(F.octet_length("first")), F.lit(0))).first()[0] // 4
-        if not symbols:
-            break
-        few, before = max(8, -(-symbols * 8 // shard_bytes)), named
-        for kind, step in ((f"run{number}", None), (f"pair{number}", number)):
-            sent = open_.mapInArrow(partial(_count_pairs, shards=few, number=step, window=window), SENT_PAIRS)
-            found = _named(sent, root, kind, few, partial(_write_pairs, root=root, kind=kind), named)
-            if step is None and found.base[-1] == named:
-                continue  # no run of any symbol occurs twice
-            named = int(found.base[-1])
-            wide = named >= 1 << 31
-            after = settled(open_.mapInArrow(partial(_apply_round, names=found, number=step, window=window, wide=wide), schema), kind)
+    with arrow_rows(spark, TEXT_ROWS):
+        sent = rows.select("text").mapInArrow(partial(_count_words, shards=shards), SENT_WORDS)
+        names = _named(sent, root, "word", shards, partial(_write_words, root=root), 0)
+        number, named = 1, int(names.base[-1])
+        sent = rows.select("text").mapInArrow(partial(_count_first, names=names, shards=shards, window=window), SENT_PAIRS)
+        pairs = _named(sent, root, "pair0", shards, partial(_write_pairs, root=root, kind="pair0"), named)
+        named = int(pairs.base[-1])
+        wide = named >= 1 << 31  # names take four bytes while their number fits, then eight
+        schema = f"doc_id {id_type}, n_words bigint, all_sha256 string, text string, names binary, {Open.COLUMNS}"
+        first = rows.mapInArrow(partial(_apply_first, names=names, pairs=pairs, window=window, wide=wide), schema)
+        first = stash(first.withColumn("rid", F.monotonically_increasing_id()), "first")
+    open_ = first.filter("alive IS NOT NULL").select("rid", "n_words", *FIELDS)
+    schema = f"rid bigint, n_words bigint, {Open.COLUMNS}"
+
+    def left() -> tuple[DataFrame, int, int, int]:
+        """The open texts in as many tasks as they fill, their windows, symbols and symbols that equal the next one."""
+        n = [int(x) for x in open_.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("windows", "symbols", "twins"))).first()]
+        return open_.coalesce(max(spark.sparkContext.defaultParallelism, -(-n[1] * 20 // TASK_BYTES))), *n
+
+    state = None
+    with arrow_rows(spark, OPEN_ROWS):
+        open_, windows, symbols, twins = left()
+        while symbols:
+            few = max(4, -(-symbols * 8 // shard_bytes))
+            for kind, step in ((f"run{number}", None), (f"pair{number}", number)):
+                if step is None and twins <= WORTH * symbols:
+                    continue
+                sent = open_.mapInArrow(partial(_count_pairs, shards=few, number=step, window=window), SENT_PAIRS)
+                found = _named(sent, root, kind, few, partial(_write_pairs, root=root, kind=kind), named)
+                if step is None and found.base[-1] == named:
+                    continue  # no run of any symbol occurs twice
+                named = int(found.base[-1])
+                after = stash(open_.mapInArrow(partial(_apply_round, names=found, number=step, window=window, wide=named >= 1 << 31), schema), kind)
+                if state is not None:
+                    drop_stash(state)
+                open_ = state = after
+            number, before = number + 1, windows
+            open_, windows, symbols, twins = left()
+            if windows > before * (1 - WORTH):
+                break
+        last = stash(open_.select("rid", "alive"), "last")
+        size = last.agg(F.coalesce(F.sum(F.octet_length("alive") + 16), F.lit(0))).first()[0]
+        if size <= BROADCAST_BYTES:
+            last = F.broadcast(last)
+        if state is not None:
             drop_stash(state)
-            state, open_ = after, after.filter("alive IS NOT NULL")
-        number += 1
-        if named == before:
-            break
-    open_ = state.filter("alive IS NOT NULL")
-    sent = open_.mapInArrow(partial(_send_windows, root=root, shards=shards, window=window, wide=wide), "shard int, k binary, place binary, more binary")
-    windows = _named(sent, root, "window", shards, partial(_write_windows, root=root, window=window, wide=wide), 0)
-    out = open_.mapInArrow(partial(_remove, windows=windows, window=window, wide=wide), f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string")
-    out = out.select("doc_id", "n_words", "n_removed", F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"), F.sha2("kept", 256).alias("kept_sha256"))
-    for s in finished:
-        out = out.unionByName(s.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept"), "kept_sha256"))
+        texts = first.select("rid", "doc_id", "n_words", "text", "names").join(last, "rid").drop("rid")
+        shards = max(4, -(-windows * 24 // shard_bytes))
+        sent = texts.select("n_words", "names", "alive").mapInArrow(partial(_send_windows, root=root, shards=shards, window=window, wide=wide), "shard int, k binary, place binary, more binary")
+        repeated = _named(sent, root, "window", shards, partial(_write_windows, root=root, window=window, wide=wide), 0)
+        done = texts.mapInArrow(partial(_remove, windows=repeated, window=window, wide=wide), f"doc_id {id_type}, n_words bigint, n_removed bigint, kept string")
+        done = stash(done.select("doc_id", "n_words", "n_removed", F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"), F.sha2("kept", 256).alias("kept_sha256")), "removed")
+    same = first.select("rid", "doc_id", "n_words", F.col("all_sha256").alias("kept_sha256")).join(last, "rid", "left_anti")
+    out = done.unionByName(same.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept"), "kept_sha256"))
     return out.withColumnRenamed("doc_id", id_col)
 
 
