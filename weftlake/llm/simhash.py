@@ -141,7 +141,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")
     nodes = stash(base.groupBy("fp").agg(F.min(own).alias("least")), "nodes")
     comp = linked(nodes.select("fp"))
-    best = nodes.join(comp, "fp").groupBy("c").agg(F.min("least").alias("least"))
+    best = stash(nodes.join(comp, "fp").groupBy("c").agg(F.min("least").alias("least")), "best")  # written, so that the join's sides are plain exchanges
     by_fp = stash(comp.join(best, "c").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("keep_rid")), "by_fp")
     return base.join(by_fp, "fp")
 
