@@ -31,6 +31,18 @@ def test_html_plain_and_structured():
     assert '"v,1"' in extract("text/html", page, Options(table_format="csv")).text
 
 
+def test_html_of_any_depth():
+    deep = b"<body>" + b"<div>" * 5000 + b"x<b>y</b>" + b"</div>" * 5000 + b"<ol><li>a<ul><li>b</li></ul></li></ol></body>"
+    assert extract("text/html", deep).text == "x y\na b"
+    assert extract("text/html", deep, x.PRESETS["markdown"]).text.split("\n") == ["x y", "1. a", "- b", "2. b"]
+
+
+def test_members_are_read_no_further_than_the_limit():
+    big = zipped(a_dot_txt="one", b_dot_txt="x" * 5_000_000, c_dot_txt="late")
+    assert [m[0] for m in x.members(big, "zip", Options(max_total=1000))] == ["a.txt"]
+    assert [m[0] for m in x.members(big, "zip", Options(max_total=5_000_007))] == ["a.txt", "b.txt", "c.txt"]
+
+
 def test_xml_joins_without_separator():
     assert extract("application/xml", b"<a x='1'> one <b>two</b><!-- c --></a>").text == "onetwo"
 

@@ -10,7 +10,7 @@ import unicodedata
 import zipfile
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from email import policy
 from email.parser import BytesParser
@@ -85,19 +85,20 @@ class _Node:
     def __init__(self, tag: str):
         self.tag, self.items = tag, []
 
-    def find(self, *tags: str):
-        for x in self.items:
+    def below(self) -> Iterator[str | _Node]:
+        """Texts and nodes below this one in document order, at any depth."""
+        left = self.items[::-1]
+        while left:
+            x = left.pop()
+            yield x
             if isinstance(x, _Node):
-                if x.tag in tags:
-                    yield x
-                yield from x.find(*tags)
-
-    def strings(self):
-        for x in self.items:
-            if isinstance(x, str):
-                yield x
-            else:
-                yield from x.strings()
+                left += x.items[::-1]
+
+    def find(self, *tags) -> Iterator[_Node]:
+        return (x for x in self.below() if isinstance(x, _Node) and x.tag in tags)
+
+    def strings(self) -> Iterator[str]:
+        return (x for x in self.below() if isinstance(x, str))
 
 
 #: Elements without content, elements that close an open one of their kind, elements that are skipped, and elements that stand on lines of their own.
@@ -175,55 +176,77 @@ def render_table(rows: list[list[str]], form: str) -> str:
     return "".join("\t".join(r) + "\n" for r in rows)
 
 
-def _walk(node: _Node, w: _Writer, o: Options) -> None:
-    for x in node.items:
-        if isinstance(x, str):
-            if s := x.strip():
-                w.word(s)
-            continue
-        tag = x.tag
-        if tag in SKIPPED:
-            continue
-        if o.headings and re.fullmatch("h[1-6]", tag):
-            w.fresh_line(2)
-            if o.heading_format == "markdown":
-                w.put("#" * int(tag[1]) + " ")
-            _walk(x, w, o)
-            w.put("\n\n")
-        elif tag == "table" and o.tables:
-            w.fresh_line()
-            if rows := [[" ".join(c.strings()).strip() for c in r.find("td", "th")] for r in x.find("tr")]:
-                w.put(render_table(rows, o.table_format))
-            w.put("\n")
-        elif tag in ("ul", "ol") and o.lists:
-            w.fresh_line()
-            for k, item in enumerate(x.find("li"), 1):
-                inner = _Writer()
-                _walk(item, inner, o)
-                w.put((f"{k}. " if tag == "ol" else "- ") + inner.text().strip() + "\n")
-            w.put("\n")
-        elif tag in ("pre", "code") and o.code:
-            w.fresh_line()
-            w.put("```\n" + "".join(x.strings()))
-            w.fresh_line()
-            w.put("```\n")
-        elif tag in BLOCKS:
-            w.fresh_line()
-            _walk(x, w, o)
-            w.fresh_line()
-        elif tag == "br":
-            w.put("\n")
-        else:
-            _walk(x, w, o)
+class _Renderer:
+    """Writes a tree as text.
+
+    A tag's rule gives the steps that stand for it: strings, nodes, and actions
+    on the innermost writer. Steps wait on a stack, so that any depth is borne.
+    """
+
+    def __init__(self, o: Options):
+        self.o, self.writers = o, [_Writer()]
+        self.rules: dict[str, Callable[[_Node], list]] = dict.fromkeys(BLOCKS, self.block) | {"br": lambda node: [self.raw("\n")]}
+        if o.headings:
+            self.rules |= {f"h{k}": self.heading for k in range(1, 7)}
+        if o.tables:
+            self.rules["table"] = self.table
+        if o.lists:
+            self.rules |= {"ul": self.listing, "ol": self.listing}
+        if o.code:
+            self.rules |= {"pre": self.code, "code": self.code}
+        self.rules |= dict.fromkeys(SKIPPED, lambda node: [])
+
+    def render(self, root: _Node) -> str:
+        steps = root.items[::-1]
+        while steps:
+            x = steps.pop()
+            if isinstance(x, _Node):
+                steps += (self.rules[x.tag](x) if x.tag in self.rules else x.items)[::-1]
+            elif callable(x):
+                x()
+            elif x := x.strip():
+                self.writers[-1].word(x)
+        return self.writers[-1].text()
+
+    def raw(self, s: str) -> Callable[[], None]:
+        return lambda: self.writers[-1].put(s)
+
+    def fresh(self, n: int = 1) -> Callable[[], None]:
+        return lambda: self.writers[-1].fresh_line(n)
+
+    def block(self, node: _Node) -> list:
+        return [self.fresh(), *node.items, self.fresh()]
+
+    def heading(self, node: _Node) -> list:
+        mark = "#" * int(node.tag[1]) + " " if self.o.heading_format == "markdown" else ""
+        return [self.fresh(2), self.raw(mark), *node.items, self.raw("\n\n")]
+
+    def table(self, node: _Node) -> list:
+        cells = [[" ".join(c.strings()).strip() for c in row.find("td", "th")] for row in node.find("tr")]
+        return [self.fresh(), self.raw(render_table(cells, self.o.table_format) if cells else ""), self.raw("\n")]
+
+    def listing(self, node: _Node) -> list:
+        steps = [self.fresh()]
+        for k, item in enumerate(node.find("li"), 1):
+            steps += [lambda: self.writers.append(_Writer()), *item.items, self.entry(f"{k}. " if node.tag == "ol" else "- ")]
+        return [*steps, self.raw("\n")]
+
+    def entry(self, mark: str) -> Callable[[], None]:
+        def close() -> None:
+            body = self.writers.pop().text().strip()
+            self.writers[-1].put(f"{mark}{body}\n")
+
+        return close
+
+    def code(self, node: _Node) -> list:
+        return [self.fresh(), self.raw("```\n" + "".join(node.strings())), self.fresh(), self.raw("```\n")]
 
 
 def html(data: bytes, o: Options = Options()) -> Extracted:
     tree = _Tree()
     tree.feed(strict(data, "HTML"))
     tree.close()
-    w = _Writer()
-    _walk(next(tree.root.find("body"), tree.root), w, o)
-    return Extracted(w.text().strip())
+    return Extracted(_Renderer(o).render(next(tree.root.find("body"), tree.root)).strip())
 
 
 def xml(data: bytes, o: Options = Options()) -> Extracted:
@@ -594,20 +617,20 @@ def members(data: bytes, kind: str, o: Options = Options()):
             z = _open_zip(data, "ZIP")
             for i in z.infolist():
                 if not i.is_dir():
-                    yield i.filename, lambda i=i: z.read(i)
+                    yield i.filename, lambda n, i=i: z.open(i).read(n)
         else:
             import tarfile
 
             with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as tar:
                 for i in tar:
                     if i.isfile():
-                        yield i.name, lambda i=i: tar.extractfile(i).read()
+                        yield i.name, lambda n, i=i: tar.extractfile(i).read(n)
 
     for path, read in files():
         if path.rpartition(".")[2].lower() in SKIPPED_MEMBERS:
             continue
         try:
-            body = read()
+            body = read(o.max_total - total + 1)  # one byte more tells that the limit is passed
         except (zipfile.BadZipFile, OSError, RuntimeError, zlib.error) as e:
             yield path, None, str(e)
             continue
