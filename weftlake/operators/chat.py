@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,6 +73,34 @@ def answer(questions: DataFrame, contexts: DataFrame, titles: DataFrame, templat
     return named.select(key, "answer", "rejected").unionByName(refused.select(key, "answer", "rejected"))
 
 
+def _event(name: str, data: dict) -> str:
+    return f"event: {name}\ndata: {json.dumps(data, separators=(',', ':'))}\n\n"
+
+
+def token_events(message_id: int, documents: list[dict], tokens: Iterable[str], finish: Callable[[str, str], None] = lambda text, status: None) -> Iterator[str]:
+    """Server-sent events of an answer that is being generated: connected, retrieval_complete, content for each token, then complete or error.
+
+    ``finish`` gets the whole text and its status (complete, error, or incomplete if the reader left) exactly once.
+    """
+    parts: list[str] = []
+    status = "incomplete"
+    try:
+        yield _event("connected", {"status": "connected"})
+        yield _event("retrieval_complete", {"message_id": message_id, "documents": documents})
+        try:
+            for t in tokens:
+                parts.append(t)
+                yield _event("content", {"content": t})
+            status = "complete"
+        except Exception as e:
+            status = "error"
+            yield _event("error", {"error": str(e)})
+        else:
+            yield _event("complete", {"message_id": message_id, "content": "".join(parts)})
+    finally:
+        finish("".join(parts), status)
+
+
 def check_search(datasets: list, query: str, limit: int = 10) -> None:
     """Refuse a search without data sets or with a blank query."""
     if not datasets:

@@ -134,6 +134,36 @@ def embed(df: DataFrame, provider, text_col: str = "text", out: str = "vector",
     return df.withColumn(out, run(text_col))
 
 
+def embed_batch(provider, texts: list[str], model: str = "", most: int | None = None) -> dict:
+    """Answer of an embedding service to one batch: vectors, their number and dimension; a batch above ``most`` is refused, none gives none."""
+    most = provider.batch if most is None else most
+    if len(texts) > most:
+        raise ValueError(f"a batch of {len(texts)} texts is above {most}")
+    vectors = provider(texts) if texts else []
+    return {"embeddings": vectors, "model": model, "count": len(vectors), "dimensions": len(vectors[0]) if vectors else 0}
+
+
+class TtlCache:
+    """Values that lapse after some seconds; the least recently used go when it is full."""
+
+    def __init__(self, seconds: float, most: int = 10_000, clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.most, self.clock = seconds, most, clock
+        self._held: dict = {}
+
+    def get(self, key, make: Callable):
+        """The value of a key, made anew if there is none that holds."""
+        end, value = self._held.pop(key, (float("-inf"), None))
+        if end <= self.clock():
+            value, end = make(), self.clock() + self.seconds
+        self._held[key] = (end, value)
+        if len(self._held) > self.most:
+            del self._held[next(iter(self._held))]
+        return value
+
+    def forget(self, key) -> None:
+        self._held.pop(key, None)
+
+
 def adapt_concurrency(now: int, pressed: bool, calm: int, most: int) -> tuple[int, int]:
     """(concurrency, calm ticks): halved under pressure, one more after two calm ticks."""
     if pressed:

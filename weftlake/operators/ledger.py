@@ -130,3 +130,21 @@ def dedup_window(messages: DataFrame, minutes: int, key: str = "key", ts: str =
     w = Window.partitionBy(key).orderBy(ts, tie)
     prev = F.lag(ts).over(w)
     return messages.withColumn("_p", prev).filter(F.col("_p").isNull() | (F.col(ts) >= F.col("_p") + F.expr(f"INTERVAL {minutes} MINUTES"))).drop("_p")
+
+
+#: Deliveries of a message before it is dead, and seconds to wait after each failed one.
+MAX_DELIVERIES, WAITS = 5, (30, 60, 120, 300)
+
+
+def redeliveries(failures: DataFrame, key: str = "message_id", ts: str = "ts", seq: str = "seq", error: str = "error", most: int = MAX_DELIVERIES, waits: tuple[int, ...] = WAITS) -> DataFrame:
+    """(key, attempts, last_error, dead, due_at) of every message that failed, one row of ``failures`` for each failed delivery.
+
+    A message is dead after ``most`` deliveries, and then due never; else it is due
+    again after the wait of its last attempt (the last wait beyond those listed).
+    The last failure is that of the latest ``ts``, of equal ones of the largest ``seq``.
+    """
+    g = failures.groupBy(key).agg(F.count("*").alias("attempts"), F.max(F.struct(ts, seq, error)).alias("_l"))
+    wait = F.element_at(F.array(*map(F.lit, waits)), F.least(F.col("attempts"), F.lit(len(waits))).cast("int"))
+    dead = F.col("attempts") >= most
+    due = F.when(~dead, F.timestamp_seconds(F.unix_timestamp(F.col(f"_l.{ts}").cast("timestamp")) + wait))
+    return g.select(key, "attempts", F.col(f"_l.{error}").alias("last_error"), dead.alias("dead"), due.alias("due_at"))

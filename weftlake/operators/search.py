@@ -109,11 +109,36 @@ def rerank(docs: DataFrame, query: str, top: int | None = None, text: str = "tex
 
 
 def latest_points(points: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
-    """Upsert by id: of each id the point written last."""
-    w = Window.partitionBy(key).orderBy(F.desc(seq))
+    """Upsert by id: of each id the point written last; of equal ``seq`` the one with the largest hash of all its columns."""
+    w = Window.partitionBy(key).orderBy(F.desc(seq), F.desc(F.xxhash64(F.to_json(F.struct(*[points[c] for c in points.columns])))))
     return points.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+#: Fixed value: the most points of one push.
+MAX_PUSH = 1000
+
+
+def check_push(points: int, standalone: bool) -> None:
+    """Raise unless 1 to MAX_PUSH points are pushed to a standalone data set."""
+    if not standalone:
+        raise ValueError("points are pushed to standalone data sets only")
+    if not 1 <= points <= MAX_PUSH:
+        raise ValueError(f"a push holds 1 to {MAX_PUSH} points")
+
+
+def parse_point_id(text: Column) -> Column:
+    """struct(uuid, num) of an id as text: a UUID in its usual form, else a whole number of 64 bits without sign, else both null.
+
+    UUIDs may lack hyphens, stand in braces or follow ``urn:uuid:``.
+    """
+    bare = F.regexp_replace(F.lower(text), r"^(?:urn:uuid:([0-9a-f-]{36})|\{([0-9a-f-]{36})\})$", "$1$2")
+    digits = F.when(bare.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})$"), F.regexp_replace(bare, "-", ""))
+    uuid = F.regexp_replace(digits, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    significant = F.regexp_extract(text, r"^\+?0*([0-9]{1,20})$", 1)
+    number = F.when((significant != "") & digits.isNull(), significant.cast("decimal(20,0)"))
+    return F.struct(uuid.alias("uuid"), F.when(number <= F.lit("18446744073709551615").cast("decimal(20,0)"), number).alias("num"))
+
+
 def check_points(points: DataFrame, dim: int, vector: str = "vector") -> DataFrame:
     """Pushed points with whether their vector has the data set's dimension (1 to 65536)."""
     if not 1 <= dim <= 65536:

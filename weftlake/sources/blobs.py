@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,15 +88,155 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{BATCH}, batch_no long").json(path)
 
 
-def merge_into(spark: SparkSession, new: DataFrame, path: str, key: str, seq: str) -> None:
-    """Upsert into a Parquet table by key: the row with the largest ``seq`` stays. The table is written beside itself, then swapped in."""
-    from weftlake.operators.search import latest_points
+def _fs(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a file, or a folder with all below it; False if there was none."""
+    fs, p = _fs(spark, path)
+    return fs.delete(p, True)
+
+
+def is_empty(spark: SparkSession, folder: str) -> bool:
+    """Whether no file lies below a folder; the listing stops at the first."""
+    fs, p = _fs(spark, folder)
+    return not fs.exists(p) or not fs.listFiles(p, True).hasNext()
+
 
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    here, there = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    fs = here.getFileSystem(sc._jsc.hadoopConfiguration())
-    rows = new.unionByName(spark.read.parquet(path), allowMissingColumns=True) if fs.exists(here) else new
-    latest_points(rows, key, seq).write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(here, True)
-    if not fs.rename(there, here):
-        raise OSError(f"can't rename {there} to {here}")
+def copy_below(spark: SparkSession, folder: str, to: str) -> int:
+    """Copy all files below a folder, each by its relative path; the number of files."""
+    fs, p = _fs(spark, folder)
+    out, _ = _fs(spark, to)
+    jvm, root, n = spark.sparkContext._jvm, fs.makeQualified(p).toUri(), 0
+    files = fs.listFiles(p, True) if fs.exists(p) else None
+    while files and files.hasNext():
+        f = files.next().getPath()
+        there = jvm.org.apache.hadoop.fs.Path(to, root.relativize(f.toUri()).getPath())
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, f, out, there, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+        n += 1
+    return n
+
+
+#: Hash buckets of a merged table that is made without a number of its own.
+BUCKETS = 16
+
+
+def finish_merge(spark: SparkSession, path: str) -> None:
+    """Bring a merge that was cut off to its end, or take it back if its rows weren't all written."""
+    fs, following = _fs(spark, f"{path}/_next")
+    if not fs.exists(following):
+        return
+    if exists(spark, f"{path}/_next/_READY"):
+        for f in fs.listStatus(following):
+            name = f.getPath().getName()
+            if name.startswith("_bucket="):
+                delete(spark, f"{path}/{name}")
+                if not fs.rename(f.getPath(), _fs(spark, f"{path}/{name}")[1]):
+                    raise OSError(f"can't move {name} into {path}")
+    delete(spark, f"{path}/_next")
+
+
+def merge_into(spark: SparkSession, new: DataFrame, path: str, key: str, seq: str, buckets: int = BUCKETS) -> None:
+    """Upsert into a Parquet table by key: the row with the largest ``seq`` stays.
+
+    Rows lie in folders by a hash of their key, and only the folders that the new
+    rows touch are written, beside the table. Once all are there a mark is set and
+    they are moved in; a merge that is cut off before the mark changes nothing,
+    one cut off after it is finished by the next merge or :func:`finish_merge`.
+    One writer at a time, on a file system whose renames are whole. The number of
+    buckets is fixed when the table is made; null keys are one key.
+    """
+    from weftlake.operators.search import latest_points
+    from weftlake.session import drop_stash, stash
+
+    finish_merge(spark, path)
+    marks, folder = _fs(spark, f"{path}/_buckets")
+    if marks.exists(folder):
+        buckets = int(marks.listStatus(folder)[0].getPath().getName())
+    else:
+        marks.mkdirs(_fs(spark, f"{path}/_buckets/{buckets}")[1])
+    rows = stash(new.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "merge")
+    touched = [f"{path}/_bucket={r[0]}" for r in rows.select("_bucket").distinct().collect()]  # at most one row a bucket
+    old = [t for t in touched if exists(spark, t)]
+    merged = rows.unionByName(spark.read.option("basePath", path).parquet(*old), allowMissingColumns=True) if old else rows
+    if touched:
+        latest_points(merged, key, seq).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_next")
+        fs, ready = _fs(spark, f"{path}/_next/_READY")
+        fs.create(ready, True).close()
+        finish_merge(spark, path)
+    drop_stash(rows)
+
+
+def create_collection(spark: SparkSession, path: str, dim: int, buckets: int = BUCKETS) -> bool:
+    """Make the folder of a collection of vectors of ``dim`` numbers, compared by cosine; False if it is there with the same number."""
+    if not 1 <= dim <= 65536:
+        raise ValueError("dimension must be 1 to 65536")
+    fs, folder = _fs(spark, f"{path}/_dimension")
+    if fs.exists(folder):
+        was = int(fs.listStatus(folder)[0].getPath().getName())
+        if was != dim:
+            raise ValueError(f"the collection has dimension {was}, not {dim}")
+        return False
+    for name in (f"_buckets/{buckets}", f"_dimension/{dim}"):
+        fs.mkdirs(_fs(spark, f"{path}/{name}")[1])
+    return True
+
+
+def save_indexed(df: DataFrame, path: str, prune: list[str], sort: list[str], partitions: int | None = None) -> None:
+    """Parquet laid out for the predicates asked of it: folders by ``prune``, and within them files dealt and sorted by ``sort``.
+
+    Folders are pruned by equality, row groups by the least and largest value of ``sort``: what indexes do for a table of rows.
+    """
+    keys = [*prune, *sort]
+    dealt = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    w = dealt.sortWithinPartitions(*keys).write.mode("overwrite")
+    (w.partitionBy(*prune) if prune else w).parquet(path)
+
+
+class Lease:
+    """A lock that lapses, as files below a folder that all contenders share.
+
+    Each generation is a file that is made only if it isn't there, so that of many
+    contenders one gets it; it holds for ``seconds`` after the file was made, unless
+    it is released. Clocks may differ by less than ``seconds``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, seconds: float = 300.0, clock: Callable[[], float] = time.time):
+        self.spark, self.folder, self.seconds, self.clock = spark, folder, seconds, clock
+        self.generation = 0
+
+    def _make(self, name: str) -> bool:
+        fs, p = _fs(self.spark, f"{self.folder}/{name}")
+        try:
+            fs.create(p, False).close()
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
+        return True
+
+    def acquire(self) -> bool:
+        """True if the lease is ours now; False while another's hasn't lapsed or been released."""
+        fs, p = _fs(self.spark, self.folder)
+        made = {f.getPath().getName(): f.getModificationTime() / 1000 for f in fs.listStatus(p)} if fs.exists(p) else {}
+        newest = max((int(n) for n in made if n.isdigit()), default=0)
+        if newest and f"{newest}.released" not in made and made[str(newest)] + self.seconds > self.clock():
+            return False
+        if not self._make(str(newest + 1)):
+            return False
+        self.generation = newest + 1
+        return True
+
+    def release(self) -> None:
+        """Give the lease back before it lapses."""
+        if self.generation:
+            self._make(f"{self.generation}.released")
+            self.generation = 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,6 +88,43 @@ def ingest(docs: DataFrame, path: str, chunker, embedder, dataset: int = 1, file
     q.awaitTermination()
 
 
+def deliver(messages: DataFrame, work, path: str) -> None:
+    """Run ``work`` over a stream of messages; each micro-batch is split by what it reports.
+
+    ``work`` maps (message_id, seq, ...) to rows with ``error``, null where all went
+    well. Rows that worked are upserted by id below ``path``/done, failed
+    deliveries by (id, seq) below ``path``/failed, so that a batch that runs again
+    counts none twice; :func:`weftlake.operators.ledger.redeliveries` over these
+    tells which are due again and which are dead letters.
+    """
+    spark = messages.sparkSession
+
+    def put(df: DataFrame, epoch: int) -> None:
+        from weftlake.session import drop_stash, stash
+
+        out = stash(work(df).withColumn("_epoch", F.lit(epoch).cast("long")), "delivered")
+        merge_into(spark, out.filter("error IS NULL"), f"{path}/done", "message_id", "seq")
+        merge_into(spark, out.filter("error IS NOT NULL").withColumn("delivery", F.concat_ws(":", "message_id", "seq")), f"{path}/failed", "delivery", "_epoch")
+        drop_stash(out)
+
+    messages.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").foreachBatch(put).start().awaitTermination()
+
+
+def subject(owner: Column, kind: Column, resource: Column) -> Column:
+    """The subject under which a status is published: kind, owner and resource, with what would split a subject replaced."""
+    clean = [F.regexp_replace(c.cast("string"), r"[\s.*>]", "_") for c in (kind, owner, resource)]
+    return F.concat_ws(".", F.lit("status"), *clean)
+
+
+def fan_out_statuses(statuses: DataFrame, path: str) -> None:
+    """A stream of (subject, ...) to a folder for each subject, each batch written once under its number: readers follow only theirs."""
+
+    def put(df: DataFrame, epoch: int) -> None:
+        df.withColumn("epoch", F.lit(epoch).cast("long")).repartition("subject").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject", "epoch").json(path)
+
+    statuses.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").foreachBatch(put).start().awaitTermination()
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts by time bucket and type, each once its window has passed the watermark."""
     e = events.withWatermark("ts", late)
