@@ -7,6 +7,7 @@ import pytest
 
 import weftlake.plans.auditing
 import weftlake.plans.files
+import weftlake.plans.made
 import weftlake.plans.pipelines
 import weftlake.plans.relational
 import weftlake.plans.streams

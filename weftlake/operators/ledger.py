@@ -146,5 +146,5 @@ def redeliveries(failures: DataFrame, key: str = "message_id", ts: str = "ts", s
     g = failures.groupBy(key).agg(F.count("*").alias("attempts"), F.max(F.struct(ts, seq, error)).alias("_l"))
     wait = F.element_at(F.array(*map(F.lit, waits)), F.least(F.col("attempts"), F.lit(len(waits))).cast("int"))
     dead = F.col("attempts") >= most
-    due = F.when(~dead, F.timestamp_seconds(F.unix_timestamp(F.col(f"_l.{ts}").cast("timestamp")) + wait))
+    due = F.when(~dead, F.col(f"_l.{ts}") + F.make_dt_interval(secs=wait))
     return g.select(key, "attempts", F.col(f"_l.{error}").alias("last_error"), dead.alias("dead"), due.alias("due_at"))
