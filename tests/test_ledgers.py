@@ -193,3 +193,33 @@ def test_token_events():
     [next(g) for _ in range(3)]
     g.close()
     assert ended[-1] == ("a", "incomplete")
+
+
+def test_nearest_points_follow_brute_force(spark, monkeypatch):
+    """Equal vectors, zero and null ones, other dimensions, blocks of queries and of products."""
+    import random
+
+    from weftlake.operators import search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    rng = random.Random(5)
+    vectors = [[rng.uniform(-1, 1) for _ in range(6)] for _ in range(30)]
+    points = [(d, i, v) for i in range(160) for d, v in [(i % 3, vectors[rng.randrange(30)])]] + [(0, 900, [0.0] * 6), (1, 901, None), (2, 902, [1.0, 2.0]), (7, 903, vectors[0])]
+    queries = [(i, vectors[i]) for i in range(9)] + [(90, [0.0] * 6), (91, [3.0, 1.0]), (92, None)]
+
+    def cosine(a, b):
+        if a is None or len(a) != len(b):
+            return 0.0
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    want = set()
+    for qid, q in queries:
+        for d in (0, 1, 2, 7) if q else ():
+            found = sorted((-round(cosine(v, q), 9), i) for e, i, v in points if e == d and round(cosine(v, q), 9) >= 0)
+            want |= {(qid, d, i, r) for r, (_, i) in enumerate(found[:4], 1)}
+    p = spark.createDataFrame(points, "dataset int, id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, qv array<double>")
+    got = search.fan_out(p, q, 4).collect()
+    assert {(r.query_id, r.dataset, r.id, r["rank"]) for r in got} == want and len(got) == len(want)
+    assert search.fan_out(p.limit(0), q, 4).count() == 0 and search.fan_out(p, q.limit(0), 4).count() == 0

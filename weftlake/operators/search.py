@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 
 from weftlake.functions.vectors import cosine
 
-#: Query vectors that a broadcast may hold; more are joined in blocks of this many.
+#: Query vectors that go to the workers at once; more are taken in blocks of some this many.
 QUERY_BLOCK = 4096
 
 
@@ -20,7 +22,7 @@ def scored(points: DataFrame, query: list[float], vector: str = "embedding", thr
 
 
 def matvec_scored(points: DataFrame, query: list[float], vector: str = "embedding", threshold: float = 0.0) -> DataFrame:
-    """As :func:`scored`, with one product of a matrix and a vector for each Arrow batch: for millions of points."""
+    """As :func:`scored`, with one product for each Arrow batch, summed by row: equal vectors have equal scores wherever they stand."""
     import numpy as np
 
     q = np.asarray(query, np.float64)
@@ -33,7 +35,7 @@ def matvec_scored(points: DataFrame, query: list[float], vector: str = "embeddin
         if same.any():
             m = np.stack(v[same].to_numpy()).astype(np.float64)
             n = np.linalg.norm(m, axis=1)
-            out[same] = np.divide(m @ q, n, out=np.zeros(len(m)), where=n > 0)
+            out[same] = np.divide((m * q).sum(axis=1), n, out=np.zeros(len(m)), where=n > 0)
         return pd.Series(out)
 
     return points.withColumn("score", sim(vector)).filter(F.col("score") >= threshold)
@@ -63,25 +65,77 @@ def group_documents(matches: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def search_documents(points: DataFrame, query: list[float], limit: int = 10, threshold: float = 0.0) -> DataFrame:
-    return group_documents(scored(points, query, threshold=threshold), limit)
+    return group_documents(matvec_scored(points, query, threshold=threshold), limit)
+
+
+def _units(vectors, dim: int):
+    """Matrix of the vectors over their lengths; those of another dimension, nulls and zero vectors are rows of zeros."""
+    import numpy as np
+
+    m = np.zeros((len(vectors), dim))
+    fits = np.array([v is not None and len(v) == dim for v in vectors], bool)
+    if fits.any():
+        m[fits] = np.stack([v for v, ok in zip(vectors, fits) if ok])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+#: Queries whose products with an Arrow batch are held at once.
+PRODUCT_BLOCK = 256
+
+
+def _best(points: pd.DataFrame, queries: list[tuple], k: int, threshold: float) -> pd.DataFrame:
+    """The ``k`` best points of a batch by data set and query.
+
+    Products of matrices choose, with room for their rounding; those chosen are scored again by row, so that equal vectors tie.
+    """
+    import numpy as np
+
+    out = []
+    for dim in {len(v) for _, v in queries}:
+        asked = [(i, v) for i, v in queries if len(v) == dim]
+        every = _units([v for _, v in asked], dim)
+        names = np.array([i for i, _ in asked], object)
+        for _, g in points.groupby("dataset", dropna=False):
+            m, ids = _units(g["embedding"].tolist(), dim), g["id"].to_numpy(object)
+            for at in range(0, len(asked), PRODUCT_BLOCK):
+                q = every[at : at + PRODUCT_BLOCK]
+                s = m @ q.T
+                least = np.partition(s, len(m) - k, axis=0)[len(m) - k] if len(m) > k else np.full(len(q), -2.0)
+                row, col = np.nonzero(s >= np.maximum(least, threshold) - 1e-9)
+                score = np.concatenate([(m[row[i : i + 65536]] * q[col[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)] or [np.zeros(0)])
+                found = pd.DataFrame({"col": col, "id": ids[row], "score": score})
+                found = found[found["score"] >= threshold].sort_values(["col", "score", "id"], ascending=[True, False, True]).groupby("col").head(k)
+                out.append(pd.DataFrame({"query_id": names[at + found["col"].to_numpy(int)], "dataset": g["dataset"].iloc[0], "id": found["id"].to_numpy(object), "score": found["score"].to_numpy(float)}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "dataset", "id", "score"])
 
 
 def fan_out(points: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    """Top ``k`` points of each data set for each query: (query_id, dataset, id, score, rank).
+    """Top ``k`` points of each data set for each query: (query_id, dataset, id, score, rank), equal scores by id.
 
-    ``queries`` (query_id, qv) is broadcast after its rows are counted; beyond QUERY_BLOCK it is taken in blocks.
+    A stated set of queries (query_id, qv) against all points (dataset, id, embedding): it is taken in blocks of some
+    QUERY_BLOCK queries, each of which goes to the workers whole, and only the best of every Arrow batch are
+    shuffled. Vectors of different dimension, nulls and zero vectors have similarity 0; a null ``qv`` has no rows.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    spark = points.sparkSession
+    queries = queries.filter("qv IS NOT NULL")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    p = points.select("dataset", "id", "embedding").filter("id IS NOT NULL")
+    kinds = {f.name: f.dataType.simpleString() for f in [*p.schema, *queries.schema]}
+    schema = f"query_id {kinds['query_id']}, dataset {kinds['dataset']}, id {kinds['id']}, score double"
     out = None
     for b in range(blocks):
-        q = F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries)
-        m = points.crossJoin(q)  # a stated query set against all points
-        m = m.select("query_id", "dataset", "id", cosine(F.col("embedding"), F.col("qv")).alias("score")).filter(F.col("score") >= threshold)
-        w = Window.partitionBy("query_id", "dataset").orderBy(F.desc("score"), "id")
-        m = m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        held = spark.sparkContext.broadcast([(r["query_id"], r["qv"]) for r in part.select("query_id", "qv").collect()])  # a block
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield _best(pdf, held.value, k, threshold)
+
+        m = p.mapInPandas(run, schema)
         out = m if out is None else out.unionByName(m)
-    return out
+    w = Window.partitionBy("query_id", "dataset").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def search_sets(points: DataFrame, known: DataFrame, asked: DataFrame, query: list[float], k: int) -> DataFrame:

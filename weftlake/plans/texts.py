@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftlake.functions import guard, text
 from weftlake.operators import chunking, rag
@@ -80,7 +81,8 @@ LOG = """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN '
   SELECT user_id, len(list_filter(l, lambda x: regexp_matches(trim(x), '^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}')))::FLOAT / len(l) > 0.3::FLOAT AS is_log FROM g""",
 )
 def log_sniff(t: Tables) -> DataFrame:
-    g = log_lines(t).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("txt"))
+    first = log_lines(t).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("n <= 10")  # all that is looked at
+    g = first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("txt"))
     return g.select("user_id", text.is_log(F.col("txt")).alias("is_log"))
 
 

@@ -30,7 +30,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query("vector_topk", SCORED + "SELECT id, label, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY s.score DESC, id LIMIT 10")
 def vector_topk(t: Tables) -> DataFrame:
-    return rounded(search.top_k(search.scored(points(t), probe(t))).select("id", "label", "score"), "score")
+    return rounded(search.top_k(search.matvec_scored(points(t), probe(t))).select("id", "label", "score"), "score")
 
 
 @query("vector_topk_offset", SCORED + "SELECT id, label, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY s.score DESC, id LIMIT 10 OFFSET 5")
