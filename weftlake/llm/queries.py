@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftlake.llm.board import REPORT_SQL as BOARD_SQL
+from weftlake.llm.board import board_report
 from weftlake.llm.bpe import bpe_report
 from weftlake.llm.common import documents
 from weftlake.llm.exact_dedup import exact_duplicates
 from weftlake.llm.langid import language_report
 from weftlake.llm.line_dedup import line_report
 from weftlake.llm.lm import score_report
+from weftlake.llm.main_text import main_text_report
 from weftlake.llm.mixing import mix_report
 from weftlake.llm.quality import REPORT_SQL, quality_report
 from weftlake.llm.recompression import repeat_report
@@ -67,6 +70,14 @@ def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(documents(spark, sf_dir))
 
 
+def op12_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_board_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board_report(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sale_lines", "vendors", "items")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sampled_splitters": op1_sampled_splitters,
@@ -79,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bloom_dedup": op8_bloom_dedup,
         "op9_raked_mix": op9_raked_mix,
         "op10_simhash_mih": op10_simhash_mih,
+        "op12_line_blocks": op12_line_blocks,
+        "op13_board_feed": op13_board_feed,
         "pipeline": pipeline,
     }
 
@@ -86,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_host_quality": REPORT_SQL,
+        "op13_board_feed": BOARD_SQL,
         "op8_bloom_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
