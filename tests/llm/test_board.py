@@ -57,11 +57,11 @@ def brute(rows, places, prices):
 
 
 def test_feed(spark, monkeypatch):
-    """With small leaves and a small fan the trees have four levels; a hot item, nulls, ties, repeats and clashing columns."""
+    """With small leaves and a small fan the trees have three levels; a hot item, nulls, ties, repeats and clashing columns."""
     from weftlake.llm import board
 
     monkeypatch.setattr(board, "LEAF_ITEMS", 60)
-    monkeypatch.setattr(board, "FAN", 3)
+    monkeypatch.setattr(board, "FAN", 4)
     monkeypatch.setattr(board, "DAYS_AT_ONCE", 4)
     rows, places, prices = shop()
     lines = spark.createDataFrame([x + (1, 2, 3, 4, 5, 6, 7, 1.5) for x in rows], LINES)

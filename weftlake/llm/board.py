@@ -2,11 +2,14 @@
 
 The leaves of a group's tree are buckets of its items with their running values; a
 node keeps the ten best of what its children hold, and the root's ten are the
-board. One stateful operator of a streaming query holds one level of all trees,
-keyed by (group, node), so that a large group is many keys. A day's updates reach
-their leaves; a leaf whose ten change tells its parent which items came, changed
-or left, with their values; and so on along the path, until the root's ten are
-compared with those of the day before. Nothing else is touched or recomputed.
+board. The leaves are the keyed state of a streaming query, (group, leaf) by
+(group, leaf), so that a large group is many keys. A day's updates reach their
+leaves; a leaf whose ten change tells its parent which items came, changed or left,
+with their values. The nodes above hold a share of that, some hundred items each;
+every batch climbs them level by level as ordinary jobs over the level's table of
+the batch before, until the root's ten are compared with those of the day before.
+Only what the changes lead to is recomputed. Tables are named by batch, so that a
+batch that is run again writes the same ones.
 
 Before they are shuffled to the leaves, updates are summed by group, item and day
 within each task, so that a hot item arrives as a row for each day and task. All
@@ -16,7 +19,6 @@ that a leaf or node receives in a batch is bounded by its items times the days.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from datetime import date
 
 import numpy as np
@@ -37,8 +39,10 @@ DAYS_AT_ONCE = 64
 SUMMED_ROWS = 1 << 19
 
 _UPDATES = "grp int, node long, day int, item long, value long"
-_LEVEL = "grp int, node long, day int, item long, value long, held boolean"
+_TOLD = "grp int, node long, day int, item long, value long, held boolean"
 _CHANGES = "grp int, day int, item long, old_rank int, new_rank int, value long"
+#: What a node holds (day is null), and what it tells its parent or, as the root, the feed.
+_LEVEL = "grp int, node long, day int, item long, value long, held boolean, old_rank int, new_rank int"
 _STATE = "items binary, sums binary"
 
 #: Items and their values, best first.
@@ -69,14 +73,6 @@ def _moved(day: int, was: Best, now: Best, value_of: Callable[[int], int]) -> li
     return [(day, i, before.get(i, 0), after.get(i, 0), value_of(i)) for i in both if before.get(i) != after.get(i)]
 
 
-def _rows(key: tuple, rows: list[tuple], top: bool) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["day", "item", "old_rank", "new_rank", "value"] if top else ["day", "item", "value", "held"])
-    f.insert(0, "grp", key[0])
-    if not top:
-        f.insert(1, "node", key[1])
-    return f
-
-
 def _opened(state) -> Best:
     if not state.exists:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -84,62 +80,63 @@ def _opened(state) -> Best:
     return np.frombuffer(items, np.int64), np.frombuffer(values, np.int64)
 
 
-def _leaf(top: bool):
+def _leaf(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Adds a batch's updates to the items of a leaf and tells day by day how its ten change."""
-    tell = _moved if top else _told
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        got = [(f["day"].to_numpy(), f["item"].to_numpy(), f["value"].to_numpy()) for f in frames]
-        day, item, value = (np.concatenate(x) for x in zip(*got))
-        had, sums = _opened(state)
-        items = np.union1d(had, item)
-        total = np.zeros(len(items), np.int64)
-        total[np.searchsorted(items, had)] = sums
-        days, row = np.unique(day, return_inverse=True)
-        column = np.searchsorted(items, item)
-        best, out = best_of(items, total), []
-        for first in range(0, len(days), DAYS_AT_ONCE):
-            here = (row >= first) & (row < first + DAYS_AT_ONCE)
-            after = np.zeros((min(DAYS_AT_ONCE, len(days) - first), len(items)), np.int64)
-            np.add.at(after, (row[here] - first, column[here]), value[here])
-            after[0] += total
-            after = np.cumsum(after, axis=0)
-            for k, held in enumerate(after):
-                now = best_of(items, held)
-                if not all(map(np.array_equal, now, best)):
-                    out += tell(int(days[first + k]), best, now, lambda i, held=held: int(held[np.searchsorted(items, i)]))
-                    best = now
-            total = after[-1]
-        state.update((items.tobytes(), total.tobytes()))
-        if out:
-            yield _rows(key, out, top)
-
-    return run
+    got = [(f["day"].to_numpy(), f["item"].to_numpy(), f["value"].to_numpy()) for f in frames]
+    day, item, value = (np.concatenate(x) for x in zip(*got))
+    had, sums = _opened(state)
+    items = np.union1d(had, item)
+    total = np.zeros(len(items), np.int64)
+    total[np.searchsorted(items, had)] = sums
+    days, row = np.unique(day, return_inverse=True)
+    column = np.searchsorted(items, item)
+    best, out = best_of(items, total), []
+    for first in range(0, len(days), DAYS_AT_ONCE):
+        here = (row >= first) & (row < first + DAYS_AT_ONCE)
+        after = np.zeros((min(DAYS_AT_ONCE, len(days) - first), len(items)), np.int64)
+        np.add.at(after, (row[here] - first, column[here]), value[here])
+        after[0] += total
+        after = np.cumsum(after, axis=0)
+        for k, held in enumerate(after):
+            now = best_of(items, held)
+            if not all(map(np.array_equal, now, best)):
+                out += _told(int(days[first + k]), best, now, lambda i, held=held: int(held[np.searchsorted(items, i)]))
+                best = now
+        total = after[-1]
+    state.update((items.tobytes(), total.tobytes()))
+    if out:
+        f = pd.DataFrame(out, columns=["day", "item", "value", "held"])
+        f.insert(0, "grp", key[0])
+        f.insert(1, "node", key[1])
+        yield f
 
 
 def _node(top: bool):
     """Takes over what the children of a node tell, day by day, and tells how its own ten change."""
-    tell = _moved if top else _told
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(frames))
-        items, values = _opened(state)
-        holds = dict(zip(items.tolist(), values.tolist()))
-        best, out = best_of(items, values), []
-        for day, f in got.groupby("day", sort=True):
+
+    def run(key: tuple, told: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        holds = dict(zip(held["item"].tolist(), held["value"].tolist()))
+        best, out = best_of(held["item"].to_numpy(), held["value"].to_numpy()), []
+        for day, f in told.groupby("day", sort=True):
             gone: dict[int, int] = {}
-            for i, v, held in zip(f["item"].tolist(), f["value"].tolist(), f["held"].tolist()):
-                if held:
+            for i, v, kept in zip(f["item"].tolist(), f["value"].tolist(), f["held"].tolist()):
+                if kept:
                     holds[i] = v
                 else:
                     holds.pop(i, None)
                     gone[i] = v
             now = best_of(*(np.fromiter(x, np.int64, len(holds)) for x in (holds.keys(), holds.values())))
-            out += tell(int(day), best, now, lambda i, gone=gone: gone[i] if i in gone else holds[i])
+            at = lambda i, gone=gone: gone[i] if i in gone else holds[i]
+            if top:
+                out += [(day, i, v, True, was, is_) for day, i, was, is_, v in _moved(int(day), best, now, at)]
+            else:
+                out += [(*x, 0, 0) for x in _told(int(day), best, now, at)]
             best = now
-        state.update(tuple(np.fromiter(x, np.int64, len(holds)).tobytes() for x in (holds.keys(), holds.values())))
-        if out:
-            yield _rows(key, out, top)
+        out += [(None, i, v, True, 0, 0) for i, v in holds.items()]
+        f = pd.DataFrame(out, columns=["day", "item", "value", "held", "old_rank", "new_rank"]).astype({"day": "Int32"})
+        f.insert(0, "grp", key[0])
+        f.insert(1, "node", key[1])
+        return f
 
     return run
 
@@ -163,43 +160,42 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held)
 
 
-def board_changes(updates: DataFrame, leaves: int) -> DataFrame:
-    """(grp, day, item, old_rank, new_rank, value) of every item whose place on its group's board changes on a day.
+def leaf_changes(updates: DataFrame, leaves: int) -> DataFrame:
+    """(grp, node, day, item, value, held) of every item that comes into the ten of its leaf, changes there or leaves them.
 
     ``updates`` is a stream of (grp int, item long, day int, value long): a batch
     holds whole days, and days later than all batches before. Values of an item
-    add up; a board is the ten highest positive sums after a day, ties to the
-    smaller item; a rank that is null is off the board. Start the stream with the plan check off (:func:`_several_levels`). ``leaves`` is the number
-    of a tree's buckets and stays the same for a checkpoint. Rows with a null
-    group, item, day or value are ignored; other columns are not read.
+    add up. ``leaves`` is the number of a tree's buckets and stays the same for a
+    checkpoint. Rows with a null group, item, day or value are ignored; other
+    columns are not read.
     """
     need(updates, "grp", "item", "day", "value")
     node = F.pmod(F.xxhash64(F.col("item")), F.lit(leaves))
     rows = updates.filter("grp is not null and item is not null and day is not null and value is not null")
     rows = rows.select(F.col("grp").cast("int").alias("grp"), node.alias("node"), F.col("day").cast("int").alias("day"), F.col("item").cast("long").alias("item"), F.col("value").cast("long").alias("value"))
-    out, n, make = rows.mapInArrow(_summed, _UPDATES), leaves, _leaf
-    while True:
-        top = n <= 1
-        out = out.groupBy("grp", "node").applyInPandasWithState(make(top), _CHANGES if top else _LEVEL, _STATE, "append", "NoTimeout")
-        if top:
-            return out.withColumns({c: F.nullif(F.col(c), F.lit(0)) for c in ("old_rank", "new_rank")})
-        out = out.withColumn("node", F.expr(f"node div {FAN}"))
-        n, make = -(-n // FAN), _node
-
+    return rows.mapInArrow(_summed, _UPDATES).groupBy("grp", "node").applyInPandasWithState(_leaf, _TOLD, _STATE, "append", "NoTimeout")
 
-#: Spark allows several such operators in append mode on the JVM, but its check of streaming plans knows only one of Python's.
-PLAN_CHECK = "spark.sql.streaming.unsupportedOperationCheck"
 
+def climb(told: DataFrame, batch: int, leaves: int, path: str) -> None:
+    """Carry what the leaves tell in one batch up to the roots; their changes are the rows of ``path``/changes/``batch``.
 
-@contextmanager
-def _several_levels(spark: SparkSession) -> Iterator[None]:
-    """A stream started inside may hold an operator for each level: none has a timeout, all append, and each batch runs through all of them."""
-    before = spark.conf.get(PLAN_CHECK)
-    spark.conf.set(PLAN_CHECK, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(PLAN_CHECK, before)
+    Each level joins what its children tell with what its nodes hold, the rows of
+    the level's table of the batch before, and writes both anew for this batch.
+    """
+    spark, n, level = told.sparkSession, leaves, 0
+    while True:
+        n, level = -(-n // FAN), level + 1
+        top = n <= 1
+        told = told.withColumn("node", F.expr(f"node div {FAN}")).select("grp", "node", "day", "item", "value", "held")
+        at = f"{path}/level-{level}"
+        before = spark.read.schema(_LEVEL).parquet(f"{at}/{batch - 1}").filter("day is null") if batch else spark.createDataFrame([], _LEVEL)
+        made = told.groupBy("grp", "node").cogroup(before.groupBy("grp", "node")).applyInPandas(_node(top), _LEVEL)
+        made.write.mode("overwrite").parquet(f"{at}/{batch}")
+        told = spark.read.schema(_LEVEL).parquet(f"{at}/{batch}").filter("day is not null")
+        if top:
+            ranks = (F.nullif(F.col(c), F.lit(0)).alias(c) for c in ("old_rank", "new_rank"))
+            told.select("grp", "day", "item", *ranks, "value").write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+            return
 
 
 def move(spark: SparkSession, old: str, new: str) -> bool:
@@ -211,15 +207,16 @@ def move(spark: SparkSession, old: str, new: str) -> bool:
 
 
 def feed_batches(updates: DataFrame, batches: int, leaves: int, grace: int) -> DataFrame:
-    """Run :func:`board_changes` over ``updates`` in batches, each with a start of its own on one checkpoint.
-
-    ``updates`` has (grp, item, day, value, batch, seen): ``batch`` is 1 to
-    ``batches`` and ``seen`` a day. The batches are written to a new folder of the
-    shared storage; each in turn is moved into the folder that the stream reads. A row is
-    dropped if ``seen + grace`` lies below the largest ``seen`` of all batches
-    before its own, ignored rows included; that is one number a batch, observed
-    while the batches are written. A batch without rows has no start. The result is what the
-    stream's sink holds.
+    """(grp, day, item, old_rank, new_rank, value) of every item whose place on its group's board changes on a day.
+
+    A board is the ten highest positive sums after a day, ties to the smaller item;
+    a rank that is null is off the board. ``updates`` has (grp, item, day, value,
+    batch, seen): ``batch`` is 1 to ``batches`` and ``seen`` a day. The batches are
+    written to a new folder of the shared storage; each in turn is moved into the
+    folder that the stream reads, and the stream is started anew for it on one
+    checkpoint. A row is dropped if ``seen + grace`` lies below the largest ``seen``
+    of all batches before its own, ignored rows included; that is one number a
+    batch, observed while the batches are written. A batch without rows has no start.
     """
     spark = updates.sparkSession
     path = shared_path(spark, "board")
@@ -234,16 +231,13 @@ def feed_batches(updates: DataFrame, batches: int, leaves: int, grace: int) -> D
     for k in range(1, batches + 1):
         if move(spark, f"{cut}/batch={k}", f"{feed}/batch-{k}"):
             fresh_rows = stream if bar is None else stream.filter(F.col("seen") + grace >= bar)
-            changes = board_changes(fresh_rows, leaves)
-            sink = changes.writeStream.format("parquet").option("path", f"{path}/changes").option("checkpointLocation", f"{path}/checkpoint")
-            with _several_levels(spark):
-                query = sink.outputMode("append").trigger(availableNow=True).start()
-            query.awaitTermination()
+            feeder = leaf_changes(fresh_rows, leaves).writeStream.foreachBatch(lambda told, batch: climb(told, batch, leaves, path))
+            feeder.option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
         if (m := seen.get[f"b{k}"]) is not None:
             bar = m if bar is None else max(bar, m)
     if bar is None:
         return spark.createDataFrame([], _CHANGES)
-    return spark.read.schema(_CHANGES).parquet(f"{path}/changes")
+    return spark.read.schema(_CHANGES).parquet(f"{path}/changes").drop("batch")
 
 
 #: Fixed values of the shop's calendar: its first day, its days, and the days a line may lag behind.
