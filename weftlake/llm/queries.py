@@ -16,6 +16,8 @@ from weftlake.llm.line_dedup import line_report
 from weftlake.llm.lm import score_report
 from weftlake.llm.main_text import main_text_report
 from weftlake.llm.mixing import mix_report
+from weftlake.llm.prefix_trie import REPORT_SQL as TRIE_SQL
+from weftlake.llm.prefix_trie import trie_report
 from weftlake.llm.quality import REPORT_SQL, quality_report
 from weftlake.llm.recompression import repeat_report
 from weftlake.llm.sharding import shard_by_bytes
@@ -70,6 +72,10 @@ def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bloom_dedup": op8_bloom_dedup,
         "op9_raked_mix": op9_raked_mix,
         "op10_simhash_mih": op10_simhash_mih,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_line_blocks": op12_line_blocks,
         "op13_board_feed": op13_board_feed,
         "pipeline": pipeline,
@@ -99,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_host_quality": REPORT_SQL,
+        "op11_prefix_trie": TRIE_SQL,
         "op13_board_feed": BOARD_SQL,
         "op8_bloom_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
