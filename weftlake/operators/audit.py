@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlake.operators.sketches import exact_quantiles, sketch_rollup
+
 
 def audit_view(events: DataFrame) -> DataFrame:
     """The event table as an audit log."""
@@ -63,8 +65,13 @@ def rates(log: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def value_quantiles(events: DataFrame, column: str = "value") -> DataFrame:
-    """Quantiles of a value by event type, exact within a group."""
-    return events.groupBy("event_type").agg(*[F.percentile(column, q).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.99)])
+    """Quantiles of a value by event type, exact; see :func:`weftlake.operators.sketches.exact_quantiles`."""
+    return exact_quantiles(events, "event_type", column)
+
+
+def hourly(events: DataFrame) -> DataFrame:
+    """The roll-up by hour and type that reports over any range of hours are read from."""
+    return sketch_rollup(events, ["event_type"], "user_id", "value")
 
 
 def rollup_counts(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlake.operators import audit
+from weftlake.operators.sketches import merged_rollup, read_rollup
 from weftlake.plans.registry import Tables, query
 
 VIEW = """WITH a AS (SELECT event_id, ts, event_type, CASE WHEN event_type = 'error' THEN 'Failure' ELSE 'Success' END AS outcome, user_id,
@@ -91,3 +92,23 @@ def audit_sessions(t: Tables) -> DataFrame:
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     g = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
+
+
+@query("audit_rollup_range", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1")
+def audit_rollup_range(t: Tables) -> DataFrame:
+    """Counts of a range of hours out of the stored roll-up alone."""
+    return _range(t).select("event_type", "n")
+
+
+@query("audit_sketches")
+def audit_sketches(t: Tables) -> DataFrame:
+    """(event_type, n, users, p50, p90, p99) of a range of hours out of the stored sketches alone."""
+    return read_rollup(_range(t)).select("event_type", "n", "users", "p50", "p90", "p99")
+
+
+def _range(t: Tables) -> DataFrame:
+    from weftlake.session import stash
+
+    rollup = stash(audit.hourly(t.events), "rollup")
+    kept = rollup.filter("bucket >= TIMESTAMP '2024-01-02' AND bucket < TIMESTAMP '2024-01-20 12:00:00'")
+    return merged_rollup(kept, ["event_type"])
