@@ -44,3 +44,20 @@ def stream_ingest(t: Tables) -> DataFrame:
     path = shared_path(t.spark, "points")
     jobs.ingest(_Streamed(t.spark, t.folder).documents.select("doc_id", "text"), path, lambda c: fixed_size(c, 500, trim=False), HashingProvider(8))
     return t.spark.read.parquet(path).groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query(
+    "stream_redelivery",
+    """WITH f AS (SELECT user_id AS message_id, count(*) AS attempts, arg_max(event_id, epoch_us(ts) * 1000000000::HUGEINT + event_id) AS last_error,
+    max(ts) + to_seconds([30, 60, 120, 300][least(count(*), 4)]) AS due FROM events WHERE event_type = 'error' AND user_id IS NOT NULL GROUP BY user_id)
+  SELECT message_id, attempts, last_error, attempts >= 5 AS dead, CASE WHEN attempts < 5 THEN strftime(due, '%Y-%m-%d %H:%M:%S') END AS due_at
+  FROM f WHERE attempts >= 5 OR due <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events WHERE user_id IS NOT NULL)""",
+)
+def stream_redelivery(t: Tables) -> DataFrame:
+    """What a stream with timers hands out by itself: messages that are due again by its own clock, and dead letters."""
+    e = _Streamed(t.spark, t.folder).events.filter("user_id IS NOT NULL")
+    failed = e.withColumn("error", F.when(F.col("event_type") == "error", F.col("event_id")))
+    clock = failed.select(F.when(F.col("error").isNull(), -1 - F.col("event_id")).otherwise(F.col("user_id")).alias("message_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "error")
+    out = jobs.run_once(jobs.redeliver(clock), name="redelivery")
+    last = out.groupBy("message_id").agg(F.max_by(F.struct("attempts", "last_error", "dead", "due_at"), "attempts").alias("x"))
+    return last.select("message_id", "x.attempts", "x.last_error", "x.dead", F.date_format("x.due_at", "yyyy-MM-dd HH:mm:ss").alias("due_at"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftlake.operators.ledger import MAX_DELIVERIES, WAITS
 from weftlake.session import shared_path
 from weftlake.sources.blobs import merge_into
 
@@ -43,11 +44,15 @@ def settle(messages: DataFrame) -> DataFrame:
         status, chunks, seq = state.get if state.exists else ("", 0, -1)
         was = (status, chunks, seq)
         for pdf in batches:
-            for r in pdf.sort_values("seq").itertuples():
-                if status != "success" and (r.status == "success" or r.seq > seq):
-                    status, chunks, seq = r.status, int(r.chunk_count), int(r.seq)
-                elif status == "success" and r.status == "success" and r.seq < seq:
-                    chunks, seq = int(r.chunk_count), int(r.seq)
+            good = pdf[pdf["status"] == "success"]
+            if len(good):  # the first success absorbs all else
+                r = good.loc[good["seq"].idxmin()]
+                take = status != "success" or r["seq"] < seq
+            else:
+                r = pdf.loc[pdf["seq"].idxmax()]
+                take = status != "success" and r["seq"] > seq
+            if take:
+                status, chunks, seq = r["status"], int(r["chunk_count"]), int(r["seq"])
         if (status, chunks, seq) != was:
             state.update((status, chunks, seq))
             yield pd.DataFrame([(key[0], key[1], status, chunks, seq)], columns=["key", "batch", "status", "chunks", "seq"])
@@ -129,3 +134,60 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day
     """Counts by time bucket and type, each once its window has passed the watermark."""
     e = events.withWatermark("ts", late)
     return e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), "event_type", "n")
+
+
+REDELIVERY = "message_id {id}, attempts long, last_error {error}, dead boolean, due_at timestamp"
+
+
+def redeliver(outcomes: DataFrame, late: str = "1 minute", most: int = MAX_DELIVERIES, waits: tuple[int, ...] = WAITS, forget: int = 86_400) -> DataFrame:
+    """(message_id, attempts, last_error, dead, due_at) of a message when it comes back by itself, and when it dies.
+
+    ``outcomes`` is a stream of (message_id, ts, seq, error), one row for each
+    delivery; a null ``error`` acknowledges the message and what failed before. A
+    failed one gets a timer for the wait of its attempt; when the watermark (``late``
+    behind the latest ``ts``) has passed it, the message is handed out again. The
+    ``most``-th failure makes it a dead letter at once. State goes with the
+    acknowledgement, or ``forget`` seconds after the last hand-out. Failures that come later than the
+    watermark count too; rows without id or time are ignored.
+    """
+    rows = outcomes.filter("message_id IS NOT NULL AND ts IS NOT NULL").select("message_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "error").withWatermark("ts", late)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = REDELIVERY.format(id=kinds["message_id"], error=kinds["error"])
+    names = ["message_id", "attempts", "last_error", "dead", "due_at"]
+
+    def out(key: tuple, attempts: int, error: object, due: int | None) -> pd.DataFrame:
+        at = pd.Series([pd.Timestamp(due, unit="ms") if due else pd.NaT], dtype="datetime64[ns]")
+        return pd.DataFrame({"message_id": [key[0]], "attempts": [attempts], "last_error": [error], "dead": [due is None], "due_at": at})[names]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        attempts, error, due = state.get if state.exists else (0, None, 0)
+        if state.hasTimedOut:
+            if not due:
+                state.remove()
+                return
+            yield out(key, attempts, error, due)
+            state.update((attempts, error, 0))
+            state.setTimeoutTimestamp(max(due, now) + forget * 1000)
+            return
+        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"], ignore_index=True)
+        failed = pdf["error"].notna()
+        if not failed.all():
+            attempts, pdf = 0, pdf.iloc[int(failed[~failed].index[-1]) + 1 :]
+        if not len(pdf):
+            if state.exists:
+                state.remove()
+            return
+        attempts, last = attempts + len(pdf), pdf.iloc[-1]
+        error, ts = last["error"], int(last["ts"].value // 1_000_000)
+        error = error.item() if hasattr(error, "item") else error
+        due = 0 if attempts >= most else ts + 1000 * waits[min(attempts, len(waits)) - 1]
+        if not due:
+            yield out(key, attempts, error, None)
+        elif due <= now:
+            yield out(key, attempts, error, due)
+            due = 0
+        state.update((attempts, error, due))
+        state.setTimeoutTimestamp(due or max(ts, now) + forget * 1000)
+
+    return rows.groupBy("message_id").applyInPandasWithState(step, schema, f"attempts long, error {kinds['error']}, due long", "append", GroupStateTimeout.EventTimeTimeout)
