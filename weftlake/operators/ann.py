@@ -28,6 +28,8 @@ CODES = 256
 ROUNDS = 25
 #: The list of vectors that have no direction: null, zero or of another dimension. Every query probes it.
 NO_LIST = -1
+#: Share of the lists that a query probes unless told otherwise: enough for vectors that hardly cluster; an eighth does where they do.
+PROBED = 0.6
 #: Queries that go to the workers at once, and those whose lookup tables are held at once.
 QUERY_BLOCK = 4096
 TABLE_BLOCK = 128
@@ -146,11 +148,11 @@ def _ranked(df: DataFrame, k: int, *by: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, dim: int, probes: int = 16, ef: int = 128, exact: bool = False, where: Column | None = None) -> DataFrame:
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, dim: int, probes: int | None = None, ef: int = 200, exact: bool = False, where: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest of the indexed points for each of ``queries`` (query_id, qv).
 
-    Each query probes the lists of its ``probes`` nearest centroids; ``ef`` of their
-    points, at least ``k``, are scored exactly. ``exact`` reads all vectors instead.
+    Each query probes the lists of its ``probes`` nearest centroids, by default a
+    share of ``PROBED`` of all; ``ef`` of their points, at least ``k``, are scored exactly. ``exact`` reads all vectors instead.
     ``where`` is a condition on payload columns, met before anything is scored.
     Queries are a stated set, taken in blocks; null ones and those of another
     dimension have no rows. Equal scores are ordered by id; a row that is stored
@@ -164,6 +166,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, dim
         return fan_out(entries.withColumn("dataset", F.lit(0)), queries, k, -1.0).select("query_id", "id", "score", "rank")
     centers, books = _matrix(spark.read.parquet(f"{path}/centroids"), "list", dim), _codebooks(spark, path)
     cuts = _parts(dim, len(books) or 1)
+    probes = probes or -int(-PROBED * len(centers) // 1)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     kinds = {f.name: f.dataType.simpleString() for f in [*entries.schema, *queries.schema]}
     out = None

@@ -11,8 +11,8 @@ from weftlake.plans.registry import Tables, query
 from weftlake.session import shared_path
 
 DIM = 64
-#: Fixed parameters of the recall query: nearest points, probed lists and candidates.
-NEAREST, PROBES, EF = 10, 16, 160
+#: Nearest points of the recall query; lists and candidates are the search's defaults.
+NEAREST = 10
 
 
 def _points(t: Tables) -> DataFrame:
@@ -51,7 +51,7 @@ def ann_recall(t: Tables) -> DataFrame:
     true = search.fan_out(_points(t).withColumn("dataset", F.lit(0)), asked, NEAREST, -1.0)
     codes = _points(t).withColumn("dataset", F.lit(0)).withColumn("embedding", quantize(F.col("embedding"))["codes"].cast("array<float>"))
     found = {
-        ("inverted file, product codes", -(-DIM // 4)): ann.search_index(t.spark, path, asked, NEAREST, DIM, PROBES, EF),
+        ("inverted file, product codes", -(-DIM // 4)): ann.search_index(t.spark, path, asked, NEAREST, DIM),
         ("signed bytes", DIM): search.fan_out(codes, asked, NEAREST, -1.0),
     }
     out = None
@@ -66,7 +66,7 @@ BM25 = r"""WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{
   dl AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+')), 0) AS n FROM documents WHERE doc_id IS NOT NULL),
   c AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-  q AS (SELECT DISTINCT item_id AS query_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS term FROM benchmark WHERE item_id % 5 = 0),
+  q AS (SELECT DISTINCT item_id AS query_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS term FROM benchmark WHERE item_id % 100 = 0),
   s AS (SELECT query_id, doc_id AS id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score
         FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), c GROUP BY ALL)"""
 
@@ -78,7 +78,7 @@ def _text_index(t: Tables) -> str:
 
 
 def _text_queries(t: Tables) -> DataFrame:
-    return t.benchmark.filter("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return t.benchmark.filter("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query("list_ranked", BM25 + "SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
@@ -91,12 +91,12 @@ def list_ranked(t: Tables) -> DataFrame:
 @query(
     "rerank_bm25",
     BM25
-    + """, v AS (SELECT query_id, item_id AS ignored, id, score FROM s JOIN benchmark ON item_id = query_id WHERE id % 10 = 0)
+    + """, v AS (SELECT query_id, item_id AS ignored, id, score FROM s JOIN benchmark ON item_id = query_id)
   SELECT query_id, id, round(score, 6) AS score FROM v""",
 )
 def rerank_bm25(t: Tables) -> DataFrame:
-    """Given candidates (here every tenth document for each query) scored by the index's counts instead of by word overlap."""
-    ids = t.documents.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("id"))
+    """Given candidates (here every document for each query) scored by the index's counts instead of by word overlap."""
+    ids = t.documents.select(F.col("doc_id").alias("id"))
     found = textindex.score_candidates(t.spark, _text_index(t), _text_queries(t), ids)
     return found.withColumn("score", F.round("score", 6))
 
