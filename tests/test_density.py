@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from weftlake.operators import clusters
+from weftlake.operators import density
 
 
 def many():
@@ -16,13 +16,6 @@ def many():
 def test_small_clusters_stay_among_many_points(spark):
     xy = many()
     frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(xy)), "x": xy[:, 0], "y": xy[:, 1]}))
-    out = clusters.density_clusters(frame).toPandas().sort_values("id")["cluster"].to_numpy()
+    out = density.density_clusters(frame).toPandas().sort_values("id")["cluster"].to_numpy()
     small = out[-3000:].reshape(200, 15)
     assert len(out) == len(xy) and (small >= 0).all() and (small == small[:, :1]).all() and len(set(small[:, 0])) == 200
-
-
-def test_nearest_in_strips_are_the_nearest():
-    r = np.random.default_rng(2)
-    for xy in (r.normal(size=(1500, 2)), np.repeat(r.normal(size=(100, 2)), 9, axis=0), np.zeros((600, 2)), np.column_stack([np.zeros(900), r.normal(size=900)])):
-        want = [np.partition(((xy - p) ** 2).sum(1), 4)[4] for p in xy]
-        assert np.array_equal(clusters.kth_squared(xy, 4), want)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftlake.functions import guard, text, vectors
 from weftlake.functions.ids import chunk_id
-from weftlake.operators import catalog, chunking, clusters, ledger, rag, search
+from weftlake.operators import catalog, chunking, clusters, density, ledger, rag, search
 from weftlake.operators.embed import Breaker, HashingProvider, HttpProvider, adapt_concurrency, embed, with_retry
 
 
@@ -123,12 +123,16 @@ def test_catalog(spark):
     assert tuple(catalog.patch(spark.createDataFrame([(1, "old", 4)], "id int, a string, b int"), one, "id", ["a", "b"]).first()) == (1, "old", 5)
 
 
-def test_density_finds_two_blobs_and_noise():
+def test_density_finds_two_blobs_and_noise(spark):
+    def labels(at):
+        frame = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)], "id int, x double, y double")
+        return np.array([r.cluster for r in density.density_clusters(frame).orderBy("id").collect()])
+
     r = np.random.default_rng(1)
     xy = np.concatenate([r.normal(0, 0.1, (60, 2)), r.normal(5, 0.1, (50, 2)), [[2.5, 2.5], [-9, 4]]])
-    lab = clusters.density_labels(xy)
+    lab = labels(xy)
     assert len(set(lab[:60])) == 1 and len(set(lab[60:110])) == 1 and lab[0] != lab[60] and lab[111] == -1
-    assert (clusters.density_labels(xy[:5]) == -1).all()
+    assert (labels(xy[:5]) == -1).all()
 
 
 def test_cluster_names(spark):

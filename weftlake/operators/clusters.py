@@ -1,16 +1,16 @@
-"""Clustering: sampling, reduction, density clusters, labels and the point map."""
+"""Clustering: sampling, reduction, labels and the point map; density clusters come from :mod:`weftlake.operators.density`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-NOISE = -1
+from weftlake.operators.density import NOISE
+
 UNLABELLED = "Unlabelled"
 MAX_POINTS = 100_000_000
 
@@ -47,121 +47,6 @@ def reduce_2d(points: DataFrame, vector: str = "embedding") -> DataFrame:
     return out.withColumn("x", F.col("_p")[0]).withColumn("y", F.col("_p")[1]).drop("_v", "_p")
 
 
-def kth_squared(xy: np.ndarray, k: int, block: int = 256) -> np.ndarray:
-    """Squared distance of every point to its k-th nearest (itself is number 0): strips in the order of x, widened until they hold it."""
-    n, order = len(xy), np.argsort(xy[:, 0], kind="stable")
-    p, out = xy[order], np.empty(len(xy))
-    for a in range(0, n, block):
-        b, reach = min(a + block, n), block
-        while True:
-            lo, hi = max(a - reach, 0), min(b + reach, n)
-            d = (p[a:b, 0, None] - p[None, lo:hi, 0]) ** 2 + (p[a:b, 1, None] - p[None, lo:hi, 1]) ** 2
-            best = np.partition(d, k, axis=1)[:, k] if hi - lo > k else np.full(b - a, np.inf)
-            left = (p[a:b, 0] - p[lo, 0]) ** 2 if lo > 0 else np.inf
-            right = (p[hi - 1, 0] - p[a:b, 0]) ** 2 if hi < n else np.inf
-            if np.all(best <= np.minimum(left, right)):
-                out[order[a:b]] = best
-                break
-            reach *= 2
-    return out
-
-
-def density_labels(xy: np.ndarray, min_cluster_size: int = 15, min_samples: int = 5) -> np.ndarray:
-    """Hierarchical density clustering: mutual reachability, its minimum spanning tree, and the most stable branches; -1 is noise."""
-    n = len(xy)
-    if n < max(2, min_cluster_size):
-        return np.full(n, NOISE)
-    k = min(min_samples, n) - 1
-    core = np.sqrt(kth_squared(xy, k))
-    # Prim's tree over mutual reachability, one row of distances at a time; points inside are dropped when they are half.
-    x, y, c, number = xy[:, 0].copy(), xy[:, 1].copy(), core, np.arange(n)
-    outside, dist, parent, at, edges = np.ones(n, bool), np.full(n, np.inf), np.zeros(n, int), 0, []
-    for m in range(n - 1, 0, -1):
-        outside[at], dist[at] = False, np.inf
-        here, px, py, pc = number[at], x[at], y[at], c[at]
-        if 2 * m < len(x):
-            x, y, c, number, dist, parent = (v[outside] for v in (x, y, c, number, dist, parent))
-            outside = np.ones(m, bool)
-        d = np.maximum(np.maximum(np.sqrt((x - px) ** 2 + (y - py) ** 2), c), pc)
-        better = np.flatnonzero(outside & (d < dist))
-        dist[better], parent[better] = d[better], here
-        at = int(np.argmin(dist))
-        edges.append((dist[at], parent[at], number[at]))
-    edges.sort()
-    # Single linkage as a binary tree.
-    root = list(range(2 * n - 1))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    size, kids, height = [1] * n + [0] * (n - 1), {}, {}
-    for m, (d, a, b) in enumerate(edges):
-        node = n + m
-        a, b = find(a), find(b)
-        root[a] = root[b] = node
-        size[node], kids[node], height[node] = size[a] + size[b], (a, b), d
-
-    def leaves(i: int) -> list[int]:
-        out, stack = [], [i]
-        while stack:
-            j = stack.pop()
-            if j < n:
-                out.append(j)
-            else:
-                stack += kids[j]
-        return out
-
-    # Branches that keep min_cluster_size points, with the persistence of their points.
-    born, gain, below, members = {0: 0.0}, {0: 0.0}, {0: []}, {0: 2 * n - 2}
-    stack, count = [(2 * n - 2, 0)], 1
-    while stack:
-        node, c = stack.pop()
-        if node < n:
-            continue
-        lam = 1 / height[node] if height[node] > 0 else 1e12
-        big = [x for x in kids[node] if size[x] >= min_cluster_size]
-        small = [x for x in kids[node] if size[x] < min_cluster_size]
-        gain[c] += sum(size[x] for x in small) * (lam - born[c])
-        if len(big) == 2:
-            gain[c] += sum(size[x] for x in big) * (lam - born[c])
-            for x in big:
-                born[count], gain[count], below[count], members[count] = lam, 0.0, [], x
-                below[c].append(count)
-                stack.append((x, count))
-                count += 1
-        elif big:
-            stack.append((big[0], c))
-    chosen: dict[int, bool] = {}
-    for c in sorted(below, reverse=True):
-        inner = sum(gain[x] for x in below[c])
-        chosen[c] = c != 0 and gain[c] >= inner
-        gain[c] = max(gain[c], inner)
-    labels, stack, k = np.full(n, NOISE), [0], 0
-    while stack:
-        c = stack.pop()
-        if chosen[c]:
-            labels[leaves(members[c])] = k
-            k += 1
-        else:
-            stack += sorted(below[c], reverse=True)
-    return labels
-
-
-def density_clusters(points: DataFrame, min_cluster_size: int = 15, min_samples: int = 5) -> DataFrame:
-    """(id, x, y, cluster) of points with x and y. The tree spans all points, in one task that visits all pairs."""
-    every = points.select("id", "x", "y")
-    schema = f"id {every.schema['id'].dataType.simpleString()}, x double, y double, cluster int"
-
-    def run(it):
-        pdf = pd.concat(list(it)).sort_values("id")
-        yield pdf.assign(cluster=density_labels(pdf[["x", "y"]].to_numpy(), min_cluster_size, min_samples).astype("int32"))
-
-    return every.repartition(1).mapInPandas(run, schema)
-
-
 def cluster_stats(labelled: DataFrame, label: str = "label") -> DataFrame:
     """One row: points, clusters (labels from 0 on) and noise points."""
     return labelled.agg(F.count("*").alias("points"), F.countDistinct(F.when(F.col(label) >= 0, F.col(label))).alias("clusters"), F.count(F.when(F.col(label) == NOISE, 1)).alias("noise"))

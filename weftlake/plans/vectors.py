@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftlake.functions.vectors import cosine
-from weftlake.operators import clusters, search
+from weftlake.operators import clusters, density, search
 from weftlake.operators.embed import HashingProvider, embed
 from weftlake.plans.registry import Tables, query
 
@@ -167,7 +167,13 @@ def reduce_pca(t: Tables) -> DataFrame:
 
 @query("cluster_density")
 def cluster_density(t: Tables) -> DataFrame:
-    return clusters.density_clusters(clusters.reduce_2d(points(t))).groupBy("cluster").agg(F.count("*").alias("n"))
+    return density.density_clusters(clusters.reduce_2d(points(t))).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("cluster_density_points")
+def cluster_density_points(t: Tables) -> DataFrame:
+    """Every point with its place and its cluster."""
+    return density.density_clusters(clusters.reduce_2d(points(t)))
 
 
 @query("sample_points")
