@@ -82,14 +82,15 @@ def parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], data
 
 
-def slices(b: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """A batch in slices of about ``most`` bytes of text, with the texts; null texts are empty."""
+def slices(b: pa.RecordBatch, column: int, most: int, rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """A batch in slices of about ``most`` bytes of text and at most ``rows`` rows, with the texts; null texts are empty."""
     texts = pc.fill_null(b.column(column), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
     while first < b.num_rows:
         before = ends[first - 1] if first else 0
         stop = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        stop = min(stop, first + rows) if rows else stop
         yield b.slice(first, stop - first), texts.slice(first, stop - first)
         first = stop
 

@@ -27,6 +27,8 @@ DIMS = 64
 TOPICS = 8
 ROUNDS = 8
 SLICE_BYTES = 1 << 20
+#: Texts whose counts stand in one matrix: 16 MB of numbers.
+SLICE_ROWS = 512
 #: Steps of one of a bucket's weight, of a direction and of a centre.
 WEIGHT, SCALE, GRAIN = 256, 1000, 4096
 
@@ -72,7 +74,7 @@ class TopicModel:
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, rows = np.zeros(BUCKETS, np.int64), 0
     for b in batches:
-        for _, texts in slices(b, 0, SLICE_BYTES):
+        for _, texts in slices(b, 0, SLICE_BYTES, SLICE_ROWS):
             total += (counted(texts)[1] > 0).sum(axis=0)
             rows += len(texts)
     yield pa.RecordBatch.from_arrays([pa.array([*range(BUCKETS), -1]), pa.array([*total.tolist(), rows])], ["bucket", "n"])
@@ -80,7 +82,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _directions(batches: Iterator[pa.RecordBatch], model: TopicModel) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, texts in slices(b, 0, SLICE_BYTES):
+        for _, texts in slices(b, 0, SLICE_BYTES, SLICE_ROWS):
             x = model.directions(counted(texts)[1])
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[x.any(axis=1)].astype("<i2")], pa.binary())], ["x"])
 
@@ -122,7 +124,7 @@ def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, ro
 
 def _with_topics(batches: Iterator[pa.RecordBatch], model: TopicModel) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for rows, texts in slices(b, b.num_columns - 1, SLICE_BYTES):
+        for rows, texts in slices(b, b.num_columns - 1, SLICE_BYTES, SLICE_ROWS):
             n, topic = model.topics(texts)
             keep = rows.num_columns - 1
             yield pa.RecordBatch.from_arrays([*rows.columns[:keep], pa.array(n, pa.int64()), pa.array(topic, pa.string())], [*rows.schema.names[:keep], "n", "topic"])
