@@ -82,3 +82,18 @@ def test_runs_add_to_chunks(docs):
 
     some, more = ({(r.doc_id, r.kept_sha256): r.n_removed_lines for r in line_report(docs, runs=x).collect()} for x in (False, True))
     assert 0 < sum(some.values()) < sum(more.values())
+
+
+def test_a_document_of_very_many_lines(spark):
+    """Time is linear in the lines: 100,000 of them, the copy of another document, in under a minute."""
+    import random
+    import time
+
+    from weftlake.llm.line_dedup import line_report
+
+    r = random.Random(4)
+    text = "\n".join(f"line {r.random()}" for _ in range(100_000))
+    start = time.time()
+    out = {x.doc_id: x for x in line_report(make(spark, [(1, text, "en", "a"), (2, text + "\nown", "en", "a")]), runs=True).collect()}
+    assert time.time() - start < 60
+    assert out[1].n_removed_lines == 0 and out[2].n_removed_lines == 100_000 and out[2].kept_sha256 == hashlib.sha256(b"own").hexdigest()

@@ -115,8 +115,13 @@ def repeated_places(docs: DataFrame, runs: bool, skip: DataFrame | None) -> Data
 
     out = decide(found, "chunks")
     if runs:
-        gone = stash(out.filter("NOT stays").groupBy(*KEY).agg(F.collect_set(F.struct("first", "n")).alias("gone")), "gone")
-        covered = lambda c: F.exists("gone", lambda g: (g["first"] <= c["first"]) & (g["first"] + g["n"] >= c["first"] + c["n"]))
+        # Chunks of a document don't overlap: one flag for each line at which a run of MIN_LINES within a removed chunk starts.
+        skipped = "array_repeat(false, x[j].first - IF(j = 0, 0, x[j - 1].first + x[j - 1].n))"
+        inside = f"array_repeat(true, x[j].n - {MIN_LINES - 1}), array_repeat(false, {MIN_LINES - 1})"
+        flags = F.expr(let("sort_array(gone)", "x", f"flatten(transform(sequence(0, size(x) - 1), j -> concat({skipped}, {inside})))"))
+        gone = out.filter("NOT stays").groupBy(*KEY).agg(F.collect_set(F.struct("first", "n")).alias("gone"))
+        gone = stash(gone.select(*KEY, flags.alias("gone")), "gone")
+        covered = lambda c: F.get("gone", c["first"])
         out = out.unionByName(decide(same_text(found, gone, "left"), F.filter("windows", lambda c: ~F.coalesce(covered(c), F.lit(False)))))
         out = stash(out, "decisions")
     drop_stash(found)
@@ -149,7 +154,8 @@ def line_chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         where = {f"c{keyed.columns.index(c)}": k for c, k in zip((id_, th, tl), KEY)}
         held = stash(same_text(plain.withColumnsRenamed(where), by_doc, "left").drop(*KEY).toDF(*docs.columns, cand), "met")
         # The bytes of all places with one pair of hashes against each other.
-        places = held.filter(F.col(cand).isNotNull()).select(F.split(text, "\n", -1).alias("ls"), F.explode(cand).alias("c")).select("c.h1", "c.h2", F.expr("array_join(slice(ls, c.first + 1, c.n), '\\n')").alias("s"))
+        texts = let(f"split(`{text_col}`, '\\n', -1)", "ls", f"transform(`{cand}`, c -> struct(c.h1 AS h1, c.h2 AS h2, array_join(slice(ls, c.first + 1, c.n), '\\n') AS s))")
+        places = held.filter(F.col(cand).isNotNull()).select(F.explode(F.expr(texts)).alias("c")).select("c.*")
         if skip is not None:
             places = places.join(F.broadcast(skip), PAIR, "left_anti")
         clash = stash(places.groupBy(*PAIR).agg(F.min("s").alias("a"), F.max("s").alias("b")).filter("a != b").select(*PAIR), "clash")
