@@ -458,7 +458,8 @@ def test_mixing(docs, rows, empty):
         for r in out:
             c = r.source or "\x00none", r.lang or "\x00none", r.topic
             assert not cells[c] or topics is model or r.weight == pytest.approx(w[c] * total, rel=1e-3, abs=1e-3)
-            assert r.residual < (1e-5 if topics is PATTERNS else 1e-3) and 0 <= r.probability <= 1 <= r.repeats
+            assert cells[c] * abs(r.weight / total - w[c]) < 1e-5
+            assert r.residual < 1e-5 and 0 <= r.probability <= 1 <= r.repeats
             assert r.probability == 1 or r.repeats == 1
         ratio = [r.probability * r.repeats / r.weight for r in out if r.weight]
         assert ratio == pytest.approx([ratio[0]] * len(ratio)) and max(r.probability for r in out) == 1
@@ -468,6 +469,16 @@ def test_mixing(docs, rows, empty):
         assert Counter(r.doc_id for r in out if r.kept and r.doc_id is not None) == Counter({i: m for i, m in kept.items() if i is not None})
         d = mix_sample(docs, targets=dict(zip(("source", "lang", "topic"), goal)), topics=topics)
         assert d.columns == docs.columns and Counter(r.doc_id for r in d.collect()) == Counter(r.doc_id for r in out if r.kept)
+    # Default targets, which the cells with fitted topics may not be able to meet.
+    sums = [Counter(), Counter(), Counter()]
+    for c, n in cells.items():
+        for d in range(3):
+            sums[d][c[d]] += n
+    powers = [{v: x**0.9 for v, x in by.items()} for by in sums]
+    w = raked(cells, [{v: x / sum(p.values()) for v, x in p.items()} for p in powers])
+    for r in mix_report(docs, topics=model).collect():
+        c = r.source or "\x00none", r.lang or "\x00none", r.topic
+        assert cells[c] * abs(r.weight / total - w[c]) < 1e-4
     assert len({r.topic for r in out}) > 3 and all(r.topic == "none" for r in out if not r.n_tokens)
     by_lang = mix_report(docs, topic_col="lang").collect()
     assert all(r.topic == (r.lang if r.lang is not None else "\x00none") for r in by_lang)
@@ -496,7 +507,7 @@ def test_raking_meets_targets_both_ways(spark):
     cells = spark.createDataFrame([(s, la, t, (k * 7) % 11 + 1) for k, (s, la, t) in enumerate((s, la, t) for s in "abc" for la in ("x", "y") for t in ("p", "q"))], "source string, lang string, topic string, tokens long")
     goal = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.25, "y": 0.75}, "topic": {"p": 0.6, "q": 0.4}}
     found = []
-    for rake in (mixing.rake_pairs, mixing.rake_cells):
+    for rake in (mixing.rake_few, mixing.rake_pairs, mixing.rake_cells):
         flat, gap = rake(cells, goal, 0.9)
         w = flat.collect()
         assert gap < 1e-6
@@ -504,7 +515,7 @@ def test_raking_meets_targets_both_ways(spark):
             for k, share in want.items():
                 assert sum(r.tokens * r.weight for r in w if r[dim] == k) == pytest.approx(share, abs=1e-4)
         found.append({(r.source, r.lang, r.topic): r.weight for r in w})
-    assert found[0] == pytest.approx(found[1], rel=1e-4)
+    assert found[0] == pytest.approx(found[1], rel=1e-4) and found[1] == pytest.approx(found[2], rel=1e-4)
     # Targets that no weighting meets: the gap is told.
     apart = spark.createDataFrame([("a", "x", "p", 5), ("b", "y", "q", 5)], "source string, lang string, topic string, tokens long")
     with pytest.warns(UserWarning, match="gap"):
@@ -512,6 +523,16 @@ def test_raking_meets_targets_both_ways(spark):
     assert w[0].residual > 0.1
 
 
+def test_targets_that_only_a_weight_of_zero_meets(spark):
+    from weftlake.llm.mixing import TOLERANCE, rake
+
+    cells = [("s0", "l0", "p", 100), ("s0", "l1", "p", 100), ("s1", "l0", "p", 100)]
+    half = {"source": {"s0": 0.5, "s1": 0.5}, "lang": {"l0": 0.5, "l1": 0.5}}
+    w = {(r.source, r.lang): r for r in rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), half).collect()}
+    assert all(r.residual < TOLERANCE for r in w.values())
+    assert w["s0", "l0"].weight < 1e-4 and w["s0", "l1"].weight == pytest.approx(1.5, abs=1e-4)
+
+
 def test_a_rare_cell_does_not_set_the_share_of_all(spark):
     from weftlake.llm.mixing import rake
 

@@ -5,9 +5,10 @@ scales the cells until the sums over sources, over languages and over topics
 meet their targets; the factor of each cell, over that of the cells of greatest
 factor, is the probability with which its documents are drawn.
 
-Sources may be many: they stay in Spark, one row each, and every round is one
-pass over these rows. Where languages and topics have no more than ``MAX_PAIRS``
-pairs their sums come to the driver; else all cells stay in Spark.
+Up to ``MAX_CELLS`` cells, counted first, are raked as arrays on the driver. Beyond
+that sources stay in Spark, one row each, and every round is one pass over these
+rows; where languages and topics have no more than ``MAX_PAIRS`` pairs their sums
+come to the driver, else all cells stay in Spark.
 
 Topics come from a column of the documents, from a model of topics fitted to all
 of them (:mod:`weftlake.llm.topics`), or from named patterns.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,12 @@ TEMPER = 0.9
 #: Pairs of language and topic whose factors the driver holds; more are raked in Spark, cell by cell.
 MAX_PAIRS = 1_000
 TOLERANCE = 1e-6
-#: A round that leaves more than this share of the gap before brings the marginals no nearer.
-NEARER = 0.99
+#: Cells that are raked on the driver, some 40 bytes each.
+MAX_CELLS = 65_536
+#: Targets are out of reach where as many rounds again leave more than this share of the gap.
+NEARER = 0.9
+#: Rounds before that is asked for the first time, on the driver and in Spark, where a round is a job.
+PATIENCE, SPARK_PATIENCE = 4_096, 64
 #: Share of the tokens whose greatest weights have probability one.
 PEAK_SHARE = 0.001
 BROADCAST_CELLS = 100_000
@@ -74,9 +80,11 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     ``targets`` gives weights by value for any of source, lang and topic; values
     that it leaves out get none. Without it a marginal's targets are the token
     shares to the power ``temper``, normalised. Rounds go on until all marginals
-    meet their targets within TOLERANCE or a round brings them no nearer, as
-    where no weighting can meet them; ``residual`` is the largest gap that is
-    left, as a share of all tokens, and more than TOLERANCE gives a warning.
+    meet their targets within TOLERANCE, or twice the rounds leave the gap as it
+    was (NEARER), as where no weighting can meet them. Targets that only weights
+    of zero can meet are neared as one over the rounds, and so are met too.
+    ``residual`` is the largest gap that is left, as a share of all tokens, and
+    more than TOLERANCE gives a warning.
 
     ``probability`` is the weight over the least weight of the cells that hold
     the top PEAK_SHARE of the tokens: rare cells of great weight don't set the
@@ -85,8 +93,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     tokens have weight and probability 0.
     """
     targets = {k: normalised(v) for k, v in (targets or {}).items()}
-    n_langs, n_topics = cells.agg(F.count_distinct("lang"), F.count_distinct("topic")).first()
-    flat, residual = (rake_pairs if n_langs * n_topics <= MAX_PAIRS else rake_cells)(cells, targets, temper)
+    n, n_langs, n_topics = cells.agg(F.count("*"), F.count_distinct("lang"), F.count_distinct("topic")).first()
+    flat, residual = (rake_few if n <= MAX_CELLS else rake_pairs if n_langs * n_topics <= MAX_PAIRS else rake_cells)(cells, targets, temper)
     if residual > TOLERANCE:
         warnings.warn(f"raking left a gap of {residual:.2e} of all tokens to the targets", stacklevel=2)
     # A histogram of the weights, by sixteenths of powers of two, finds the peak: some thousand rows at most.
@@ -110,12 +118,54 @@ def marginal(cells: DataFrame, name: str, targets: dict[str, dict[str, float]],
     return by.select("value", (F.col("p") / whole).alias("target"))
 
 
+class _Progress:
+    """Whether rounds are done: the gap is within TOLERANCE, or as many rounds again have left it as it was."""
+
+    def __init__(self, patience: int):
+        self.rounds, self.ask, self.before = 0, patience, float("inf")
+
+    def done(self, gap: float) -> bool:
+        self.rounds += 1
+        if gap < TOLERANCE:
+            return True
+        if self.rounds < self.ask:
+            return False
+        stuck, self.before, self.ask = gap > self.before * NEARER, gap, 2 * self.ask
+        return stuck
+
+
+def rake_few(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float) -> tuple[DataFrame, float]:
+    """As :func:`rake_pairs` for MAX_CELLS cells at most, which come to the driver."""
+    names = ["source", "lang", "topic"]
+    rows = sorted((r.source, r.lang, r.topic, int(r.tokens or 0)) for r in cells.select(*names, "tokens").collect())
+    tokens = np.array([r[3] for r in rows], dtype=np.float64)
+    sides = []
+    for k, name in enumerate(names):
+        values, at = np.unique(np.array([r[k] for r in rows], dtype=object), return_inverse=True)
+        sums = np.bincount(at, tokens, minlength=len(values))
+        by = targets.get(name) or tempered(dict(zip(values, sums.tolist())), temper)
+        sides.append((at, np.array([by.get(v, 0.0) for v in values])))
+    mass, gap, progress = tokens.copy(), 0.0, _Progress(PATIENCE)
+    while rows:
+        gap = 0.0
+        for k, (at, goal) in enumerate(sides):
+            now = np.bincount(at, mass, minlength=len(goal))
+            if k:  # the first marginal's gap is that which the round before left by meeting the others
+                gap = max(gap, float(np.abs(now - goal).max()))
+            mass *= np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[at]
+        if progress.done(gap):
+            break
+    weight = np.divide(mass, tokens, out=np.zeros_like(mass), where=tokens > 0)
+    out = [(*r[:3], float(r[3]), w) for r, w in zip(rows, weight.tolist())]
+    return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, tokens double, weight double"), gap
+
+
 def rake_cells(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float) -> tuple[DataFrame, float]:
     """As :func:`rake_pairs` for any number of languages and topics: one row a cell, all in Spark."""
     names = ["source", "lang", "topic"]
     wanted = {n: stash(marginal(cells, n, targets, temper), "target") for n in names}
     now = stash(cells.select(*names, F.col("tokens").cast("double").alias("tokens"), F.lit(1.0).alias("weight")), "rake")
-    before = float("inf")
+    progress = _Progress(SPARK_PATIENCE)
     while True:
         off = 0.0
         for n in names:
@@ -127,9 +177,8 @@ def rake_cells(cells: DataFrame, targets: dict[str, dict[str, float]], temper: f
             new = stash(scaled.select(*names, "tokens", "weight"), "rake")
             drop_stash(now)
             now = new
-        if off < TOLERANCE or off > before * NEARER:
+        if progress.done(off):
             return now, off
-        before = off
 
 
 def rake_pairs(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float) -> tuple[DataFrame, float]:
@@ -154,7 +203,7 @@ def rake_pairs(cells: DataFrame, targets: dict[str, dict[str, float]], temper: f
         mass = F.expr(f"aggregate(transform(cells, x -> x.m * {f}[x.k]), 0D, (s, x) -> s + x)")
         return rows.select("source", F.when(mass > 0, F.col("target") / mass).otherwise(0.0).alias("a"), F.expr(f"transform(cells, x -> struct(x.k AS k, x.m AS m, {f}[x.k] AS f))").alias("cells"))
 
-    before, off = float("inf"), 0.0
+    progress, off = _Progress(SPARK_PATIENCE), 0.0
     while sums:
         now = scaled().select("a", F.explode("cells").alias("x")).groupBy("x.k").agg(F.sum(F.col("a") * F.col("x.m") * F.col("x.f")).alias("m")).collect()
         m = [[0.0] * len(topics) for _ in langs]
@@ -170,9 +219,8 @@ def rake_pairs(cells: DataFrame, targets: dict[str, dict[str, float]], temper: f
             s = sum(row[j] for row in m)
             off = max(off, abs(s - want))
             c[j] *= want / s if s > 0 else 0.0
-        if off < TOLERANCE or off > before * NEARER:
+        if progress.done(off):
             break
-        before = off
     flat = scaled().select("source", "a", F.explode("cells").alias("x")).select("source", F.col("x.k").alias("k"), F.col("x.m").alias("tokens"), (F.col("a") * F.col("x.f")).alias("weight"))
     return stash(flat.join(F.broadcast(pairs), "k").drop("k"), "weights"), off
 
