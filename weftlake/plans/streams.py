@@ -61,3 +61,30 @@ def stream_redelivery(t: Tables) -> DataFrame:
     out = jobs.run_once(jobs.redeliver(clock), name="redelivery")
     last = out.groupBy("message_id").agg(F.max_by(F.struct("attempts", "last_error", "dead", "due_at"), "attempts").alias("x"))
     return last.select("message_id", "x.attempts", "x.last_error", "x.dead", F.date_format("x.due_at", "yyyy-MM-dd HH:mm:ss").alias("due_at"))
+
+
+@query(
+    "collection_results",
+    """SELECT doc_id AS item_id, CASE WHEN doc_id % 9 = 0 THEN 'extract' WHEN coalesce(length(text), 0) < 200 THEN 'no chunks' ELSE 'item' END AS outcome,
+    CASE WHEN doc_id % 9 <> 0 AND length(text) >= 200 THEN CAST(length(text) // 200 AS BIGINT) END AS chunks FROM documents""",
+)
+def collection_results(t: Tables) -> DataFrame:
+    """Results of a stage (a failure for every ninth document), settled as items and failures."""
+    path = shared_path(t.spark, "results")
+    chunks = F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 200).cast("long")
+    jobs.collect_results(_Streamed(t.spark, t.folder).documents.select(F.col("doc_id").alias("item_id"), chunks.alias("chunks"), F.when(F.col("doc_id") % 9 == 0, "extract").alias("error"), F.lit(0).cast("long").alias("seq")), path)
+    items = t.spark.read.parquet(f"{path}/items").select("item_id", F.lit("item").alias("outcome"), "chunks")
+    return items.unionByName(t.spark.read.parquet(f"{path}/failures").select("item_id", F.col("error").alias("outcome"), F.lit(None).cast("long").alias("chunks")))
+
+
+@query("stream_commits", "SELECT event_id, user_id, event_type FROM events")
+def stream_commits(t: Tables) -> DataFrame:
+    """Events in two commits, read as a stream by two runs of one consumer: the second goes on where the first has acknowledged."""
+    from weftlake.sources.commits import write_commit
+
+    queue, out = shared_path(t.spark, "queue"), shared_path(t.spark, "consumed")
+    later = F.coalesce(F.col("event_id") % 2, F.lit(0)) != 0
+    for k, part in enumerate((~later, later)):
+        write_commit(t.events.filter(part).select("event_id", "user_id", "event_type"), queue)
+        jobs.consume(t.spark, queue, f"{out}/{k}", "reader")
+    return t.spark.read.parquet(f"{out}/0", f"{out}/1")

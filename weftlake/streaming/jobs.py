@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,6 +116,43 @@ def deliver(messages: DataFrame, work, path: str) -> None:
     messages.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").foreachBatch(put).start().awaitTermination()
 
 
+def consume(spark: SparkSession, queue: str, path: str, consumer: str) -> None:
+    """Write to Parquet at ``path`` what ``consumer`` hasn't acknowledged of the commits in ``queue``, and acknowledge it."""
+    from weftlake.sources.commits import acknowledge, stream_commits
+
+    q = stream_commits(spark, queue, consumer).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").format("parquet").start(path)
+    q.awaitTermination()
+    end = q.lastProgress["sources"][0]["endOffset"] if q.lastProgress else None  # Spark commits a batch with the next one, and the last never
+    if end:
+        acknowledge(queue, consumer, ast.literal_eval(str(end))["commit"])
+
+
+def collect_results(results: DataFrame, path: str) -> None:
+    """Settle a stream of (item_id, chunks, error, seq): items that have chunks, failures, and a trigger for each batch.
+
+    A result without error and with a chunk or more is upserted below
+    ``path``/items, any other below ``path``/failures, both by id, the largest ``seq`` stays. Only
+    then the batch is committed to ``path``/triggers (batch, items, failures), where
+    the next stage reads it as a stream; a batch that runs again triggers nothing
+    twice. Rows without an id are failures under the null id.
+    """
+    from weftlake.session import drop_stash, stash
+    from weftlake.sources.commits import write_commit
+
+    good = F.col("item_id").isNotNull() & F.col("error").isNull() & (F.coalesce("chunks", F.lit(0)) > 0)
+
+    def put(df: DataFrame, epoch: int) -> None:
+        told = stash(df.withColumn("ok", F.coalesce(good, F.lit(False))), "results")
+        merge_into(df.sparkSession, told.filter("ok").drop("ok", "error"), f"{path}/items", "item_id", "seq")
+        failed = told.filter("NOT ok").select("item_id", F.coalesce("error", F.when(F.col("item_id").isNull(), "no item").otherwise("no chunks")).alias("error"), "seq")
+        merge_into(df.sparkSession, failed, f"{path}/failures", "item_id", "seq")
+        counts = told.agg(F.count_if("ok").alias("items"), F.count_if(~F.col("ok")).alias("failures"))
+        write_commit(counts.select(F.lit(epoch).cast("long").alias("batch"), "items", "failures"), f"{path}/triggers", "results", epoch)
+        drop_stash(told)
+
+    results.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").foreachBatch(put).start().awaitTermination()
+
+
 def subject(owner: Column, kind: Column, resource: Column) -> Column:
     """The subject under which a status is published: kind, owner and resource, with what would split a subject replaced."""
     clean = [F.regexp_replace(c.cast("string"), r"[\s.*>]", "_") for c in (kind, owner, resource)]
