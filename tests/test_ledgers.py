@@ -62,6 +62,42 @@ def test_a_merge_writes_only_what_it_touches(spark, tmp_path):
     assert ("7", 2) in content(spark, str(path))
 
 
+def test_buckets_split_as_a_table_grows(spark, tmp_path):
+    path = tmp_path / "t"
+    merge = lambda rows: blobs.merge_into(spark, frame(spark, *rows), str(path), "id", "seq", buckets=2, bucket_rows=50)
+    want = {}
+    for k, n in enumerate((40, 400, 1200)):
+        rows = [(str(i), k, k) for i in range(n // 4, n)] + ([(None, k, k)] if k else [])
+        merge(rows)
+        want |= {i: v for i, v, _ in rows}
+    assert content(spark, str(path)) == {(i, v) for i, v in want.items()}
+    sizes = {r["_bucket"]: r["count"] for r in spark.read.parquet(str(path)).groupBy("_bucket").count().collect()}
+    assert max(sizes.values()) <= 50 and len(sizes) > 24
+    # A merge of one row writes one bucket, however large the table.
+    was = {f: f.stat().st_mtime_ns for f in path.glob("_bucket=*/*.parquet")}
+    merge([("7", 9, 9)])
+    fresh = [f for f in path.glob("_bucket=*/*.parquet") if was.get(f) != f.stat().st_mtime_ns]
+    assert len({f.parent for f in fresh}) == 1 and content(spark, str(path)) == {(i, v) for i, v in (want | {"7": 9}).items()}
+
+
+def test_a_split_that_is_cut_off_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    blobs.merge_into(spark, frame(spark, *[(str(i), 1, 1) for i in range(40)]), path, "id", "seq", buckets=1, bucket_rows=50)
+    deleted = blobs.delete
+
+    def die(s, p):
+        deleted(s, p)
+        if "_bucket=" in p:
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(blobs, "delete", die)
+    with pytest.raises(RuntimeError, match="killed"):
+        blobs.merge_into(spark, frame(spark, *[(str(i), 2, 2) for i in range(30, 90)]), path, "id", "seq", bucket_rows=50)
+    monkeypatch.setattr(blobs, "delete", deleted)
+    blobs.finish_merge(spark, path)
+    assert content(spark, path) == {(str(i), 1 if i < 30 else 2) for i in range(90)}
+
+
 def test_equal_sequences_have_one_survivor(spark):
     rows = [("a", i, 1) for i in range(50)]
     one = latest_points(frame(spark, *rows).repartition(7)).collect()

@@ -127,6 +127,30 @@ def copy_below(spark: SparkSession, folder: str, to: str) -> int:
 
 #: Hash buckets of a merged table that is made without a number of its own.
 BUCKETS = 16
+#: Rows of a bucket beyond which it is split.
+BUCKET_ROWS = 1_000_000
+
+
+def _bits(key: str) -> Column:
+    """The 64 bits of a second hash of a key, as text: buckets are split by them, one after the other."""
+    return F.lpad(F.bin(F.xxhash64(F.col(key), F.lit("split"))), 64, "0")
+
+
+def _place(rows: DataFrame, key: str, buckets: int, split: list[str]) -> DataFrame:
+    """``rows`` with ``_bucket``, the leaf of each key; ``split`` names the buckets that were split."""
+    base = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").cast("string")
+    rows = rows.withColumn("_bucket", base)
+    for depth in range(max((len(b.partition("_")[2]) for b in split), default=-1) + 1):
+        here = [(b,) for b in split if len(b.partition("_")[2]) == depth]
+        inner = F.broadcast(rows.sparkSession.createDataFrame(here, "_inner string"))  # one short name for each split bucket
+        deeper = F.concat(base, F.lit("_"), F.substring(_bits(key), 1, depth + 1))
+        rows = rows.join(inner, F.col("_bucket") == F.col("_inner"), "left").withColumn("_bucket", F.when(F.col("_inner").isNotNull(), deeper).otherwise(F.col("_bucket"))).drop("_inner")
+    return rows
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _fs(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def finish_merge(spark: SparkSession, path: str) -> None:
@@ -135,6 +159,9 @@ def finish_merge(spark: SparkSession, path: str) -> None:
     if not fs.exists(following):
         return
     if exists(spark, f"{path}/_next/_READY"):
+        for name in _names(spark, f"{path}/_next/_SPLIT"):  # its rows lie in deeper buckets now
+            delete(spark, f"{path}/_bucket={name}")
+            fs.mkdirs(_fs(spark, f"{path}/_split/{name}")[1])
         for f in fs.listStatus(following):
             name = f.getPath().getName()
             if name.startswith("_bucket="):
@@ -144,15 +171,19 @@ def finish_merge(spark: SparkSession, path: str) -> None:
     delete(spark, f"{path}/_next")
 
 
-def merge_into(spark: SparkSession, new: DataFrame, path: str, key: str, seq: str, buckets: int = BUCKETS) -> None:
+def merge_into(spark: SparkSession, new: DataFrame, path: str, key: str, seq: str, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> None:
     """Upsert into a Parquet table by key: the row with the largest ``seq`` stays.
 
     Rows lie in folders by a hash of their key, and only the folders that the new
     rows touch are written, beside the table. Once all are there a mark is set and
     they are moved in; a merge that is cut off before the mark changes nothing,
     one cut off after it is finished by the next merge or :func:`finish_merge`.
-    One writer at a time, on a file system whose renames are whole. The number of
-    buckets is fixed when the table is made; null keys are one key.
+    One writer at a time, on a file system whose renames are whole.
+
+    The table starts with ``buckets`` buckets. One that holds more than
+    ``bucket_rows`` rows after a merge is split by further bits of its keys' hash,
+    so that a bucket stays small as the table grows, and a merge writes at most a
+    bucket for each new row. Null keys are one key.
     """
     from weftlake.operators.search import latest_points
     from weftlake.session import drop_stash, stash
@@ -163,12 +194,30 @@ def merge_into(spark: SparkSession, new: DataFrame, path: str, key: str, seq: st
         buckets = int(marks.listStatus(folder)[0].getPath().getName())
     else:
         marks.mkdirs(_fs(spark, f"{path}/_buckets/{buckets}")[1])
-    rows = stash(new.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "merge")
+    split = _names(spark, f"{path}/_split")
+    rows = stash(_place(new, key, buckets, split), "merge")
     touched = [f"{path}/_bucket={r[0]}" for r in rows.select("_bucket").distinct().collect()]  # at most one row a bucket
     old = [t for t in touched if exists(spark, t)]
-    merged = rows.unionByName(spark.read.option("basePath", path).parquet(*old), allowMissingColumns=True) if old else rows
     if touched:
-        latest_points(merged, key, seq).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_next")
+        kept = rows
+        if old:
+            was = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*old)
+            kept = rows.unionByName(was.withColumn("_bucket", F.col("_bucket").cast("string")), allowMissingColumns=True)
+        merged = stash(latest_points(kept, key, seq), "merged")
+        full = [r[0] for r in merged.groupBy("_bucket").count().filter(F.col("count") > bucket_rows).select("_bucket").collect()]  # at most one row a touched bucket
+        gone = list(full)
+        while full:  # one more bit until all parts are small; equal hashes can't be parted
+            split, full = split + full, []
+            placed = _place(merged.drop("_bucket"), key, buckets, split)
+            sizes = placed.groupBy("_bucket").agg(F.count("*").alias("n"), F.count_distinct(_bits(key)).alias("keys"))
+            full = [r[0] for r in sizes.filter((F.col("n") > bucket_rows) & (F.col("keys") > 1)).select("_bucket").collect()]
+            gone += full
+        out = _place(merged.drop("_bucket"), key, buckets, split) if gone else merged
+        out.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_next")
+        drop_stash(merged)
+        fs, ready = _fs(spark, f"{path}/_next/_READY")
+        for name in gone:
+            fs.mkdirs(_fs(spark, f"{path}/_next/_SPLIT/{name}")[1])
         fs, ready = _fs(spark, f"{path}/_next/_READY")
         fs.create(ready, True).close()
         finish_merge(spark, path)
