@@ -205,3 +205,10 @@ def test_archive_table_function(spark):
         z.writestr("y.json", "{")
     rows = ArchiveMembers(F.lit(b.getvalue()), F.lit("zip")).collect()
     assert [(r.path, r.text, r.error is None) for r in rows] == [("x.txt", "one", True), ("y.json", None, False)]
+
+
+def test_history_keeps_the_last_complete_turns(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}", "complete" if k != 3 else "partial") for k in range(6)] + [(2, 0, "user", "x", "partial"), (3, 0, "user", "y", None)]
+    d = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, status string")
+    out = rag.history(d, complete=F.col("status") == "complete", last=3).collect()
+    assert [tuple(r) for r in out] == [(1, "user: t2\nuser: t4\nassistant: t5", 3)]

@@ -54,8 +54,17 @@ def clamp_options(temperature: Column, max_tokens: Column) -> tuple[Column, Colu
     return t, F.greatest(F.lit(1), F.coalesce(max_tokens, F.lit(MAX_TOKENS)))
 
 
-def history(messages: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, history): the messages in turn order as ``role: text`` lines."""
+def history(messages: DataFrame, key: str = "conv_id", complete: Column | None = None, last: int | None = None) -> DataFrame:
+    """(key, history): the messages in turn order as ``role: text`` lines.
+
+    With ``complete`` only messages for which it is true, and with ``last`` the last
+    so many of these, so that a row stays bounded however long a conversation is.
+    """
+    if complete is not None:
+        messages = messages.filter(complete)
+    if last is not None:
+        w = Window.partitionBy(key).orderBy(F.desc("turn"), "role", "text")
+        messages = messages.withColumn("_back", F.row_number().over(w)).filter(F.col("_back") <= last).drop("_back")
     return messages.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("history"),
         F.count("*").alias("n_messages"),

@@ -198,6 +198,16 @@ def chat_history(t: Tables) -> DataFrame:
     return rag.history(t.conversations)
 
 
+@query(
+    "chat_history_complete",
+    """WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS back FROM conversations WHERE text <> '' AND (conv_id + turn) % 5 <> 0)
+  SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS history, count(*) AS n_messages FROM m WHERE back <= 4 GROUP BY conv_id""",
+)
+def chat_history_complete(t: Tables) -> DataFrame:
+    """The last four complete messages; every fifth stands for one that was broken off."""
+    return rag.history(t.conversations, complete=(F.col("text") != "") & ((F.col("conv_id") + F.col("turn")) % 5 != 0), last=4)
+
+
 @query(
     "regenerate_prompt",
     "SELECT conv_id, turn, question FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS question FROM conversations) WHERE role = 'assistant' AND question IS NOT NULL",
