@@ -124,3 +124,29 @@ def test_metadata_as_text_and_errors():
     for mime, data in (("application/x-tar", b""), ("application/zip", b"no"), ("application/rtf", b"no"), ("application/msword", b"no")):
         with pytest.raises(x.ExtractionError):
             extract(mime, data)
+
+
+def test_mail_headers_are_parsed_once(monkeypatch):
+    from email.headerregistry import HeaderRegistry
+
+    from weftlake.sources.extract import extract
+
+    asked = []
+    call = HeaderRegistry.__call__
+    monkeypatch.setattr(HeaderRegistry, "__call__", lambda self, name, value: asked.append((name, value)) or call(self, name, value))
+    mail = b"Subject: Once\nFrom: A <once@x.org>\nTo: b@x.org, c@x.org\nDate: Mon, 1 Jan 2024 10:00:00 +0000\nContent-Type: text/plain; charset=utf-8\n\nbody\n"
+    text = extract("message/rfc822", mail).text
+    assert text == "Subject: Once\nFrom: once@x.org\nTo: b@x.org, c@x.org\nDate: 2024-01-01T10:00:00+00:00\nbody"
+    assert len(asked) == len(set(asked)) and extract("message/rfc822", mail).text == text
+
+
+def test_small_files_of_costly_rows_are_many_tasks(spark, tmp_path):
+    from weftlake.plans.made import _customers
+    from weftlake.plans.registry import Tables
+    from weftlake.session import TASK_ROWS
+
+    made = spark.range(3 * TASK_ROWS).selectExpr("id AS c_custkey", "'n' AS c_name", "'s' AS c_mktsegment")
+    made.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = _customers(Tables(spark, str(tmp_path)))
+    assert got.rdd.getNumPartitions() == 3 and got.select("c_custkey").distinct().count() == 3 * TASK_ROWS
+    assert _customers(Tables(spark, str(tmp_path))).limit(0).count() == 0
