@@ -212,3 +212,15 @@ def test_history_keeps_the_last_complete_turns(spark):
     d = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, status string")
     out = rag.history(d, complete=F.col("status") == "complete", last=3).collect()
     assert [tuple(r) for r in out] == [(1, "user: t2\nuser: t4\nassistant: t5", 3)]
+
+
+def test_slices_bound_what_is_held_at_once():
+    import pyarrow as pa
+
+    from weftlake.functions.batches import slices
+
+    text = ["x" * (k % 7) for k in range(1000)] + ["y" * 50_000, None, "z"]
+    batch = (pa.array(range(len(text))), pa.array(text))
+    parts = list(slices([batch, (pa.array([], pa.int64()), pa.array([], pa.string()))], rows=100, size=20_000))
+    assert [x for p in parts for x in p[1].to_pylist()] == text and [x for p in parts for x in p[0].to_pylist()] == list(range(len(text)))
+    assert all(len(p[0]) <= 100 and (len(p[0]) <= 1 or sum(c.nbytes for c in p) <= 20_000) for p in parts)
