@@ -35,30 +35,15 @@ def dedup(messages: DataFrame, key: list[str], ts: str = "ts", window: str = "60
     return messages.withWatermark(ts, window).dropDuplicatesWithinWatermark(key)
 
 
-STATUS = "key long, batch long, status string, chunks long, seq long"
-
-
 def settle(messages: DataFrame) -> DataFrame:
-    """The status of (key, batch) whenever messages change it: success absorbs, else the latest ``seq`` decides."""
+    """The status of (key, batch) whenever there are messages for it: the first success absorbs, else the latest ``seq`` decides.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, chunks, seq = state.get if state.exists else ("", 0, -1)
-        was = (status, chunks, seq)
-        for pdf in batches:
-            good = pdf[pdf["status"] == "success"]
-            if len(good):  # the first success absorbs all else
-                r = good.loc[good["seq"].idxmin()]
-                take = status != "success" or r["seq"] < seq
-            else:
-                r = pdf.loc[pdf["seq"].idxmax()]
-                take = status != "success" and r["seq"] > seq
-            if take:
-                status, chunks, seq = r["status"], int(r["chunk_count"]), int(r["seq"])
-        if (status, chunks, seq) != was:
-            state.update((status, chunks, seq))
-            yield pd.DataFrame([(key[0], key[1], status, chunks, seq)], columns=["key", "batch", "status", "chunks", "seq"])
-
-    return messages.groupBy("key", "batch").applyInPandasWithState(step, STATUS, "status string, chunks long, seq long", "update", GroupStateTimeout.NoTimeout)
+    State is one row a batch, kept by Spark's own aggregates. A message that changes nothing gives the same status again.
+    """
+    row = F.struct("status", F.col("chunk_count").cast("long").alias("chunks"), F.col("seq").cast("long").alias("seq"))
+    first, last = F.min_by(row, F.when(F.col("status") == "success", F.col("seq"))), F.max_by(row, "seq")
+    keys = [F.col(k).cast("long").alias(k) for k in ("key", "batch")]
+    return messages.groupBy(*keys).agg(F.coalesce(first, last).alias("s")).select("key", "batch", "s.*")
 
 
 def run_settled(messages: DataFrame) -> DataFrame:
