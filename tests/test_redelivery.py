@@ -51,3 +51,27 @@ def test_samples_are_the_smallest_hashes(spark):
         assert {r.id for r in sample_points(points, most).collect()} == want
     same = spark.range(300).select((F.col("id") % 2).alias("id"))
     assert sample_points(same, 200).count() == 200
+
+
+def test_rows_without_id_move_the_clock(spark):
+    """They don't reach the state: a stream of them alone brings a failed message back."""
+    path = shared_path(spark, "clock")
+    schema = "message_id long, ts timestamp, seq long, error string"
+    got = []
+    for k, (i, s, e) in enumerate([(1, 0, "a"), (None, 60, None), (None, 70, "n")]):
+        spark.createDataFrame([(i, START + timedelta(seconds=s), k, e)], schema).write.mode("append").parquet(f"{path}/in")
+        q = jobs.redeliver(spark.readStream.schema(schema).parquet(f"{path}/in"), late="1 second").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sum(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"][:1] if p["numInputRows"]) <= 1
+        got = [(r.message_id, r.attempts) for r in spark.read.parquet(f"{path}/out").collect()]
+    assert got == [(1, 1)]
+
+
+def test_statuses_of_messages_without_chunks_settle(spark):
+    rows = [(1, 1, "failed", None, -5), (1, 2, "success", None, 3), (1, 2, "failed", 7, 1)]
+    path = shared_path(spark, "settle")
+    spark.createDataFrame(rows, "key long, batch long, status string, chunk_count long, seq long").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    assert "FlatMapGroups" not in jobs.settle(stream)._jdf.queryExecution().analyzed().toString()
+    got = {(r.key, r.batch): (r.status, r.chunks) for r in jobs.run_settled(stream).collect()}
+    assert got == {(1, 1): ("failed", None), (1, 2): ("success", None)}

@@ -57,7 +57,7 @@ def stream_redelivery(t: Tables) -> DataFrame:
     """What a stream with timers hands out by itself: messages that are due again by its own clock, and dead letters."""
     e = _Streamed(t.spark, t.folder).events.filter("user_id IS NOT NULL")
     failed = e.withColumn("error", F.when(F.col("event_type") == "error", F.col("event_id")))
-    clock = failed.select(F.when(F.col("error").isNull(), -1 - F.col("event_id")).otherwise(F.col("user_id")).alias("message_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "error")
+    clock = failed.select(F.when(F.col("error").isNotNull(), F.col("user_id")).alias("message_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "error")
     out = jobs.run_once(jobs.redeliver(clock), name="redelivery")
     last = out.groupBy("message_id").agg(F.max_by(F.struct("attempts", "last_error", "dead", "due_at"), "attempts").alias("x"))
     return last.select("message_id", "x.attempts", "x.last_error", "x.dead", F.date_format("x.due_at", "yyyy-MM-dd HH:mm:ss").alias("due_at"))

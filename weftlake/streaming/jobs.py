@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,16 +172,17 @@ def redeliver(outcomes: DataFrame, late: str = "1 minute", most: int = MAX_DELIV
     behind the latest ``ts``) has passed it, the message is handed out again. The
     ``most``-th failure makes it a dead letter at once. State goes with the
     acknowledgement, or ``forget`` seconds after the last hand-out. Failures that come later than the
-    watermark count too; rows without id or time are ignored.
+    watermark count too. Rows without id only move the clock, and are neither shuffled nor kept; rows without time are ignored.
     """
-    rows = outcomes.filter("message_id IS NOT NULL AND ts IS NOT NULL").select("message_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "error").withWatermark("ts", late)
+    rows = outcomes.filter("ts IS NOT NULL").select("message_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "error").withWatermark("ts", late)
+    # The condition names ts, or Spark would meet it before the watermark has seen the row.
+    rows = rows.filter(F.when(F.col("ts").isNotNull(), F.col("message_id").isNotNull()).otherwise(False))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = REDELIVERY.format(id=kinds["message_id"], error=kinds["error"])
-    names = ["message_id", "attempts", "last_error", "dead", "due_at"]
 
     def out(key: tuple, attempts: int, error: object, due: int | None) -> pd.DataFrame:
-        at = pd.Series([pd.Timestamp(due, unit="ms") if due else pd.NaT], dtype="datetime64[ns]")
-        return pd.DataFrame({"message_id": [key[0]], "attempts": [attempts], "last_error": [error], "dead": [due is None], "due_at": at})[names]
+        at = np.array([due if due else "NaT"], "datetime64[ms]").astype("datetime64[ns]")
+        return pd.DataFrame({"message_id": [key[0]], "attempts": [attempts], "last_error": [error], "dead": [due is None], "due_at": at})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs()
@@ -193,16 +195,19 @@ def redeliver(outcomes: DataFrame, late: str = "1 minute", most: int = MAX_DELIV
             state.update((attempts, error, 0))
             state.setTimeoutTimestamp(max(due, now) + forget * 1000)
             return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"], ignore_index=True)
-        failed = pdf["error"].notna()
-        if not failed.all():
-            attempts, pdf = 0, pdf.iloc[int(failed[~failed].index[-1]) + 1 :]
-        if not len(pdf):
+        # Arrays, not frames: a call is for one message, and there may be millions.
+        read = [[pdf[c].to_numpy() for c in ("ts", "seq", "error")] for pdf in batches]
+        ts, seq, errors = read[0] if len(read) == 1 else map(np.concatenate, zip(*read))
+        order = np.lexsort((pd.Series(seq).rank().to_numpy() if seq.dtype == object else seq, ts))
+        good = np.flatnonzero(pd.isna(errors[order]))
+        if len(good):
+            attempts, order = 0, order[good[-1] + 1 :]
+        if not len(order):
             if state.exists:
                 state.remove()
             return
-        attempts, last = attempts + len(pdf), pdf.iloc[-1]
-        error, ts = last["error"], int(last["ts"].value // 1_000_000)
+        attempts += len(order)
+        error, ts = errors[order[-1]], int(ts[order[-1]].astype("datetime64[ms]").astype(np.int64))
         error = error.item() if hasattr(error, "item") else error
         due = 0 if attempts >= most else ts + 1000 * waits[min(attempts, len(waits)) - 1]
         if not due:
