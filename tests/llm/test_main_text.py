@@ -42,3 +42,13 @@ def test_frame(spark):
     assert extract_main_text(pages).columns == ["page_id", "url", "html", "Html2", "text", "n_chars"]
     assert extract_main_text(pages.limit(0)).count() == 0
     assert extract_main_text(pages.select("page_id", "text"), "text").columns == ["page_id", "text", "n_chars"]
+
+
+def test_stretches_choose_the_lines_of_marked_pages(monkeypatch):
+    from weftlake.llm import main_text as m
+
+    page = "<nav>menu</nav><article><h1>T</h1><p>by A<nav>x</nav><nav>y</nav><nav>z</nav><nav>w</nav><p>" + "word " * 40 + "<p>end</article><p>out"
+    assert m.main_text(page) == "T\nby A\n" + ("word " * 40).strip() + "\nend"
+    assert m.stretches([1, 4, 199, 3], 80.0, True) == [(0, 4)] and m.stretches([1, 0, 0, 0, 4, 199, 0, 0, 0, 5], 80.0, True) == [(4, 6)]
+    monkeypatch.setattr(m, "stretches", lambda weights, *a: [(1, 2)] if len(weights) == 4 else [])
+    assert m.main_text(page) == "by A"

@@ -5,9 +5,8 @@ text, how much of it is link text, and whether it stands in a part that is no
 article (menu, header, footer, sidebar, notice, advert, form, comments). Such
 lines count as empty. The lengths of ``WINDOW`` following lines are summed; text
 starts where that sum surges and ends where it dives to nothing, and what lies
-between is kept. Where a page marks its article (``main``, ``article``) all lines
-outside of it are empty too, so that the surge is its first line and the dive
-comes after its last.
+between is kept. Where a page marks its article (``main``, ``article``) the sums run
+over its own lines alone, and the short ones that lead up to a surge are kept with it.
 
 Pages are rows, each is read whole and alone: no shuffle, and Spark bounds a batch
 by its bytes.
@@ -171,18 +170,20 @@ def blocks(page: str, by_name: bool = True) -> list[tuple[str, int, str | None,
     return out
 
 
-def stretches(weights: list[int], surge: float) -> list[tuple[int, int]]:
-    """[start, end) of each stretch between a surge of the window sums above ``surge`` and their dive to nothing."""
+def stretches(weights: list[int], surge: float, back: bool = False) -> list[tuple[int, int]]:
+    """[start, end) of each stretch between a surge of the window sums above ``surge`` and their dive to nothing; ``back``: with the text that leads up to the surge."""
     total = [0, *accumulate(weights)]
     n = len(weights)
     sums = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
     out, i = [], 0
     while i < n:
         if weights[i] and sums[i] > surge:
-            j = i
+            j, first = i, i
+            while back and first > (out[-1][1] if out else 0) and weights[first - 1]:
+                first -= 1
             while j < n and sums[j]:
                 j += 1
-            out.append((i, j))
+            out.append((first, j))
             i = j
         else:
             i += 1
@@ -198,19 +199,21 @@ def main_text(page: str | None) -> str:
             break
     else:
         return ""
-    if any(x[3] for x in free):
-        weights, surge = [len(s) if not p and inside else 0 for s, _, p, inside in lines], 0.0
-        # The article is marked: gaps in it, however long, are parts that were cut out of it.
-        return "\n".join(s for (s, *_), w in zip(lines, weights) if w) if stretches(weights, surge) else ""
+    marked = any(x[3] for x in free)
     weights, at = [], []
-    for k, (s, linked, p, _) in enumerate(lines):
+    for k, (s, linked, p, inside) in enumerate(lines):
+        if marked:
+            if inside and not p:  # gaps in a marked article, however long, are parts that were cut out of it
+                weights.append(len(s))
+                at.append(k)
+            continue
         if p in ("footer", "comments", "header", "menu") and weights and (k == 0 or lines[k - 1][2] != p):
             weights += [0] * WINDOW  # text doesn't reach across these
             at += [-1] * WINDOW
         weights.append(0 if p or 2 * linked > len(s) else len(s) - linked)
         at.append(k)
     most = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
-    found = stretches(weights, min(SURGE, most / 2))
+    found = stretches(weights, min(SURGE, most / 2), marked)
     size = [sum(weights[i:j]) for i, j in found]
     keep = [x for x, n in zip(found, size) if n >= LEAST_SHARE * max(size)]
     return "\n".join(lines[at[k]][0] for i, j in keep for k in range(i, j) if at[k] >= 0 and lines[at[k]][2] is None)
