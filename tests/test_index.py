@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,33 @@ def test_empty_text_index(spark):
     path = shared_path(spark, "text-empty")
     textindex.build_text_index(spark.createDataFrame([], "id long, text string"), path)
     assert textindex.search_text(spark, path, spark.createDataFrame([(1, "a")], "query_id long, text string"), 3).count() == 0
+
+
+def test_texts_are_counted_in_parts():
+    """What a task holds at once is bounded by its parts, not by the Arrow batch; together the parts hold every posting."""
+    n = 2 * textindex.LIST_ROWS + 5
+    batch = pa.RecordBatch.from_pydict({"id": list(range(n)), "words": ["a b a" if i % 3 else "" for i in range(n)]})
+    parts = [x.to_pydict() for x in textindex._lists([batch])]
+    assert len(parts) == 3 and max(sum(map(len, p["ids"])) for p in parts) <= 2 * textindex.LIST_ROWS
+    got = sorted((t, i, tf, k) for p in parts for t, ids, tfs, ns in zip(p["term"], p["ids"], p["tfs"], p["ns"]) for i, tf, k in zip(ids, tfs, ns))
+    assert got == sorted((t, i, tf, 3) for i in range(n) if i % 3 for t, tf in (("a", 2), ("b", 1)))
+    assert sum(sum(p["total"]) for p in parts) == 3 * sum(i % 3 > 0 for i in range(n))
+
+
+def test_texts_are_taken_apart_once(spark):
+    """One pass over the texts builds the index, and its terms are those of a query."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(x):
+        seen.add(1)
+        return x
+
+    texts = ["\u0391\u03a3'\u0391\u03a3, \u03a3\u0391\u03a3.\u0392 \u0130x a--b .\u03a3. ", "", None, " . ", "\u00e9\u00bd \u2167a_b\u0663 \U00010400\u03a3!", "Plain words, plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    assert docs.filter(textindex.words_of(F.col("text")) != F.array_join(textindex.terms_of(F.col("text")), " ")).count() == 0
+    path = shared_path(spark, "once")
+    textindex.build_text_index(docs.withColumn("text", told("text")), path)
+    assert seen.value == len(texts)
+    size = docs.agg(F.count("*"), F.sum(F.size(textindex.terms_of(F.col("text"))))).first()
+    assert tuple(spark.read.parquet(f"{path}/corpus").first()) == (len(texts), size[1] / len(texts))

@@ -19,14 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftlake.functions.batches import slices
 from weftlake.session import drop_stash, stash
 
 #: Postings of a block, and blocks of each term that give the first bound.
 BLOCK = 128
 FIRST_BLOCKS = 2
+#: Documents and bytes of their terms that are counted at once: what a task holds in Python doesn't grow with the table.
+LIST_ROWS, LIST_BYTES = 4096, 8 << 20
 #: Saturation and length parameters of BM25, and what a term is.
 K1, B = 1.2, 0.75
 TERM = r"([\p{L}\p{N}]+)"
+BETWEEN = r"[^\p{L}\p{N}]++"
 #: Scores are compared with so many digits: sums may differ beyond, by their order.
 DIGITS = 9
 
@@ -36,6 +40,11 @@ def terms_of(text: Column) -> Column:
     return F.transform(F.coalesce(F.regexp_extract_all(text, F.lit(TERM)), F.array().cast("array<string>")), F.lower)
 
 
+def words_of(text: Column) -> Column:
+    """The same terms as one text, with a space between them: spaces end a term for the lower case too (a sigma at its end)."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BETWEEN, " ")))
+
+
 def _impact(tf: Column, n: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / F.lit(mean)))
 
@@ -48,47 +57,53 @@ def build_text_index(docs: DataFrame, path: str, key: str = "id", text: str = "t
     a row that repeats a key counts as a document of its own.
     """
     spark = docs.sparkSession
-    base = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), terms_of(F.col(text)).alias("terms"))
-    counts = base.agg(F.count("*").alias("docs"), F.sum(F.size("terms")).alias("n")).first()
-    mean = float((counts["n"] or 0) / max(counts["docs"], 1) or 1.0)
-    spark.createDataFrame([(counts["docs"], mean)], "docs long, mean double").write.parquet(f"{path}/corpus")
-    schema = f"term string, ids array<{base.schema['id'].dataType.simpleString()}>, tfs array<long>, ns array<long>, top double"
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Posting lists of a batch of documents: counted within the rows, nothing is shuffled yet."""
-        for b in batches:
-            words = b.column("terms")
-            n = pc.list_value_length(words).to_numpy()
-            flat = words.flatten().dictionary_encode()
-            key, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), n), return_counts=True)
-            term, doc = np.divmod(key, max(len(n), 1))
-            yield _blocks(term, flat.dictionary, b.column("id").take(pa.array(doc)), tf, n[doc].astype(np.int64), mean)
+    base = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), words_of(F.col(text)).alias("words"))
+    kind = base.schema["id"].dataType.simpleString()
+    schema = f"term string, ids array<{kind}>, tfs array<long>, ns array<long>"
+    # Written, so that texts are taken apart once: the sum of all counts and the range partitioning's sample read narrow columns of it.
+    found = stash(base.mapInArrow(_lists, f"{schema}, first {kind}, total long"), "postings")
+    count = docs.filter(F.col(key).isNotNull()).count()
+    mean = float((found.agg(F.sum("total")).first()[0] or 0) / max(count, 1) or 1.0)
+    spark.createDataFrame([(count, mean)], "docs long, mean double").write.parquet(f"{path}/corpus")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists that follow each other in the order of their terms, as full blocks."""
         for b in batches:
             code = b.column("term").dictionary_encode()
             size = pc.list_value_length(b.column("ids")).to_numpy()
-            yield _blocks(np.repeat(code.indices.to_numpy(), size), code.dictionary, *(b.column("ids").flatten(), *(b.column(c).flatten().to_numpy() for c in ("tfs", "ns"))), mean)
+            tfs, ns = (b.column(c).flatten().to_numpy() for c in ("tfs", "ns"))
+            start, columns = _cut(np.repeat(code.indices.to_numpy(), size), code.dictionary, b.column("ids").flatten(), tfs, ns)
+            impact = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * ns / mean))
+            top = np.maximum.reduceat(impact, start) if len(start) else impact
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(top, pa.float64())], ["term", "ids", "tfs", "ns", "top"])
 
-    # Written, so that the range partitioning's sample doesn't count the terms a second time.
-    found = stash(base.mapInArrow(lists, schema), "postings").withColumn("first", F.col("ids")[0])
-    found.repartitionByRange("term", "first").sortWithinPartitions("term", "first").drop("first").mapInArrow(joined, schema).write.parquet(f"{path}/blocks")
+    found.select("term", "ids", "tfs", "ns", "first").repartitionByRange("term", "first").sortWithinPartitions("term", "first").drop("first").mapInArrow(joined, f"{schema}, top double").write.parquet(f"{path}/blocks")
     spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum(F.size("ids")).alias("df"), F.max("top").alias("top")).write.parquet(f"{path}/terms")
     drop_stash(found)
 
 
-def _blocks(term: np.ndarray, names: pa.Array, ids: pa.Array, tfs: np.ndarray, ns: np.ndarray, mean: float) -> pa.RecordBatch:
-    """Postings whose terms (codes into ``names``) stand together, as blocks of at most BLOCK with their greatest impact."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of some documents: counted within the rows, nothing is shuffled yet."""
+    for ids, words in slices(((b.column("id"), b.column("words")) for b in batches), LIST_ROWS, LIST_BYTES):
+        has = pc.greater(pc.binary_length(words), 0)
+        ids, words = ids.filter(has), pc.split_pattern(words.filter(has), " ")
+        n = pc.list_value_length(words).to_numpy()
+        flat = words.flatten().dictionary_encode()
+        at, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * len(n) + np.repeat(np.arange(len(n)), n), return_counts=True)
+        term, doc = np.divmod(at, max(len(n), 1))
+        start, columns = _cut(term, flat.dictionary, ids.take(pa.array(doc)), tf, n[doc].astype(np.int64))
+        total = np.add.reduceat(tf, start) if len(start) else tf
+        yield pa.RecordBatch.from_arrays([*columns, ids.take(pa.array(doc[start])), pa.array(total, pa.int64())], ["term", "ids", "tfs", "ns", "first", "total"])
+
+
+def _cut(term: np.ndarray, names: pa.Array, ids: pa.Array, tfs: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Postings whose terms (codes into ``names``) stand together, as blocks of at most BLOCK: where each starts, and term, ids, tfs, ns."""
     at = np.arange(len(term))
     new = np.flatnonzero(np.diff(term, prepend=-1))
     run = at - np.repeat(new, np.diff(np.append(new, len(term))))
     start = np.flatnonzero(run % BLOCK == 0)
     cut = pa.array(np.append(start, len(term)), pa.int32())
-    impact = tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * ns / mean))
-    top = np.maximum.reduceat(impact, start) if len(start) else impact
-    columns = [names.take(pa.array(term[start])), pa.ListArray.from_arrays(cut, ids), *(pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int64))) for x in (tfs, ns)), pa.array(top, pa.float64())]
-    return pa.RecordBatch.from_arrays(columns, ["term", "ids", "tfs", "ns", "top"])
+    return start, [names.take(pa.array(term[start])), pa.ListArray.from_arrays(cut, ids), *(pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int64))) for x in (tfs, ns))]
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
@@ -140,5 +155,6 @@ def search_text(spark: SparkSession, path: str, queries: DataFrame, k: int) -> D
 def score_candidates(spark: SparkSession, path: str, queries: DataFrame, ids: DataFrame) -> DataFrame:
     """(query_id, id, score) of the documents in ``ids`` (id) that hold a term of a query: BM25 as the scorer of a rerank."""
     asked, mean = _weighed(spark, path, queries)
+    asked = stash(asked, "asked")
     p = _unpacked(spark.read.parquet(f"{path}/blocks").join(asked, "term"), "query_id", "idf").join(ids.distinct(), "id", "left_semi")
     return p.groupBy("query_id", "id").agg(F.sum(F.col("idf") * _impact(F.col("tf"), F.col("n"), mean)).alias("score"))
