@@ -142,7 +142,9 @@ def search_text(spark: SparkSession, path: str, queries: DataFrame, k: int) -> D
     blocks = spark.read.parquet(f"{path}/blocks")
     w = Window.partitionBy("query_id", "term").orderBy(F.desc("top"), "first")
     tops = blocks.select("term", "top", F.col("ids")[0].alias("first"))
-    best = asked.join(tops, "term").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= FIRST_BLOCKS).select("query_id", "term", "idf", "first")
+    best = asked.join(tops, "term").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= FIRST_BLOCKS).select("query_id", "term", "idf", "first").distinct()
+    # Written, as its size is then known: the blocks are joined where they are, instead of shuffled whole.
+    best = stash(best, "asked")
     some = _summed(blocks.withColumn("first", F.col("ids")[0]).join(best, ["term", "first"]), mean)
     bound = some.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("n") == k).select("query_id", F.col("score").alias("least"))
     limits = stash(asked.join(bound, "query_id", "left"), "asked")
