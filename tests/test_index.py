@@ -159,3 +159,26 @@ def test_texts_are_taken_apart_once(spark):
     assert seen.value == len(texts)
     size = docs.agg(F.count("*"), F.sum(F.size(textindex.terms_of(F.col("text"))))).first()
     assert tuple(spark.read.parquet(f"{path}/corpus").first()) == (len(texts), size[1] / len(texts))
+
+
+def test_best_of_a_batch():
+    """The best of each row with equal scores in their order; what earlier batches surpass is left out."""
+    r = np.random.default_rng(3)
+    s = r.integers(0, 6, (9, 40)).astype(float)
+    s[2] = -np.inf
+    s[3, :36] = -np.inf
+    least = np.full(9, -np.inf)
+    least[4] = 5.0
+    want = {(q, c) for q in range(9) for c in sorted(range(40), key=lambda c: (-s[q, c], c))[:7] if s[q, c] > -np.inf and s[q, c] >= least[q]}
+    assert set(zip(*(x.tolist() for x in ann._first(s, 7, least)))) == want
+    assert least[4] == 5.0 and least[2] == -np.inf and least[0] == sorted(s[0])[-7]
+
+
+def test_copies_are_found_by_id(spark):
+    """More equal vectors than a search scores again: the smallest ids stay, and a task hands on only so many of a batch."""
+    v = [float(x) for x in np.random.default_rng(2).normal(size=DIM)]
+    points = spark.createDataFrame([((i * 7919) % 3001, v) for i in range(1, 3001)], "id long, embedding array<float>").repartition(3)
+    path = shared_path(spark, "copies")
+    ann.build_index(points, path, DIM)
+    found = ann.search_index(spark, path, spark.createDataFrame([(0, v)], "query_id long, qv array<double>"), 10, DIM, ef=20)
+    assert [r.id for r in found.orderBy("rank").collect()] == list(range(1, 11))

@@ -55,7 +55,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.nda
     return c
 
 
-def nearest(x: np.ndarray, centers: np.ndarray, block: int = 4096) -> np.ndarray:
+def nearest(x: np.ndarray, centers: np.ndarray, block: int = 512) -> np.ndarray:
     """The number of the center nearest to each row."""
     half = (centers.astype(np.float64) ** 2).sum(axis=1) / 2
     return np.concatenate([np.argmax(x[a : a + block] @ centers.T - half, axis=1) for a in range(0, len(x), block)] or [np.zeros(0, np.int64)])
@@ -143,6 +143,18 @@ def _codebooks(spark: SparkSession, path: str) -> dict[int, np.ndarray]:
     return {p: np.array(c, np.float32) for p, c in by.items()}
 
 
+def _first(s: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` greatest scores of each row above -inf, of equal ones the first, none below ``least``; the k-th raises ``least``."""
+    if s.shape[1] > k:
+        kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        np.maximum(least, kth, out=least)
+        over, equal = s > kth[:, None], s == kth[:, None]
+        keep = over | (equal & (np.cumsum(equal, axis=1) <= (k - over.sum(axis=1))[:, None]))
+    else:
+        keep = np.ones(s.shape, bool)
+    return np.nonzero(keep & (s >= least[:, None]) & (s > -np.inf))
+
+
 def _ranked(df: DataFrame, k: int, *by: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -174,39 +186,43 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, dim
         part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
         asked = [(r["query_id"], r["qv"]) for r in part.collect()]  # a block
         m = _units([v for _, v in asked], dim)
-        near = m @ centers.T
-        probed = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-        by_list: dict[int, list[int]] = {NO_LIST: list(range(len(asked)))}
-        for q, row in enumerate(probed.tolist()):
-            for x in row:
-                by_list.setdefault(x, []).append(q)
-        held = spark.sparkContext.broadcast((asked, m, near, books, by_list))
+        probed = np.zeros((len(asked), len(centers) + 1), bool)
+        for first in range(0, len(asked), TABLE_BLOCK):
+            near = m[first : first + TABLE_BLOCK] @ centers.T
+            np.put_along_axis(probed[first : first + TABLE_BLOCK], np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
+        probed[:, NO_LIST] = True
+        held = spark.sparkContext.broadcast((np.array([i for i, _ in asked], object), m, np.vstack([centers, np.zeros((1, dim), np.float32)]), books, probed))
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            asked, m, near, books, by_list = held.value
-            names = np.array([i for i, _ in asked], object)
+            names, m, centers, books, probed = held.value
+            least = np.full(len(m), -np.inf)  # what reaches the best of earlier batches
             for pdf in batches:
-                for at, g in pdf.groupby("list"):
-                    ids, codes = g["id"].to_numpy(object), np.frombuffer(b"".join(g["code"]), np.uint8).reshape(len(g), -1)
-                    for first in range(0, len(by_list[at]), TABLE_BLOCK):
-                        qs = np.array(by_list[at][first : first + TABLE_BLOCK])
-                        s = np.zeros((len(qs), len(g)))
+                pdf = pdf.sort_values("id", kind="stable")
+                ids, lists, codes = pdf["id"].to_numpy(object), pdf["list"].to_numpy(), np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), len(cuts))
+                rows = pdf.groupby("list").indices
+                for first in range(0, len(m), TABLE_BLOCK):
+                    some = slice(first, first + TABLE_BLOCK)
+                    tables = [m[some][:, c] @ books[p].T for p, c in enumerate(cuts)] if books else []
+                    base = m[some] @ centers.T
+                    s = np.full((len(base), len(pdf)), -np.inf)
+                    for at, g in rows.items():
+                        qs = np.flatnonzero(probed[some, at])
+                        x = np.repeat(base[qs, at][:, None], len(g), axis=1)
                         if at != NO_LIST:
-                            s += near[qs, at][:, None]
-                            for p, c in enumerate(cuts):
-                                s += (m[qs][:, c] @ books[p].T)[:, codes[:, p]]
-                        most = min(max(ef, k), len(g))
-                        best = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                        yield pd.DataFrame({"query_id": np.repeat(names[qs], most), "id": ids[best.ravel()], "list": np.int32(at), "score": np.take_along_axis(s, best, 1).ravel()})
+                            for p, t in enumerate(tables):
+                                x += t[qs][:, codes[g, p]]
+                        s[np.ix_(qs, g)] = x
+                    q, row = _first(s, max(ef, k), least[some])
+                    yield pd.DataFrame({"query_id": names[first + q], "id": ids[row], "list": lists[row], "score": s[q, row]})
 
         def rescored(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            asked, m, *_ = held.value
-            row = {i: q for q, (i, _) in enumerate(asked)}
+            names, m, *_ = held.value
+            row = {i: q for q, i in enumerate(names)}
             for pdf in batches:
                 v = _units(pdf["embedding"].tolist(), dim)
                 yield pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "score": (v * m[[row[i] for i in pdf["query_id"]]]).sum(axis=1)})
 
-        reached = entries.filter(F.col("list").isin(sorted(by_list)))
+        reached = entries.filter(F.col("list").isin([NO_LIST, *np.flatnonzero(probed[:, :-1].any(axis=0)).tolist()]))
         chosen = _ranked(reached.select("id", "code", "list").mapInPandas(scan, f"query_id {kinds['query_id']}, id {kinds['id']}, list int, score double"), max(ef, k), "query_id")
         chosen = chosen.select("query_id", "id", "list").distinct()
         found = reached.select("list", "id", "embedding").join(chosen, ["list", "id"]).select("query_id", "id", "embedding")
