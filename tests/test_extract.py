@@ -150,3 +150,36 @@ def test_small_files_of_costly_rows_are_many_tasks(spark, tmp_path):
     got = _customers(Tables(spark, str(tmp_path)))
     assert got.rdd.getNumPartitions() == 3 and got.select("c_custkey").distinct().count() == 3 * TASK_ROWS
     assert _customers(Tables(spark, str(tmp_path))).limit(0).count() == 0
+
+
+def test_plain_tags_are_not_searched_for_attributes(monkeypatch):
+    from html.parser import HTMLParser
+
+    searched = []
+    whole = HTMLParser.check_for_whole_start_tag
+    monkeypatch.setattr(HTMLParser, "check_for_whole_start_tag", lambda self, i: searched.append(self.rawdata[i:]) or whole(self, i))
+    assert extract("text/html", b"<body><P>a</p><p>b<b>c</B></p></body>").text == "a\nb c" and not searched
+    assert extract("text/html", b"<body><p class='x>'>a</p><script><p>no</p></script><p>b</body>").text == "a\nb"
+    assert [s[:7] for s in searched] == ["<p clas", "<script"]
+
+
+def test_control_characters_go_without_a_look_at_each_character(monkeypatch):
+    keep = "a\tb\nc­​¡"
+    text = keep + "".join(map(chr, [*range(9), 11, 12, *range(14, 32), *range(127, 160)]))
+    monkeypatch.setattr(x.unicodedata, "category", None, raising=False)
+    assert x.clean(text) == "a b\nc­​¡"
+
+
+def test_office_parts_are_read_without_events(monkeypatch):
+    monkeypatch.setattr(x.ElementTree, "iterparse", None)
+    w = '<w:document xmlns:w="u"><w:p><!-- no --><w:t>On<w:i>-</w:i>e</w:t><w:tab/><w:t>x &amp;</w:t></w:p><w:p><w:br/><w:t/><w:t>Two</w:t></w:p></w:document>'
+    assert extract(x.TYPES["docx"], zipped(word__document_dot_xml=w)).text == "On x &\nTwo"
+    deep = "<w:p>" * 20_000 + "<w:t>low</w:t>" + "</w:p>" * 20_000
+    assert extract(x.TYPES["docx"], zipped(word__document_dot_xml=f'<w:document xmlns:w="u">{deep}</w:document>')).text == "low"
+
+
+def test_options_of_members_are_made_once_for_an_archive(monkeypatch):
+    made, replace = [], x.replace
+    monkeypatch.setattr(x, "replace", lambda o, **kw: made.append(kw) or replace(o, **kw))
+    assert extract("application/zip", zipped(a_dot_txt="1", b_dot_txt="2", c_dot_txt="3")).text.count("---") == 6
+    assert made == [{"depth": 1, "append_metadata": False}]
