@@ -108,3 +108,36 @@ def test_points_without_place_and_few_points_are_noise(spark):
     assert {r.cluster for r in density.density_clusters(same).collect()} == {-1}
     two = spark.createDataFrame([(k, 2.0 * (k % 2), -0.0 if k % 4 else 0.0) for k in range(80)] + [(99, None, None)], "id int, x double, y double")
     assert {(r.id % 2, r.cluster) for r in density.density_clusters(two).collect() if r.id < 99} == {(0, 0), (1, 1)}
+
+
+def test_one_mark_of_another_cell_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(density, "MARKS", 1)
+    xy = shapes()["blobs"]
+    assert np.array_equal(spread(spark, xy, cell=64), brute(xy, 15, 5))
+
+
+def test_a_cell_looks_for_visits_once_and_finds_all():
+    r = np.random.default_rng(5)
+    xy = r.normal(size=(600, 2))
+    g = pd.DataFrame({"cell": np.int32(7), "loc": np.arange(600), "x": xy[:, 0], "y": xy[:, 1], "bound": r.exponential(0.05, 600), "comp": np.arange(600) % 3})
+    low = r.uniform(-3, 3, (200, 2))
+    boxes = pd.DataFrame({"cell": np.arange(200, dtype=np.int32), "a": low[:, 0], "b": low[:, 1], "c": low[:, 0] + 0.1, "d": low[:, 1] + 0.1, "only": np.arange(200) % 4 - 1})
+    got = density._visits(g, boxes, ["loc", "comp"])
+    want = {(k, b.cell) for b in boxes.itertuples() for k in np.flatnonzero((density._far(xy[:, 0], xy[:, 1], (b.a, b.b, b.c, b.d)) <= g["bound"]) & (g["comp"] != b.only)) if b.cell != 7}
+    assert want and sorted(zip(got["loc"], got["cell"])) == sorted(want)
+    assert list(density._visits(g.assign(bound=0.0), boxes.iloc[7:8], ["loc", "comp"]).columns) == ["loc", "comp", "cell"]
+
+
+def test_cells_are_dealt_to_tasks_by_number_not_by_bytes(spark):
+    cells = spark.range(64).selectExpr("cast(id AS int) AS cell")
+    assert density.by_cell(cells, 32).groupBy("cell").count().rdd.getNumPartitions() == 32
+
+
+def test_a_length_is_summed_once_for_a_vector(spark):
+    from pyspark.sql import functions as F
+
+    from weftlake.functions.vectors import unit
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>").select(unit(F.col("v")).alias("u"))
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1

@@ -22,8 +22,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its length, as doubles; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # Bound to the lambda's n, the length is summed once for a vector and not once for each of its numbers.
+    over = lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return F.get(F.transform(F.array(norm(a)), over), 0)
 
 
 def running_mean(mean: Column, new: Column, n: Column) -> Column:

@@ -35,6 +35,8 @@ CELL, MAX_CELLS = 2048, 4096
 SAMPLE = 64
 #: Rows of a block of distances, visitors of a cell in one task, edges in a band.
 BLOCK, VISITORS, BAND = 256, 32_768, 500_000
+#: Most tasks over cells, and marks of other cells that a cell looks at for a bound.
+TASKS, MARKS = 1024, 256
 #: Inverse of the distance zero.
 TOP = 1e12
 
@@ -97,6 +99,11 @@ class Cells:
         return np.minimum(np.minimum(x - a, c - x), np.minimum(y - b, d - y))
 
 
+def by_cell(df: DataFrame, cells: int, *keys: str) -> DataFrame:
+    """``df`` dealt by cell: Spark makes tasks by bytes, and the costly work of many cells would be one task's."""
+    return df.repartition(min(cells, TASKS), "cell", *keys)
+
+
 def _far(x: np.ndarray, y: np.ndarray, box) -> np.ndarray:
     """Distance of points to a box."""
     dx = np.maximum(np.maximum(box[0] - x, x - box[2]), 0)
@@ -118,42 +125,46 @@ def _nearest(loc, x, y, x2, y2, m2, k: int) -> Iterator[pd.DataFrame]:
 
 
 def _own_nearest(g: pd.DataFrame, cells: Cells, k: int) -> pd.DataFrame:
-    """(loc, cell, x, y, bound, d, m): the nearest in the cell; bound is a core distance that suffices, null where the ball stays inside."""
+    """(loc, cell, x, y, bound, d, m): the nearest in the cell; bound, in one row of a location, is a core distance that suffices, null where the ball stays inside."""
     x, y, m, loc = (g[c].to_numpy() for c in ("x", "y", "m", "loc"))
     near = pd.concat(list(_nearest(loc, x, y, x, y, m, k))).sort_values(["loc", "d"])
     near["held"] = near.groupby("loc")["m"].cumsum()
+    first = ~near["loc"].duplicated().to_numpy()
     core = near[near["held"] >= k].groupby("loc")["d"].first().reindex(loc).fillna(np.inf).to_numpy()
     cell = int(g["cell"].iloc[0])
     bound = pd.Series(np.where(core <= cells.inside(cell, x, y), np.nan, core), index=loc)
     at = g.set_index("loc")
     who = near["loc"].to_numpy()
-    return pd.DataFrame({"loc": who, "cell": cell, "x": at["x"].loc[who].to_numpy(), "y": at["y"].loc[who].to_numpy(), "bound": bound.loc[who].to_numpy(), "d": near["d"].to_numpy(), "m": near["m"].to_numpy()})
-
-
-def _visits(batches: Iterator[pd.DataFrame], boxes: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows for each other cell within their bound; ``boxes`` are (cell, box, the only component or None)."""
-    for pdf in batches:
-        for cell, g in pdf.groupby("cell"):
-            x, y, reach = g["x"].to_numpy(), g["y"].to_numpy(), g["bound"].to_numpy()
-            about = (x.min(), y.min(), x.max(), y.max())
-            for other, box, comp in boxes:
-                gap = np.hypot(max(box[0] - about[2], about[0] - box[2], 0), max(box[1] - about[3], about[1] - box[3], 0))
-                if other == cell or gap > reach.max():
-                    continue
-                hit = _far(x, y, box) <= reach
-                if comp is not None:
-                    hit &= g["comp"].to_numpy() != comp
-                if hit.any():
-                    yield g.loc[hit, columns].assign(cell=np.int32(other))
-
-
-def _hosted(visits: DataFrame, places: DataFrame, run, schema: str) -> DataFrame:
+    return pd.DataFrame({"loc": who, "cell": cell, "x": at["x"].loc[who].to_numpy(), "y": at["y"].loc[who].to_numpy(), "bound": np.where(first, bound.loc[who].to_numpy(), np.nan), "d": near["d"].to_numpy(), "m": near["m"].to_numpy()})
+
+
+def _visits(g: pd.DataFrame, boxes: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+    """Rows of a cell for each other cell within their bound; ``boxes`` are (cell, a, b, c, d, the only component or -1)."""
+    x, y, reach, cell = g["x"].to_numpy(), g["y"].to_numpy(), g["bound"].to_numpy(), g["cell"].iloc[0]
+    comp = g["comp"].to_numpy() if "comp" in g else None
+    dx = np.maximum(np.maximum(boxes["a"] - x.max(), x.min() - boxes["c"]), 0)
+    dy = np.maximum(np.maximum(boxes["b"] - y.max(), y.min() - boxes["d"]), 0)
+    near = (np.sqrt(dx * dx + dy * dy) <= reach.max()) & (boxes["cell"] != cell)
+    if comp is not None and (comp == comp[0]).all():
+        near &= boxes["only"] != comp[0]
+    out = [g.iloc[:0][columns].assign(cell=cell)]
+    for other, *box, only in boxes[near].itertuples(index=False):
+        hit = _far(x, y, box) <= reach
+        if comp is not None and only >= 0:
+            hit &= comp != only
+        if hit.any():
+            out.append(g.loc[hit, columns].assign(cell=np.int32(other)))
+    return pd.concat(out)
+
+
+def _hosted(visits: DataFrame, places: DataFrame, cells: int, run, schema: str) -> DataFrame:
     """``run(visitors, residents)`` for each cell; a cell with many visitors is copied for each part of them."""
     n = visits.groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
     parts = F.broadcast(stash(n, "parts"))  # a row a cell, at most MAX_CELLS
     v = visits.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("loc"), "parts").cast("int")).drop("parts")
     p = places.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return v.groupBy("cell", "part").cogroup(p.groupBy("cell", "part")).applyInPandas(run, schema)
+    v, p = (by_cell(df, cells, "part").groupBy("cell", "part") for df in (v, p))
+    return v.cogroup(p).applyInPandas(run, schema)
 
 
 def _host_nearest(v: pd.DataFrame, p: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -162,23 +173,23 @@ def _host_nearest(v: pd.DataFrame, p: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(list(_nearest(*(v[c].to_numpy() for c in ("loc", "x", "y")), *(p[c].to_numpy() for c in ("x", "y", "m")), k)))
 
 
-def _boxes(places: DataFrame, comp: bool) -> list[tuple]:
+def _boxes(places: DataFrame, comp: bool) -> pd.DataFrame:
     """Tight boxes of the cells, at most MAX_CELLS."""
-    one = [F.min("comp").alias("lo"), F.max("comp").alias("hi")] if comp else [F.lit(0).alias("lo"), F.lit(1).alias("hi")]
-    rows = places.groupBy("cell").agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), *one).collect()
-    return [(r[0], tuple(r[1:5]), r["lo"] if r["lo"] == r["hi"] else None) for r in rows]
+    only = F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(-1) if comp else F.lit(-1)
+    return places.groupBy("cell").agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d"), only.cast("long").alias("only")).toPandas()
 
 
 def core_distances(places: DataFrame, cells: Cells, k: int) -> DataFrame:
     """``places`` with ``core``: the distance to the k-th nearest point, a point itself included; infinite where there are fewer."""
-    own = stash(places.groupBy("cell").applyInPandas(lambda g: _own_nearest(g, cells, k), "loc long, cell int, x double, y double, bound double, d double, m long"), "near")
+    tasks = len(cells.leaves)
+    own = stash(by_cell(places, tasks).groupBy("cell").applyInPandas(lambda g: _own_nearest(g, cells, k), "loc long, cell int, x double, y double, bound double, d double, m long"), "near")
     boxes = _boxes(places, False)
     columns = ["loc", "x", "y"]
-    open_ = own.filter("bound IS NOT NULL").select("cell", "loc", "x", "y", "bound").distinct()
+    open_ = by_cell(own.filter("bound IS NOT NULL").select("cell", "loc", "x", "y", "bound"), tasks)
     near = own.select("loc", "d", "m")
     if len(boxes) > 1:
-        visits = stash(open_.mapInPandas(partial(_visits, boxes=boxes, columns=columns), "loc long, x double, y double, cell int"), "visits")
-        near = near.unionByName(_hosted(visits, places, lambda v, p: _host_nearest(v, p, k), "loc long, d double, m long"))
+        visits = stash(open_.groupBy("cell").applyInPandas(lambda g: _visits(g, boxes, columns), "loc long, x double, y double, cell int"), "visits")
+        near = near.unionByName(_hosted(visits, places, tasks, lambda v, p: _host_nearest(v, p, k), "loc long, d double, m long"))
     held = F.sum("m").over(Window.partitionBy("loc").orderBy("d"))
     core = near.withColumn("held", held).filter(F.col("held") >= k).groupBy("loc").agg(F.min("d").alias("core"))
     return places.join(core, "loc", "left").withColumn("core", F.coalesce("core", F.lit(float("inf"))))
@@ -246,7 +257,7 @@ def _least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     found = []
     ax, ay, ac, al, ak = (a[c].to_numpy() for c in ("x", "y", "core", "loc", "comp"))
     bx, by, bc, bl, bk = (b[c].to_numpy() for c in ("x", "y", "core", "loc", "comp"))
-    for s in range(0, len(a), BLOCK):
+    for s in range(0, len(a) if len(b) else 0, BLOCK):
         e = slice(s, s + BLOCK)
         d = _distances(ax[e], ay[e], bx, by)
         w = np.maximum(np.maximum(d, bc[None]), ac[e, None])
@@ -261,10 +272,18 @@ def _least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
 
 
 def _inner(marks: pd.DataFrame):
-    """The least edges inside a cell, and to two locations of every other cell as a bound."""
+    """The least edges inside a cell, and to the nearest marks of other cells as a bound.
+
+    A component that is alone in all its cells has a mark of another one there to
+    look at, and any other one has another one in a cell of its own.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        return _least(g, pd.concat([g, marks[marks["cell"] != g["cell"].iloc[0]]]) if g["comp"].nunique() > 1 else marks)
+        alone = g["comp"].nunique() == 1
+        m = marks[(marks["cell"] != g["cell"].iloc[0]) & ~(alone & (marks["comp"] == g["comp"].iloc[0]))]
+        gap = _far(m["x"].to_numpy(), m["y"].to_numpy(), (g["x"].min(), g["y"].min(), g["x"].max(), g["y"].max()))
+        m = m.iloc[np.argsort(gap, kind="stable")[:MARKS]]
+        return _least(g, m if alone else pd.concat([g, m]))
 
     return run
 
@@ -283,8 +302,12 @@ def merged(least: DataFrame) -> DataFrame:
     back = least.select(F.col("comp").alias("other"), F.col("other").alias("again"))
     up = least.join(back, "other", "left").select("comp", F.when((F.col("again") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("into"))
     up = stash(up, "up")
+
+    def doubled(df: DataFrame) -> DataFrame:
+        return df.join(df.select(F.col("comp").alias("into"), F.col("into").alias("far")), "into").select("comp", F.col("far").alias("into"), (F.col("far") != F.col("into")).alias("moved"))
+
     while True:
-        nxt = stash(up.join(up.select(F.col("comp").alias("into"), F.col("into").alias("far")), "into").select("comp", F.col("far").alias("into"), (F.col("far") != F.col("into")).alias("moved")), "up")
+        nxt = stash(doubled(doubled(up).drop("moved")), "up")
         done = nxt.filter("moved").isEmpty()
         drop_stash(up)
         up = nxt.drop("moved")
@@ -294,23 +317,25 @@ def merged(least: DataFrame) -> DataFrame:
 
 def tree_edges(places: DataFrame, cells: Cells) -> DataFrame:
     """(w, d, i, j), i < j: edges that hold the minimum spanning tree, a few for each location."""
-    grown = stash(places.groupBy("cell").applyInPandas(lambda g: _grown(g, cells), f"{EDGE}, comp long"), "grown")
+    tasks = len(cells.leaves)
+    grown = stash(by_cell(places, tasks).groupBy("cell").applyInPandas(lambda g: _grown(g, cells), f"{EDGE}, comp long"), "grown")
     edges = grown.filter("i < j").select("w", "d", "i", "j")
     now = stash(places.join(grown.filter("i = j").select(F.col("i").alias("loc"), "comp"), "loc"), "comps")
     while True:
         boxes = _boxes(now, True)
-        if len({b[2] for b in boxes}) == 1 and boxes[0][2] is not None or not boxes:
+        if boxes.empty or boxes["only"].nunique() == 1 and boxes["only"].iloc[0] >= 0:
             return edges
         mark = now.groupBy("cell").agg(F.min(F.struct("loc", "x", "y", "core", "comp")).alias("a"), F.max(F.struct("comp", "loc", "x", "y", "core")).alias("b"))
         marks = mark.select("cell", F.explode(F.array("a", F.struct("b.loc", "b.x", "b.y", "b.core", "b.comp"))).alias("r")).select("cell", "r.*").toPandas()  # two a cell
-        inner = _first(now.groupBy("cell").applyInPandas(_inner(marks), LINK))
+        inner = _first(by_cell(now, tasks).groupBy("cell").applyInPandas(_inner(marks), LINK))
         inner = stash(inner, "inner")
         least = inner
         if len(boxes) > 1:
             far = now.join(inner.select("comp", F.col("w").alias("bound")), "comp").filter("core <= bound")
-            visits = far.select("cell", "loc", "x", "y", "core", "comp", "bound").mapInPandas(partial(_visits, boxes=boxes, columns=["loc", "x", "y", "core", "comp"]), "loc long, x double, y double, core double, comp long, cell int")
+            far = by_cell(far.select("cell", "loc", "x", "y", "core", "comp", "bound"), tasks)
+            visits = far.groupBy("cell").applyInPandas(lambda g: _visits(g, boxes, ["loc", "x", "y", "core", "comp"]), "loc long, x double, y double, core double, comp long, cell int")
             visits = stash(visits, "visits")
-            least = stash(_first(inner.unionByName(_hosted(visits, now, _host_least, LINK))), "least")
+            least = stash(_first(inner.unionByName(_hosted(visits, now, tasks, _host_least, LINK))), "least")
             drop_stash(visits)
         edges = edges.unionByName(least.select("w", "d", "i", "j"))
         into = merged(least)
