@@ -183,3 +183,20 @@ def test_options_of_members_are_made_once_for_an_archive(monkeypatch):
     monkeypatch.setattr(x, "replace", lambda o, **kw: made.append(kw) or replace(o, **kw))
     assert extract("application/zip", zipped(a_dot_txt="1", b_dot_txt="2", c_dot_txt="3")).text.count("---") == 6
     assert made == [{"depth": 1, "append_metadata": False}]
+
+
+def test_pages_of_bare_tags_are_read_without_the_parsers_search(monkeypatch):
+    from html.parser import HTMLParser
+
+    pages = ["<body><h1>a &amp; b</h1><P>c<p>d<br>e &lt</p><title>t</title><script>no</script><ol><li>x<li>y</ol></body>&copy", "<script></script><table><tr><td>1<th>2</table></b>", "", "x &am"]
+    monkeypatch.setattr(x._Tree, "plain", lambda self, parts: False)
+    texts = [[extract("text/html", p.encode(), o).text for o in x.PRESETS.values()] for p in pages]
+    monkeypatch.undo()
+    odd = ["<title>a &amp; b</title>c", "<script><p>no</p></script>b", "<plaintext></plaintext>c", "<p class=x>b</p>", "a < b"]
+    search, read = HTMLParser.goahead, []
+    monkeypatch.setattr(HTMLParser, "goahead", lambda self, end: read.append(self.rawdata) or search(self, end))
+    assert [[extract("text/html", p.encode(), o).text for o in x.PRESETS.values()] for p in pages] == texts and not read
+    assert texts[0][0] == "a & b\nc\nd\ne <\nt x y" and texts[1][2] == "| 1 | 2 |\n| --- | --- |"
+    for p in odd:
+        extract("text/html", p.encode())
+    assert [p for p in odd if p in read] == odd
