@@ -200,3 +200,49 @@ def test_pages_of_bare_tags_are_read_without_the_parsers_search(monkeypatch):
     for p in odd:
         extract("text/html", p.encode())
     assert [p for p in odd if p in read] == odd
+
+
+def test_office_parts_are_read_by_their_places(monkeypatch):
+    w = '<w:document xmlns:w="u"><w:p><w:t>One</w:t></w:p><w:p><w:t>Two</w:t></w:p></w:document>'
+
+    def made(kind=8, name="word/document.xml", comment=b"", times=1, extra=b""):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for _ in range(times):
+                i = zipfile.ZipInfo(name)
+                i.extra = extra
+                z.writestr(i, w, kind)
+            z.comment = comment
+        return out.getvalue()
+
+    plain = [made(), made(0)]
+    odd = [made(12), made(comment=b"c"), b"before" + made(), made(extra=b"\1\2\0\0"), made(name="é/document.xml")]
+    broken = made(0).replace(b"One", b"0ne")
+    opened, whole = [], zipfile.ZipFile
+    monkeypatch.setattr(x.zipfile, "ZipFile", lambda f: opened.append(f) or whole(f))
+    assert [extract(x.TYPES["docx"], d).text for d in plain] == ["One\nTwo"] * 2 and not opened
+    assert [extract(x.TYPES["docx"], d).text for d in odd] == ["One\nTwo"] * 5 and len(opened) == 5
+    with pytest.raises(x.ExtractionError, match="Bad CRC-32"):
+        extract(x.TYPES["docx"], broken)
+    for k in range(len(plain[0])):
+        with pytest.raises(x.ExtractionError):
+            extract(x.TYPES["docx"], plain[0][:k])
+
+
+def test_made_archives_are_whole():
+    from weftlake.plans.made import zip_file
+
+    texts = ("a" * 100_000, "é<&>", "", "".join(map(chr, range(32, 5000))))
+    with zipfile.ZipFile(io.BytesIO(zip_file(("a.txt", "d/b.json", "c", "e"), texts))) as z:
+        assert z.testzip() is None and z.namelist() == ["a.txt", "d/b.json", "c", "e"]
+        assert tuple(z.read(n).decode() for n in z.namelist()) == texts
+        assert {i.compress_type for i in z.infolist()} == {zipfile.ZIP_DEFLATED} and z.getinfo("a.txt").compress_size < 1000
+
+
+def test_a_customer_without_name_has_no_file(spark, tmp_path):
+    from weftlake.plans.made import extract_docx, extract_xlsx
+    from weftlake.plans.registry import Tables
+
+    spark.sql("SELECT 1L AS c_custkey, 'n' AS c_name, 's' AS c_mktsegment UNION ALL SELECT 2L, NULL, 's'").write.parquet(str(tmp_path / "customer.parquet"))
+    for q in (extract_docx, extract_xlsx):
+        assert sorted(map(tuple, q(Tables(spark, str(tmp_path))).collect())) == [(1, "n\ns"), (2, None)]
