@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from weftlake.operators import ann, textindex
+from weftlake.plans.registry import Tables
 from weftlake.session import shared_path
 
 DIM = 12
@@ -125,12 +127,75 @@ def test_ranked_text(spark, monkeypatch):
     assert textindex.postings(spark, path).filter("term = 'rare'").count() == sum("rare" in (t or "").split() for t in texts.values())
 
 
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    """Documents and twelve benchmark items, of which one has an id divisible by 100 and one has none."""
+    folder = tmp_path_factory.mktemp("small")
+    docs = {i: " ".join(f"w{(i * j) % 17}" for j in range(1, 2 + i % 9)) for i in range(60)}
+    items = {i: f"w{i % 17} W{(i + 3) % 17}" for i in (3, 7, 10, 55, 99, 100, 101, 150, 199, 250, 399)}
+    pq.write_table(pa.table({"doc_id": list(docs), "text": list(docs.values())}), folder / "documents.parquet")
+    pq.write_table(pa.table({"item_id": [*items, None], "text": [*items.values(), "w1"]}, pa.schema({"item_id": pa.int64(), "text": pa.string()})), folder / "benchmark.parquet")
+    return str(folder), docs, items
+
+
+def test_every_item_is_ranked(spark, small):
+    """list_ranked answers every item of the benchmark, not only those whose id is divisible by 100."""
+    from weftlake.plans.index import list_ranked
+
+    folder, docs, items = small
+    got = defaultdict(list)
+    for r in list_ranked(Tables(spark, folder)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, r.score))
+    assert set(got) == set(items)
+    for q, text in items.items():
+        want = bm25(docs, text, 10)
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-6)
+
+
 def test_empty_text_index(spark):
     path = shared_path(spark, "text-empty")
     textindex.build_text_index(spark.createDataFrame([], "id long, text string"), path)
     assert textindex.search_text(spark, path, spark.createDataFrame([(1, "a")], "query_id long, text string"), 3).count() == 0
 
 
+def test_groups_and_parts_are_exact(spark, monkeypatch):
+    """More queries than a group has and more documents than a part: ranks are those of all pairs; ids may be texts."""
+    for name, n in (("QUERIES", 7), ("PART_DOCS", 40), ("BLOCK", 5)):
+        monkeypatch.setattr(textindex, name, n)
+    r = random.Random(4)
+    texts = {f"d{i}": " ".join(f"w{min(int(r.expovariate(0.15)), 50)}" for _ in range(r.randrange(0, 25))) for i in range(300)}
+    texts |= {f"copy{i}": texts["d1"] for i in range(40)}
+    asked = {f"q{i}": " ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(1, 9))) for i in range(30)} | {"qc": texts["d1"]}
+    path = shared_path(spark, "groups")
+    textindex.build_text_index(spark.createDataFrame(list(texts.items()), "id string, text string").repartition(5), path)
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, text string")
+    found, chosen = textindex.search_text(spark, path, queries, 6), [i for n, i in enumerate(texts) if n % 3] + ["absent"]
+    scores = textindex.score_candidates(spark, path, queries, spark.createDataFrame([(i,) for i in [*chosen, *chosen, None]], "id string"))
+    got, every = defaultdict(list), defaultdict(dict)
+    for row in found.orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.id, row.score))
+    rows = scores.collect()
+    for row in rows:
+        every[row.query_id][row.id] = row.score
+    assert len(rows) == sum(map(len, every.values()))
+    for q, text in asked.items():
+        want = bm25(texts, text, len(texts))
+        assert [i for i, _ in got[q]] == [i for i, _ in want[:6]] and np.allclose([s for _, s in got[q]], [s for _, s in want[:6]])
+        want = {i: s for i, s in want if i in set(chosen)}
+        assert every[q].keys() == want.keys() and all(math.isclose(every[q][i], want[i]) for i in want)
+
+
+def test_best_of_a_part():
+    """What can be among the best by its rounded score stays; of equal scores only the first rows."""
+    r = np.random.default_rng(6)
+    s = r.integers(0, 5, (50, 8)).astype(float)
+    s[:, 3] = 0
+    s[:, 4] = 2.0
+    got = set(zip(*(x.tolist() for x in textindex._best(s, 4))))
+    want = {(d, q) for q in range(8) for d in sorted(np.flatnonzero(s[:, q] > 0).tolist(), key=lambda d: (-s[d, q], d))[:4]}
+    assert want <= got and all(sum(y == q for _, y in got) <= 4 * 5 for q in range(8)) and [d for d, q in sorted(got) if q == 4] == [0, 1, 2, 3]
+
+
 def test_texts_are_counted_in_parts():
     """What a task holds at once is bounded by its parts, not by the Arrow batch; together the parts hold every posting."""
     n = 2 * textindex.LIST_ROWS + 5
