@@ -152,6 +152,17 @@ def test_every_item_is_ranked(spark, small):
         assert [i for i, _ in got[q]] == [i for i, _ in want] and np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-6)
 
 
+def test_every_item_scores_every_document(spark, small):
+    """rerank_bm25 gives the scores of every item of the benchmark with every document that holds one of its words."""
+    from weftlake.plans.index import rerank_bm25
+
+    folder, docs, items = small
+    rows = rerank_bm25(Tables(spark, folder)).collect()
+    got = {(r.query_id, r.id): r.score for r in rows}
+    want = {(q, i): s for q, text in items.items() for i, s in bm25(docs, text, len(docs))}
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(math.isclose(got[p], want[p], abs_tol=1e-6) for p in got)
+
+
 def test_empty_text_index(spark):
     path = shared_path(spark, "text-empty")
     textindex.build_text_index(spark.createDataFrame([], "id long, text string"), path)
